@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import bpe, langid, simhash, toxicity
+from panelflow.llm import additive, balltree, bpe, langid, simhash, toxicity
 from panelflow.llm.common import crc_mod, read_table
 
 
@@ -31,13 +31,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op7_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.integers(read_table(spark, sf_dir, "embeddings"), scale=64)
+    return balltree.largest(vectors, F.col("id") % 20 == 0, k=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_language, op5_additive, op7_balltree, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import bpe, langid, simhash, toxicity
+from panelflow.llm import bpe, langid, mixing, simhash, toxicity
 from panelflow.llm.common import crc_mod, read_table, shared_dir, written
 
 
@@ -30,7 +30,26 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.keep_first(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("language ID", drop_unidentified), ("SimHash near-dedup", one_of_each_group)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the last one of a source is cut at its budget."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digests of the ids and of what they decode to."""
+    pairs = bpe.round_trip(docs, *bpe.public_ranks(spark))
+    decoded = F.sha2("decoded", 256).alias("decoded_sha256")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256")
+    return pairs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, decoded)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", drop_unidentified),
+    ("SimHash near-dedup", one_of_each_group),
+    ("source mixture", mix_sources),
+    ("byte-level BPE", token_ids),
+]
 
 #: Learned stages can't be expressed in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import shared_dir, written
-from panelflow.llm.vectors import best, dealt, ranked, searched, thinned, usable
+from panelflow.llm.vectors import best, dealt, in_phases, thinned, usable
 
 STAGES, WORDS, BEAM = 8, 256, 6
 
@@ -113,7 +113,7 @@ def shard_search(codebooks: dict[int, Codebooks], k: int, rerank: int):
             exact = np.einsum("qd,qsd->qs", q, x[pick])
             exact[ids[pick] == own[:, None]] = -np.inf
             found, exact = best(ids[pick], exact, k)
-            keep = np.isfinite(exact)
+            keep = np.isfinite(exact) & (exact >= part["floor"].fillna(-np.inf).to_numpy(float)[:, None])
             out.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found[keep], "score": exact[keep]}))
         return pd.concat(out)
 
@@ -157,4 +157,4 @@ def nearest(df: DataFrame, is_query, k: int = 20, rerank: int = 160, sample_rows
     def search(shard, queries):
         return shard_search(shared.value, k, rerank)(shard, queries)
 
-    return ranked(searched(index, queries, n, search, "query_id long, vec_id long, score double"), k)
+    return in_phases(index, queries, n, search, "query_id long, vec_id long, score double", k, folder)

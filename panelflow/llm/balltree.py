@@ -2,8 +2,9 @@
 
 A node bounds what its rows can reach: q.centre + |q| * radius. A shard's tree is walked for a
 block of queries at once: each query goes first to the child of larger bound, and leaves a node
-as soon as its bound is below the query's kth score so far. That score is shared: it starts from
-the kth score that a first shard gave, for every other shard, and rises while leaves are scored.
+as soon as its bound is below the query's kth score so far. That score is shared: shards are
+searched in phases, and each starts from the kth score of all shards of the phases before; it
+rises while leaves are scored.
 
 Scores are sums of products of integers. They are computed in double precision where all partial
 sums stay below 2**53 and are thus exact, and in 64-bit integers otherwise. Cases: vectors that
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import shared_dir, written
-from panelflow.llm.vectors import dealt, ranked, searched, thinned, usable
+from panelflow.llm.vectors import dealt, in_phases, thinned, usable
 
 LEAF = 64
 NONE = np.iinfo(np.int64).min
@@ -114,7 +115,7 @@ def shard_search(k: int):
         run = Search(ids, x, np.stack(queries["x"]), own, floor, k)
         everyone = np.arange(len(own))
         run.walk(run.tree.root, everyone, run.bound(run.tree.root, everyone))
-        keep = run.found != np.iinfo(np.int64).max
+        keep = (run.found != np.iinfo(np.int64).max) & (run.score >= floor[:, None])
         return pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": run.found[keep], "score": run.score[keep]})
 
     return search
@@ -135,12 +136,4 @@ def largest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     shards, n = dealt(vectors)
     shards = written(shards, folder, "shards")
     queries = shards.where(is_query).select("id", "x", "dim")
-    schema = "query_id long, vec_id long, score long"
-    first = written(searched(shards.where("shard = 0"), queries.withColumn("floor", F.lit(None).cast("double")), 1, shard_search(k), schema, block_rows=64), folder, "first")
-    if n == 1:
-        return ranked(first, k)
-    # the kth score of the first shard: no row below it is among a query's k best
-    floor = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
-    queries = queries.join(floor, queries["id"] == floor["query_id"], "left").select("id", "x", "dim", "floor")
-    rest = shards.where("shard > 0").withColumn("shard", F.col("shard") - 1)
-    return ranked(first.union(searched(rest, queries, n - 1, shard_search(k), schema)), k)
+    return in_phases(shards, queries, n, shard_search(k), "query_id long, vec_id long, score long", k, folder)

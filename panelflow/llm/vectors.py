@@ -2,8 +2,11 @@
 
 Rows are dealt to shards by a hash of their id and queries to blocks, both of a bounded number of
 rows on average, whatever the table's size. Each (shard, block) pair is a group of its own, so no
-task holds more than a shard and a block. Each group returns k rows a query at most, which a
-ranked window merges.
+task holds more than a shard and a block.
+
+Shards are searched in phases, each some times as many as all before: a query's kth score so far
+goes along, and groups return only rows that reach it. So a phase returns about as many rows for
+each query as a shard would return to the first, and not k for each of its shards.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.llm.common import written
+
 SHARD_ROWS = 1024
 BLOCK_ROWS = 1024
 
@@ -38,18 +43,35 @@ def dealt(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame,
     return vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def searched(shards: DataFrame, queries: DataFrame, n_shards: int, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """search(shard, queries) of every shard with every block of queries; queries may carry more columns."""
+def searched(shards: DataFrame, queries: DataFrame, first: int, count: int, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int) -> DataFrame:
+    """search(shard, queries) of each of `count` shards from the first on with every block of queries."""
     n_blocks = max(1, -(-queries.count() // block_rows))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    left = shards.select("*", blocks)
+    left = shards.where((F.col("shard") >= first) & (F.col("shard") < first + count)).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block")
-    right = queries.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    right = queries.select("*", block, F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("shard"))
     right = right.toDF(*right.columns)  # the queries are rows of the shards: columns of their own
     key = ["shard", "block", "dim"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
 
 
+def in_phases(shards: DataFrame, queries: DataFrame, n_shards: int, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, k: int, folder: str, growth: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """ranked() rows of all shards. search(shard, queries) gets (id, x, dim, floor) of the queries, floor
+    being the kth score so far (null: none yet), and gives (query_id, vec_id, score) no worse than it.
+    """
+    found, first, count = None, 0, 1
+    while first < n_shards:
+        count = min(count, n_shards - first)
+        asked = queries.withColumn("floor", F.lit(None).cast("double"))
+        if found is not None:
+            floor = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+            asked = queries.join(floor, queries["id"] == floor["query_id"], "left").select("id", "x", "dim", "floor")
+        new = searched(shards, asked, first, count, search, schema, block_rows if count > 1 else min(block_rows, 64))
+        found = written(ranked(new if found is None else found.select("query_id", "vec_id", "score").union(new), k), folder, f"found{first}")
+        first += count
+        count = first * (growth - 1)
+    return found
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, ties to the smaller vec_id."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -40,17 +40,19 @@ def with_(*parts: str, last: str) -> str:
 
 
 def levels(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
-    return LEVELS[name](spark, sf_dir)
+    """A panel's levels, kept once computed: the tables are scanned once, however often a query needs
+    the panel, which is small whatever the tables' size (a row for each series and time).
+    """
+    return LEVELS[name](spark, sf_dir).cache()
 
 
 def returns(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
-    """Observed returns; a panel is small, and is used more than once: it's computed once."""
     rows = levels(spark, sf_dir, name)
     return panel.observed_returns(rows, panel.observed_calendar(rows))
 
 
 def full_panel(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
-    return panel.filled(returns(spark, sf_dir, name))
+    return panel.filled(returns(spark, sf_dir, name)).cache()
 
 
 BARS = "bars AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar FROM (SELECT DISTINCT ts FROM levels))"

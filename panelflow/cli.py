@@ -84,11 +84,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     save(robustness.by_regime(pnl, regimes), a.out, "backtest_per_regime")
     chosen = pairs.top_per(refreshed.withColumn("tie", F.concat_ws("|", "source", "target")), "refresh_bar", 30, tie="tie").where("te > 0")
     save(robustness.churn(chosen, a.te_refresh_freq), a.out, "backtest_pair_churn")
-    trials = [backtest.walk_forward(returns, backtest.momentum_weights(returns, a.init, a.step, k), a.init, a.step, a.tc_bps, a.execution_lag).select(F.lit(f"momentum{k}").alias("trial"), (F.col("bar") - a.init - a.execution_lag).alias("bar"), F.col("net").alias("ret")) for k in (5, 10, 21, 63)]
-    every = trials[0]
-    for trial in trials[1:]:
-        every = every.union(trial)
-    save(every, a.out, "backtest_trial_returns")
+    trials = backtest.walk_forward(returns, backtest.momentum_trials(returns, [5, 10, 21, 63], a.init, a.step), a.init, a.step, a.tc_bps, a.execution_lag, ("trial",))
+    save(trials.select("trial", (F.col("bar") - a.init - a.execution_lag).alias("bar"), F.col("net").alias("ret")), a.out, "backtest_trial_returns")
     if a.tc_sweep:
         sweep = backtest.cost_sweep(returns, weights, [0.0, 1.0, 2.0, 5.0], a.init, 1, a.execution_lag)
         save(backtest.metrics(sweep, ("tc_bps",)), a.out, "backtest_tc_sensitivity")

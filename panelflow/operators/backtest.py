@@ -32,12 +32,21 @@ def inverse_vol_weights(returns: DataFrame, init: int = 252, step: int = 21, row
     return sigma.select("rebalance_bar", "series", F.when(total.isNull(), 1.0 / F.count(F.lit(1)).over(every)).otherwise(F.coalesce(inverse / total, F.lit(0.0))).alias("weight"))
 
 
+def momentum_trials(returns: DataFrame, lookbacks: list[int], init: int = 252, step: int = 21) -> DataFrame:
+    """(trial, rebalance_bar, series, weight): for each look-back, the sign of the mean of that many rows
+    before, equal gross weights. All look-backs share one pass over the panel.
+    """
+    dates = F.broadcast(rebalances(returns, init, step))
+    signs = {f"m{k:02d}": F.signum(F.avg("ret").over(by("series").rowsBetween(-k, -1))) for k in lookbacks}
+    rows = returns.select("series", "bar", *[c.alias(n) for n, c in signs.items()]).join(dates, F.col("bar") == F.col("rebalance_bar"))
+    rows = rows.unpivot(["rebalance_bar", "series"], list(signs), "trial", "s")
+    gross = F.sum(F.abs("s")).over(Window.partitionBy("trial", "rebalance_bar"))
+    return rows.select("trial", "rebalance_bar", "series", F.when(gross > 0, F.col("s") / gross).otherwise(0.0).alias("weight"))
+
+
 def momentum_weights(returns: DataFrame, init: int = 252, step: int = 21, rows: int = 21) -> DataFrame:
-    """(rebalance_bar, series, weight): the sign of the mean of the last rows, equal gross weights."""
-    w = by("series").rowsBetween(-rows, -1)
-    sign = returns.withColumn("s", F.signum(F.avg("ret").over(w))).join(F.broadcast(rebalances(returns, init, step)), F.col("bar") == F.col("rebalance_bar"))
-    gross = F.sum(F.abs("s")).over(Window.partitionBy("rebalance_bar"))
-    return sign.select("rebalance_bar", "series", F.when(gross > 0, F.col("s") / gross).otherwise(0.0).alias("weight"))
+    """(rebalance_bar, series, weight) of one look-back."""
+    return momentum_trials(returns, [rows], init, step).drop("trial")
 
 
 def callback_weights(returns: DataFrame, strategy: Callable[[pd.DataFrame], dict[str, float] | pd.Series], init: int = 252, step: int = 21, lookback: int = 0) -> DataFrame:
@@ -63,33 +72,29 @@ def callback_weights(returns: DataFrame, strategy: Callable[[pd.DataFrame], dict
     return history.groupBy("rebalance_bar").applyInPandas(run, "rebalance_bar long, series string, weight double")
 
 
-def turnover(weights: DataFrame) -> DataFrame:
-    """(rebalance_bar, turnover, change): what is traded to get there from the last book (at first, from nothing).
+def turnover(weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rebalance_bar, turnover, change): what is traded to get there from the last book (at first, from nothing).
 
     change: the same without the first book, which counts 0.
     """
-    before = F.lag("weight").over(by("series", order="rebalance_bar"))
+    before = F.lag("weight").over(by(*keys, "series", order="rebalance_bar"))
     moved = F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0)))
-    first = F.min("rebalance_bar").over(Window.partitionBy(F.lit(1)))
+    first = F.min("rebalance_bar").over(Window.partitionBy(*(keys or (F.lit(1),))))
     rows = weights.withColumns({"m": moved, "f": first})
-    return rows.groupBy("rebalance_bar").agg(F.sum("m").alias("turnover"), F.sum(F.when(F.col("rebalance_bar") > F.col("f"), F.col("m")).otherwise(0.0)).alias("change"))
+    return rows.groupBy(*keys, "rebalance_bar").agg(F.sum("m").alias("turnover"), F.sum(F.when(F.col("rebalance_bar") > F.col("f"), F.col("m")).otherwise(0.0)).alias("change"))
 
 
-def walk_forward(returns: DataFrame, weights: DataFrame, init: int = 252, step: int = 21, tc_bps: Column | float = 1.0, lag: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, bar, rebalance_bar, gross, cost, net) of the out-of-sample bars.
+def walk_forward(returns: DataFrame, weights: DataFrame, init: int = 252, step: int = 21, tc_bps: float = 1.0, lag: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bar, rebalance_bar, gross, cost, net) of the out-of-sample bars; keys: columns of weights that part trials.
 
     The cost (half of tc_bps for each unit traded) falls on a book's first bar; a book without a
     bar loses its cost. Missing returns earn nothing.
     """
     rows = returns.withColumn("rebalance_bar", book_bar(F.col("bar"), init, step, lag)).where(F.col("bar") >= init + lag)
     gross = rows.join(weights, ["rebalance_bar", "series"]).groupBy(*keys, "rebalance_bar", "bar").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
-    traded = turnover(weights).select("rebalance_bar", "turnover") if not keys else None
-    if traded is None:
-        raise ValueError("evaluate one set of weights at a time, or sweep costs with cost_sweep")
-    rate = (F.lit(tc_bps) if isinstance(tc_bps, int | float) else tc_bps) / 2 / 1e4
-    first = F.col("bar") == F.col("rebalance_bar") + lag
-    rows = gross.join(F.broadcast(traded), "rebalance_bar")
-    return rows.select("bar", "rebalance_bar", "gross", F.when(first, rate * F.col("turnover")).otherwise(0.0).alias("cost")).withColumn("net", F.col("gross") - F.col("cost"))
+    rows = gross.join(turnover(weights, keys).drop("change"), [*keys, "rebalance_bar"])
+    cost = F.when(F.col("bar") == F.col("rebalance_bar") + lag, tc_bps / 2 / 1e4 * F.col("turnover")).otherwise(0.0)
+    return rows.select(*keys, "bar", "rebalance_bar", "gross", cost.alias("cost")).withColumn("net", F.col("gross") - F.col("cost"))
 
 
 def cost_sweep(returns: DataFrame, weights: DataFrame, costs: list[float], init: int = 252, step: int = 21, lag: int = 1) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,41 +11,39 @@ from panelflow.functions.columns import ANNUAL
 from panelflow.functions.numeric import deflated_sharpe
 
 
-def n_blocks(bars: int) -> int:
-    """Blocks of about 30 bars on each side: even, from 4 to 16."""
-    return max(4, min(16, 2 * (bars // 30)) // 2 * 2)
-
-
 def overfitting_splits(trials: DataFrame, min_bars: int = 60) -> DataFrame:
     """(split, winner, rank, trials, logit): of every half of the blocks, the in-sample winner's rank out of sample.
 
-    trials (trial, bar, ret), bars 0 to T - 1. Blocks' counts, sums and squares are all that is
-    needed: T rows are read once, and the splits join a table of a few hundred rows.
+    trials (trial, bar, ret), bars 0 to T - 1; split: the bits of the blocks in sample. Blocks of
+    about 30 bars on each side: an even number from 4 to 16. A trial is brought to its blocks'
+    counts, sums and squares, so the splits meet one short row for each trial. No rows with fewer
+    than min_bars bars or two trials.
     """
-    trials = trials.cache()  # bars x trials, read twice
-    size = trials.agg(F.max("bar").alias("t"), F.count_distinct("trial").alias("m")).first()
-    bars = 0 if size["t"] is None else size["t"] + 1
-    spark = trials.sparkSession
-    if bars < min_bars or size["m"] < 2:
-        return spark.createDataFrame([], "split int, winner string, rank int, trials int, logit double")
-    s = n_blocks(bars)
-    block = F.least(F.floor(F.col("bar") * s / F.lit(bars)).cast("int"), F.lit(s - 1))
-    sums = trials.groupBy(F.col("trial").cast("string").alias("trial"), block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s1"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
-    chosen = [(i, b) for i, blocks in enumerate(combinations(range(s), s // 2)) for b in blocks]
-    member = spark.createDataFrame(pd.DataFrame(chosen, columns=["split", "block"]), "split int, block int")
-    total = sums.groupBy("trial").agg(F.sum("n").alias("tn"), F.sum("s1").alias("t1"), F.sum("s2").alias("t2"))
-    inside = sums.join(F.broadcast(member), "block").groupBy("split", "trial").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).join(F.broadcast(total), "trial")
-
-    def sharpe(n, s1, s2):
+    c = F.col
+    size = trials.agg((F.max("bar") + 1).alias("t"), F.count_distinct("trial").alias("m")).where((c("t") >= min_bars) & (c("m") >= 2))
+    size = size.select("t", F.greatest(F.lit(4), F.least(F.lit(16), F.floor(2 * F.floor(c("t") / 30) / 2) * 2)).cast("int").alias("s"))
+    block = F.least(F.floor(c("bar") * c("s") / c("t")).cast("int"), c("s") - 1)
+    sums = trials.crossJoin(F.broadcast(size)).groupBy(c("trial").cast("string").alias("trial"), block.alias("block"), "s").agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum("ret").alias("s1"), F.sum(c("ret") * c("ret")).alias("s2")).alias("v"))
+    rows = sums.groupBy("trial", "s").agg(F.collect_list(F.struct("block", "v")).alias("blocks"))
+    split = trials.sparkSession.range(1 << 16).select(c("id").cast("int").alias("split"))
+    rows = split.join(F.broadcast(rows), (c("split") < F.pow(F.lit(2), c("s"))) & (F.bit_count("split") == c("s") / 2))
+
+    def total(inside: bool, name: str):
+        mine = F.filter("blocks", lambda b: (F.getbit(c("split"), b["block"]) == 1) == F.lit(inside))
+        return F.aggregate(mine, F.lit(0.0), lambda a, b: a + b["v"][name])
+
+    rows = rows.select("split", "trial", *[total(inside, name).alias(f"{name}_{'in' if inside else 'out'}") for inside in (True, False) for name in ("n", "s1", "s2")])
+
+    def sharpe(side: str):
+        n, s1, s2 = (c(f"{name}_{side}") for name in ("n", "s1", "s2"))
         variance = (s2 - s1 * s1 / n) / (n - 1)
         return F.when(variance > 1e-24, s1 / n / F.sqrt(variance)).otherwise(0.0)
 
-    c = F.col
-    rows = inside.select("split", "trial", sharpe(c("n"), c("s1"), c("s2")).alias("a"), sharpe(c("tn") - c("n"), c("t1") - c("s1"), c("t2") - c("s2")).alias("b"))
-    best = rows.groupBy("split").agg(F.min_by(F.struct("trial", "b"), F.struct(-c("a"), c("trial"))).alias("w"))
-    ranked = rows.join(best, "split").groupBy("split").agg(F.first("w.trial").alias("winner"), (1 + F.count_if(c("b") > c("w.b"))).cast("int").alias("rank"), F.count(F.lit(1)).cast("int").alias("trials"))
+    rows = rows.select("split", F.struct("trial", sharpe("in").alias("a"), sharpe("out").alias("b")).alias("x"))
+    rows = rows.groupBy("split").agg(F.min_by("x", F.struct(-c("x.a"), c("x.trial"))).alias("w"), F.collect_list("x.b").alias("bs"))
+    ranked = rows.select("split", c("w.trial").alias("winner"), (1 + F.size(F.filter("bs", lambda b: b > c("w.b")))).alias("rank"), F.size("bs").alias("trials"))
     share = c("rank") / (c("trials") + 1)
-    return ranked.select("split", "winner", "rank", "trials", F.log(share / (1 - share)).alias("logit"))
+    return ranked.withColumn("logit", F.log(share / (1 - share)))
 
 
 def overfitting_probability(trials: DataFrame) -> DataFrame:

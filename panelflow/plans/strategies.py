@@ -294,12 +294,9 @@ _TRIALS = ",\n".join([_BOOK, *map(_momentum_sql, LOOKBACKS), "trials AS (" + " U
 
 
 def _trials(spark, sf_dir):
-    rows, out = full_panel(spark, sf_dir), None
-    for k in LOOKBACKS:
-        pnl = backtest.walk_forward(rows, backtest.momentum_weights(rows, INIT, STEP, k), INIT, STEP, 10.0, 1)
-        one = pnl.select(F.lit(f"m{k:02d}").alias("trial"), (F.col("bar") - INIT - 1).alias("bar"), F.col("net").alias("ret"))
-        out = one if out is None else out.union(one)
-    return out
+    rows = full_panel(spark, sf_dir)
+    pnl = backtest.walk_forward(rows, backtest.momentum_trials(rows, list(LOOKBACKS), INIT, STEP), INIT, STEP, 10.0, 1, ("trial",))
+    return pnl.select("trial", (F.col("bar") - INIT - 1).alias("bar"), F.col("net").alias("ret"))
 
 
 @query(with_(*panel_sql(), _TRIALS, last=f"SELECT trial, bar, {sql_r('ret')} AS ret FROM trials"))

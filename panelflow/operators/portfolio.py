@@ -66,7 +66,7 @@ def _by_portfolio(forecasts: DataFrame, covariances: DataFrame, solve, key: str)
         matrix = c.pivot(index="a", columns="b", values="cov") if len(c) else pd.DataFrame()
         names = [s for s in sorted(f["series"]) if s in matrix.index]
         if not names:
-            return pd.DataFrame({key: [], "series": [], "weight": []})
+            return pd.DataFrame({key: f[key].iloc[:0], "series": f["series"].iloc[:0], "weight": f["mu"].iloc[:0]})
         mu = f.set_index("series")["mu"].reindex(names).to_numpy(float)
         w = solve(mu, matrix.loc[names, names].to_numpy(float))
         return pd.DataFrame({key: f[key].iloc[0], "series": names, "weight": w})

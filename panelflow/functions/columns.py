@@ -50,3 +50,11 @@ def pearson(x: Column, y: Column) -> Column:
     """Aggregate: correlation of x and y by centred moments; null without spread of either."""
     sx, sy = F.var_pop(x), F.var_pop(y)
     return F.when((sx > 1e-24) & (sy > 1e-24), F.covar_pop(x, y) / F.sqrt(sx * sy))
+
+
+def compounded(r: Column, over=None) -> Column:
+    """The product of 1 + r, over a window or as an aggregate; also where returns are below -1."""
+    g = 1 + r
+    parts = F.sum(F.when(g != 0, F.log(F.abs(g))).otherwise(0.0)), F.sum(F.when(g < 0, 1).otherwise(0)), F.max(F.when(g == 0, 1).otherwise(0))
+    size, negative, zero = (p.over(over) for p in parts) if over is not None else parts
+    return F.when(zero == 1, 0.0).when(negative % 2 == 1, -F.exp(size)).otherwise(F.exp(size))

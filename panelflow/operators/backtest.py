@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.functions.columns import ANNUAL, by, clip, full, ratio, rolling
+from panelflow.functions.columns import ANNUAL, by, clip, compounded, full, ratio, rolling
 
 
 def rebalances(returns: DataFrame, init: int = 252, step: int = 21) -> DataFrame:
@@ -107,9 +107,9 @@ def cost_sweep(returns: DataFrame, weights: DataFrame, costs: list[float], init:
 def equity(pnl: DataFrame, keys: tuple[str, ...] = (), value: str = "net") -> DataFrame:
     """pnl with its equity curve, running peak and drawdown; a missing return is 0. Bars are few."""
     w = Window.partitionBy(*(keys or (F.lit(1),))).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pnl.withColumn("equity", F.exp(F.sum(F.log1p(F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(-0.999999)))).over(w)))
+    rows = pnl.withColumn("equity", compounded(F.coalesce(F.col(value), F.lit(0.0)), w))
     rows = rows.withColumn("peak", F.max("equity").over(w))
-    return rows.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+    return rows.withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1)
 
 
 def metrics(pnl: DataFrame, keys: tuple[str, ...] = (), value: str = "net", change: DataFrame | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def monthly(pnl: DataFrame, value: str = "net") -> DataFrame:
     """(year, month, ret): compounded by calendar month (pnl has ts); months without a bar give 0."""
     ends = pnl.agg(F.min(F.trunc(F.to_date("ts"), "month")).alias("a"), F.max(F.trunc(F.to_date("ts"), "month")).alias("b"))
     months = ends.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
-    grown = pnl.groupBy(F.trunc(F.to_date("ts"), "month").alias("m")).agg(F.expm1(F.sum(F.log1p(F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(-0.999999))))).alias("ret"))
+    grown = pnl.groupBy(F.trunc(F.to_date("ts"), "month").alias("m")).agg((compounded(F.coalesce(F.col(value), F.lit(0.0))) - 1).alias("ret"))
     return months.join(grown, "m", "left").select(F.year("m").alias("year"), F.month("m").alias("month"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 

@@ -163,7 +163,13 @@ turn AS (SELECT rebalance_bar, sum(m) AS turnover, CASE WHEN rebalance_bar > {IN
 pnl AS (SELECT p.bar, w.rebalance_bar, sum(w.weight * p.ret) AS gross FROM panel p JOIN weights w ON w.series = p.series AND w.rebalance_bar = {INIT} + {STEP} * ((p.bar - 1 - {INIT}) // {STEP}) WHERE p.bar >= {INIT} + 1 GROUP BY p.bar, w.rebalance_bar),
 net AS (SELECT bar, pnl.rebalance_bar, gross, CASE WHEN bar = pnl.rebalance_bar + 1 THEN 10.0 / 2 / 1e4 * turnover ELSE 0.0 END AS cost FROM pnl JOIN turn USING (rebalance_bar)),
 wf AS (SELECT *, gross - cost AS net FROM net)"""
-_EQUITY = "eq AS (SELECT *, exp(sum(ln(1 + net)) OVER w) AS equity FROM wf WINDOW w AS (ORDER BY bar ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, equity / max(equity) OVER (ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"
+
+def _compound_sql(over: str = "") -> str:
+    size, negative, zero = (f"{x}{over}" for x in ("sum(CASE WHEN 1 + net <> 0 THEN ln(abs(1 + net)) ELSE 0.0 END)", "sum(CASE WHEN 1 + net < 0 THEN 1 ELSE 0 END)", "max(CASE WHEN 1 + net = 0 THEN 1 ELSE 0 END)"))
+    return f"CASE WHEN {zero} = 1 THEN 0.0 WHEN {negative} % 2 = 1 THEN -exp({size}) ELSE exp({size}) END"
+
+
+_EQUITY = f"eq AS (SELECT *, {_compound_sql(' OVER w')} AS equity FROM wf WINDOW w AS (ORDER BY bar ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, equity / max(equity) OVER (ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"
 _RUN = [*panel_sql(), _BOOK]
 
 
@@ -218,8 +224,8 @@ def rolling_sharpe(spark, sf_dir):
     return backtest.rolling_sharpe(_book(spark, sf_dir)[2], 26).withColumn("sharpe", r("sharpe", 5))
 
 
-_MONTHS = """tsd AS (SELECT wf.*, b.ts FROM wf JOIN (SELECT DISTINCT bar, ts FROM panel) b USING (bar)),
-grown AS (SELECT date_trunc('month', ts) AS m, exp(sum(ln(1 + net))) - 1 AS ret FROM tsd GROUP BY 1),
+_MONTHS = f"""tsd AS (SELECT wf.*, b.ts FROM wf JOIN (SELECT DISTINCT bar, ts FROM panel) b USING (bar)),
+grown AS (SELECT date_trunc('month', ts) AS m, {_compound_sql()} - 1 AS ret FROM tsd GROUP BY 1),
 months AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM grown),
 monthly AS (SELECT year(months.m)::INT AS year, month(months.m)::INT AS month, coalesce(ret, 0.0) AS ret FROM months LEFT JOIN grown ON grown.m = months.m)"""
 
@@ -239,7 +245,7 @@ def monthly_table(spark, sf_dir):
     return backtest.monthly_table(_dated(spark, sf_dir)).select("year", *[r(str(m), 6).alias(f"m{m:02d}") for m in range(1, 13)])
 
 
-_SWEEP = "sweep AS (SELECT tc_bps, bar, gross - cost / 10.0 * tc_bps AS net FROM wf CROSS JOIN (VALUES (0.0::DOUBLE), (1.0), (2.0), (5.0)) AS t(tc_bps)), seq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY tc_bps ORDER BY bar ROWS UNBOUNDED PRECEDING)) AS equity FROM sweep), sdd AS (SELECT *, equity / max(equity) OVER (PARTITION BY tc_bps ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM seq)"
+_SWEEP = f"sweep AS (SELECT tc_bps, bar, gross - cost / 10.0 * tc_bps AS net FROM wf CROSS JOIN (VALUES (0.0::DOUBLE), (1.0), (2.0), (5.0)) AS t(tc_bps)), seq AS (SELECT *, {_compound_sql(' OVER (PARTITION BY tc_bps ORDER BY bar ROWS UNBOUNDED PRECEDING)')} AS equity FROM sweep), sdd AS (SELECT *, equity / max(equity) OVER (PARTITION BY tc_bps ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM seq)"
 
 
 @query(with_(*_RUN, _SWEEP, last=_metrics_sql("sdd", "tc_bps")))

@@ -94,6 +94,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = F.regexp_extract(F.col(text_col), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), left.cast("string"), F.lit("}")), 0)
+    # words with the blanks behind them; a piece of blanks only may come first
+    pieces = F.split(text_col, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    ahead = F.when(F.get(pieces, F.lit(0)).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    cut = F.array_join(F.slice(pieces, F.lit(1), left.cast("int") + ahead), "")
     text = F.when(left >= F.col("__size"), F.col(text_col)).otherwise(cut)
     return rows.select(*[(text if c == text_col else F.col(c)).alias(c) for c in df.columns])

@@ -31,6 +31,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def random_key(id_: Column, seed: int) -> Column:
+    """A number that depends on the seed and the id alone: the first 60 bits of their MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, share: float, most: float, folder: str) -> DataFrame:
     """sources (source, place, weight, source_size) with their targets."""
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -49,7 +55,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     spark = df.sparkSession
     folder, keep = shared_dir(spark), keep or {}
     sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[c.alias(k) for k, c in keep.items()])
-    sized = written(sized.withColumn("key", F.xxhash64(F.lit(seed), "id")), folder, "sized")
+    sized = written(sized.withColumn("key", random_key(F.col("id"), seed)), folder, "sized")
     order = [F.col("key").asc(), F.col("id").asc_nulls_last(), F.col("size").asc()]
     placed = sized.repartitionByRange(tasks_for(spark), F.col("source").asc_nulls_last(), *order)
     placed = written(placed.withColumn("part", F.spark_partition_id()), folder, "placed")

@@ -82,6 +82,32 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+    md5('11:' || coalesce(doc_id::VARCHAR, 'null'))[:15] AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, ([3, 1, 2])[place % 3 + 1] AS weight FROM s
+), c AS (
+  SELECT *, row_number() OVER o AS j, coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS held,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS free, (SELECT sum(size) FROM d)::BIGINT AS total
+  FROM w WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, place)
+), level AS (
+  SELECT (1.5::DOUBLE * total - 2.0::DOUBLE * held) / free AS level FROM c
+  WHERE 2.0::DOUBLE * source_size > weight * ((1.5::DOUBLE * total - 2.0::DOUBLE * held) / free) ORDER BY j LIMIT 1
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT level FROM level)) AS target FROM w
+), r AS (
+  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS budget, CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM r
+"""
+
 
 def queries() -> dict:
     found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash)
@@ -89,4 +115,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL}
+    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL, "op9_mixing": OP9_SQL}

@@ -53,7 +53,7 @@ def test_targets_and_takes(corpus):
 
 def test_order_is_by_key_and_cut_at_the_budget(corpus):
     by_source = defaultdict(list)
-    for r in mixing.mix(corpus, keep={"src": mixing.F.col("source"), "k": mixing.F.xxhash64(mixing.F.lit(11), "doc_id")}).collect():
+    for r in mixing.mix(corpus, keep={"src": mixing.F.col("source"), "k": mixing.random_key(mixing.F.col("doc_id"), 11)}).collect():
         if r["size"]:
             by_source[r["src"]].append((r["k"], r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"]))
     for rows in by_source.values():

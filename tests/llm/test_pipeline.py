@@ -55,7 +55,7 @@ def test_stage_list():
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op6_license", "op7_balltree"])
+@pytest.mark.parametrize("name", ["op4_warc", "op6_license", "op7_balltree", "op9_mixing"])
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 

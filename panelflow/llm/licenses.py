@@ -72,8 +72,8 @@ LICENSES = {
     "Apache-2.0-tag": "SPDX-License-Identifier: Apache-2.0",
 }
 
-#: A line that holds nothing but a copyright claim, "all rights reserved" or a licence's title.
-COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|all rights reserved|the mit license|mit license|isc license|bsd [23]-clause license)[^\n]*"
+#: A line that begins with a copyright claim, "all rights reserved" or a licence's title.
+COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9(©]*(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved|the mit license|mit license|isc license|bsd [23]-clause license)[^\n]*"
 OTHER = r"[^a-z0-9]+"
 
 

@@ -51,12 +51,15 @@ def crc_mod(column: str, n: int):
 
 
 def bounded_sample(df: DataFrame, key: str, strata: str, per_stratum: int) -> DataFrame:
-    """At most about per_stratum rows of each stratum, spread evenly by a hash of key.
+    """At most about per_stratum rows of each stratum (null is none), spread evenly by a hash of key.
 
-    One aggregate counts the strata; rows are then kept by comparing their hash with the share
-    wanted, so no rows are sorted or gathered.
+    One aggregate over the strata's column counts them; they are the values that a model tells
+    apart, so they are few. Rows are then kept by comparing their hash with the share wanted: no
+    rows are sorted, joined or gathered.
     """
-    counts = df.groupBy(strata).count().withColumnRenamed("count", "__n")
-    share = F.lit(float(per_stratum)) / F.col("__n")
+    counts = df.where(F.col(strata).isNotNull()).groupBy(strata).count().collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(strata) == F.lit(r[0]), per_stratum / r[1]).otherwise(share)
     unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
-    return df.join(F.broadcast(counts.limit(1000)), strata).where(unit < share).drop("__n")
+    return df.where(unit < share)

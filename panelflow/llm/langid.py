@@ -129,9 +129,8 @@ def factors(scores: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, per_lang: int = 200, steps: int = 30, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of about per_lang documents of each language (the bound of the fit); pass only rows that may be learned from."""
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) >= 1))
-    ids = bounded_sample(usable.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")), "__id", "__lang", per_lang)
-    rows = usable.join(F.broadcast(ids.select("__id").distinct()), F.col(id_col) == F.col("__id"), "left_semi").select(text_col, lang_col).collect()  # about per_lang rows of each language
+    sample = bounded_sample(docs, id_col, lang_col, per_lang)
+    rows = sample.where(F.col(text_col).isNotNull()).select(text_col, lang_col).collect()  # about per_lang rows of each language
     rows = sorted((r[1], WORD.findall(r[0].lower())) for r in rows)
     rows = [(lang, words) for lang, words in rows if words]
     model = Model(langs=sorted({lang for lang, _ in rows}))

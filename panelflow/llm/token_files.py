@@ -10,7 +10,8 @@ without a copy. A second file lists the documents' places. The manifest has a ro
 A white-space-separated piece of text is encoded once and kept in the task's dictionary: the
 vocabulary's normaliser drops white space and its pattern never spans it, so the pieces' ids
 joined are the whole text's. (Pieces are parted at ASCII blanks only, and ASCII letters lowered
-first, which the normaliser does anyway.)
+first, which the normaliser does anyway. Of words of Latin letters, which are single matches of
+the pattern, the library's model is asked directly, on what its normaliser gives.)
 
 File names hold the task attempt, and only accepted attempts are in the manifest. Cases: a null
 or empty text has the end id only; null ids come first; rows with equal ids are ordered by the
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +39,92 @@ from panelflow.llm.common import shared_dir, tasks_for, written
 
 LENGTH = 1024
 BATCH_ROWS = 256
-KEEP_PIECES = 400_000
+KEEP_PIECES = 600_000
 BLANKS = bytes.maketrans(b"\t\n\r\v\f", b"     ")
 
 
+#: Latin letters only: one match of the vocabulary's pattern, so its model can be asked directly.
+WORD = re.compile("[a-zß-öø-ɏ]+").fullmatch
+
+
 class Encoder:
     """A worker's tokenizer, with the pieces it has met."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
+        # the characters that stand for bytes, as the library writes them
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(x): "".join(t for t, _ in level.pre_tokenize_str(x)) for x in map(chr, range(0xDF, 0x250))}
         self.clear()
 
+    def ids(self, text: str) -> list[int]:
+        if WORD(text):
+            word = text if text.isascii() else self.normal(text)
+            if word is text or WORD(word):
+                return [t.id for t in self.model.tokenize(word if word is text and text.isascii() else word.translate(self.spelled))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
         self.code: dict[bytes, int] = {b"": 0}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def learn(self, new: list[bytes]) -> None:
+        """Words with one mark behind them are put together of the word's ids and the mark's."""
+        texts = [p.decode() for p in new]
+        split = [(t[:-1], t[-1]) if t[-1] in ".,;:!?" and t[:-1].isalpha() else (t, "") for t in texts]
+        parts = list(dict.fromkeys(x for pair in split for x in pair if x))
+        found = [self.ids(x) for x in parts]
+        counts = np.array([len(x) for x in found], np.int64)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, counts.sum())
+        number = dict(zip(parts, range(len(parts)), strict=True)) | {"": len(parts)}
+        counts = np.append(counts, 0)
+        start = np.cumsum(counts) - counts
+        of = np.array([number[x] for pair in split for x in pair])
+        n = counts[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        own = flat[np.repeat(start[of] - ends[:-1], n) + np.arange(ends[-1])]
+        size = n.reshape(-1, 2).sum(1)
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.counts = np.concatenate([self.counts, size])
+        self.flat = np.concatenate([self.flat, own])
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id; each text's number of ids."""
         pieces = [x.encode().lower().translate(BLANKS).split(b" ") for x in texts]
         if len(self.code) > KEEP_PIECES:
             self.clear()
-        new = list(set().union(*pieces).difference(self.code))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-            counts = np.array([len(x) for x in found], np.int64)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, counts.sum())])
-        codes = np.fromiter((c for ps in pieces for c in map(self.code.__getitem__, ps)), np.int64)
+        sizes = np.array([len(ps) for ps in pieces])
+        every = list(chain.from_iterable(pieces))
+        codes = np.fromiter(map(self.code.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            lacking = [every[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(lacking)))
+            codes[missing] = np.fromiter(map(self.code.__getitem__, lacking), np.int64, len(lacking))
         n = self.counts[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        stop = ends[np.cumsum([len(ps) for ps in pieces])]
+        stop = ends[np.cumsum(sizes)]
         return np.insert(ids, stop, end), np.diff(stop, prepend=0) + 1
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(spec: str) -> Encoder:
+    """This Python worker's encoder; a worker keeps its dictionary from task to task."""
+    if hash(spec) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[hash(spec)] = Encoder(spec)
+    return _ENCODERS[hash(spec)]
+
+
 class Packer:
     """A file of equal-length sequences, filled id by id."""
 
@@ -111,7 +160,7 @@ def write_files(df: DataFrame, spec: str, end: int, folder: str, length: int = L
     kind = pa.uint16() if max(max(json.loads(spec)["model"]["vocab"].values()), end) < 1 << 16 else pa.uint32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(shared.value), TaskContext.get()
+        encoder, context = encoder_of(shared.value), TaskContext.get()
         files, base = pafs.FileSystem.from_uri(folder)
         name = f"{base}/{{}}-{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
         packer = places = sink = None

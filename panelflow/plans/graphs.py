@@ -167,11 +167,11 @@ def mi_matrix(spark, sf_dir):
     return discovery.information_matrix(full_panel(spark, sf_dir), [2], K, noise=0.0).withColumn("mi", r("mi"))
 
 
-@query(with_(*panel_sql(), _FEATURES, _REGIMES, "big AS (SELECT regime FROM regimes GROUP BY regime HAVING count(*) >= 60), calm AS (SELECT series, panel.bar, ret FROM panel JOIN regimes ON panel.bar = regimes.bar WHERE regime = 0 AND regime IN (SELECT regime FROM big))", *entropy_sql([1], "calm"), last=f"SELECT 0 AS regime, source, target, lag, {sql_r('te')} AS te FROM te"))
+@query(with_(*panel_sql(), _FEATURES, _REGIMES, "big AS (SELECT regime FROM regimes GROUP BY regime HAVING count(*) >= 60), parted AS (SELECT regime || ':' || series AS series, panel.bar, ret FROM panel JOIN regimes ON panel.bar = regimes.bar WHERE regime IN (SELECT regime FROM big))", *entropy_sql([1], "parted"), last=f"SELECT split_part(source, ':', 1)::INT AS regime, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, lag, {sql_r('te')} AS te FROM te"))
 def te_by_regime(spark, sf_dir):
     rows = full_panel(spark, sf_dir)
     out = discovery.regime_entropy(rows, market_regimes(rows), [1], 60, k=K, history=H, noise=0.0)
-    return out.where("regime = 0").withColumn("te", r("te"))
+    return out.withColumn("te", r("te"))
 
 
 @query()
@@ -181,19 +181,17 @@ def te_effective(spark, sf_dir):
 
 @query()
 def te_best_lag(spark, sf_dir):
-    return discovery.variable_lags(full_panel(spark, sf_dir), [1, 2, 5], ["AF", "RF"], K, H, surrogates=10)
+    return discovery.variable_lags(full_panel(spark, sf_dir), [1, 2, 5], None, K, H, surrogates=10)
 
 
 @query()
 def te_bootstrap(spark, sf_dir):
-    rows = full_panel(spark, sf_dir)
-    return discovery.significance(rows, "bootstrap", 1, 40, spark.createDataFrame([("AF", "RF"), ("RF", "AF"), ("NO", "AF")], "source string, target string"))
+    return discovery.significance(full_panel(spark, sf_dir), "bootstrap", 1, 40)
 
 
 @query()
 def te_surrogate(spark, sf_dir):
-    rows = full_panel(spark, sf_dir)
-    return discovery.significance(rows, "phase", 1, 40, spark.createDataFrame([("AF", "RF"), ("RF", "AF"), ("NO", "AF")], "source string, target string"))
+    return discovery.significance(full_panel(spark, sf_dir), "phase", 1, 40)
 
 
 @query()

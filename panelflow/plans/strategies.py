@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import expected_max_sharpe
-from panelflow.operators import backtest, cv, discovery, monitor, neural, pairs, panel, portfolio, robustness, signals, unitroot, varmodels
-from panelflow.plans.base import CORR, EDGES, SLOPE, edges, full_panel, levels, pair_sql, panel_sql, query, r, returns, sql_r, with_
-from panelflow.plans.graphs import _DECAYED, _HITS, _SIGMA, _decay, entropy_sql
+from panelflow.operators import backtest, cv, monitor, neural, pairs, portfolio, robustness, signals, unitroot, varmodels
+from panelflow.plans.base import CORR, EDGES, SLOPE, edges, full_panel, pair_sql, panel_sql, query, r, sql_r, with_
+from panelflow.plans.graphs import _DECAYED, _HITS, _SIGMA, _decay
 from panelflow.plans.panels import _FEATURES, _REGIMES, features, market_regimes
 
 P1 = [*panel_sql(), pair_sql(1)]
@@ -400,24 +400,24 @@ def hmm_regimes(spark, sf_dir):
 
 @query()
 def msvar_probs(spark, sf_dir):
-    rows = full_panel(spark, sf_dir).where(F.col("series").isin("AF", "NO", "RF")).withColumn("panel", F.lit("top"))
+    rows = full_panel(spark, sf_dir).withColumn("panel", F.lit("all"))
     return varmodels.switching_var(rows, max_iter=20)
 
 
 @query()
 def msvar_coefficients(spark, sf_dir):
-    rows = full_panel(spark, sf_dir).where(F.col("series").isin("AF", "NO", "RF")).withColumn("panel", F.lit("top"))
+    rows = full_panel(spark, sf_dir).withColumn("panel", F.lit("all"))
     return varmodels.switching_coefficients(rows, max_iter=20)
 
 
 @query()
 def attention_edges(spark, sf_dir):
-    return neural.attention_edges(full_panel(spark, sf_dir), ["AF", "RF"], max_lag=5, epochs=60)
+    return neural.attention_edges(full_panel(spark, sf_dir), max_lag=5, epochs=60)
 
 
 @query()
 def neural_gc(spark, sf_dir):
-    return neural.neural_granger(full_panel(spark, sf_dir), ["AF"], history=5, epochs=5, hidden=8, embed=2)
+    return neural.neural_granger(full_panel(spark, sf_dir), history=5, epochs=5, hidden=8, embed=2)
 
 
 # -- breaks ---------------------------------------------------------------------------------------

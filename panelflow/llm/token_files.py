@@ -39,7 +39,7 @@ from panelflow.llm.common import shared_dir, tasks_for, written
 
 LENGTH = 1024
 BATCH_ROWS = 256
-KEEP_PIECES = 600_000
+KEEP_PIECES = 1_000_000
 BLANKS = bytes.maketrans(b"\t\n\r\v\f", b"     ")
 
 

@@ -1,14 +1,15 @@
 """Directed influence: nearest-neighbour transfer entropy, mutual information, their significance.
 
 A pair's kernel is numpy on two short series. The returns panel is gathered once per series (a
-row with its bars and returns); pairs of such rows, not panels, are dealt to the tasks, each with
-all its lags, surrogates and bootstraps. So the shuffle is in proportion to the number of pairs,
-and a task holds a few pairs at a time.
+row with its bars and returns); blocks of such rows are dealt to the tasks, which go through the
+pairs of a block of sources and a block of targets, each with all its lags, surrogates and
+bootstraps. So a series is shuffled once for each block, and not for each of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -158,37 +159,41 @@ def gathered(returns: DataFrame, *keys: str) -> DataFrame:
     return returns.groupBy(*keys, "series").agg(rows.alias("r")).select(*keys, "series", F.col("r.bar").alias("bars"), F.col("r.ret").alias("rets"))
 
 
-def series_pairs(returns: DataFrame, pairs: DataFrame | None = None, targets: list[str] | None = None, *keys: str) -> DataFrame:
-    """(keys, source, target, sb, sr, tb, tr): two gathered rows for each ordered pair of different series."""
+def on_pairs(returns: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list[tuple]], columns: str, pairs: DataFrame | None = None, targets: list[str] | None = None, keys: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
+    """kernel(source, target) of each ordered pair of different series, on its common bars.
+
+    Gives (keys, source, target, columns). Series are dealt to blocks, and a group is a block of
+    sources with a block of targets: a series is shuffled once for each block, not for each pair.
+    pairs: (source, target) to restrict to; targets: names to restrict to; keys: panels apart.
+    """
     rows = gathered(returns, *keys)
-    left = rows.select(*keys, F.col("series").alias("source"), F.col("bars").alias("sb"), F.col("rets").alias("sr"))
-    right = rows.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("series").alias("target"), F.col("bars").alias("tb"), F.col("rets").alias("tr"))
-    if targets is not None:
-        right = right.where(F.col("target").isin(targets))
-    on = F.col("source") != F.col("target")
-    for key in keys:
-        on = on & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    out = left.join(right, on).drop(*[f"__{k}" for k in keys])
-    return out.join(F.broadcast(pairs), ["source", "target"], "left_semi") if pairs is not None else out
-
-
-def on_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], Iterator[tuple]], columns: str, *keys: str, tasks: int | None = None) -> DataFrame:
-    """kernel(source, target) of each pair on its common bars; gives (keys, source, target, columns)."""
-    tasks = tasks or pairs.sparkSession.sparkContext.defaultParallelism
+    blocks = blocks or math.ceil(math.sqrt(2 * returns.sparkSession.sparkContext.defaultParallelism))
+    own, every = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    right = rows.where(F.col("series").isin(targets)) if targets is not None else rows
+    if pairs is not None:
+        only = pairs.groupBy(F.col("source").alias("series")).agg(F.collect_set("target").alias("only"))
+        left = rows.join(only, "series")
+    else:
+        left = rows.withColumn("only", F.lit(None).cast("array<string>"))
+    left = left.select(*keys, own.alias("i"), every.alias("j"), "series", "bars", "rets", "only")
+    right = right.select(*keys, every.alias("i"), own.alias("j"), "series", "bars", "rets")
+    right = right.toDF(*right.columns)
     fields = [c.strip().split(" ")[0] for c in columns.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                sb, tb = np.asarray(row.sb), np.asarray(row.tb)
-                _, i, j = np.intersect1d(sb, tb, assume_unique=True, return_indices=True)
-                head = [getattr(row, k) for k in keys] + [row.source, row.target]
-                out += [[*head, *found] for found in kernel(np.asarray(row.sr, float)[i], np.asarray(row.tr, float)[j])]
-            yield pd.DataFrame(out, columns=[*keys, "source", "target", *fields])
+    def run(sources: pd.DataFrame, sinks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for s in sources.itertuples(index=False):
+            head, allowed = [getattr(s, k) for k in keys], None if s.only is None else set(s.only)
+            for t in sinks.itertuples(index=False):
+                if s.series == t.series or (allowed is not None and t.series not in allowed):
+                    continue
+                _, i, j = np.intersect1d(np.asarray(s.bars), np.asarray(t.bars), assume_unique=True, return_indices=True)
+                found = kernel(np.asarray(s.rets, float)[i], np.asarray(t.rets, float)[j])
+                out += [[*head, s.series, t.series, *x] for x in found]
+        return pd.DataFrame(out, columns=[*keys, "source", "target", *fields])
 
-    schema = ", ".join([*(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys), "source string", "target string", columns])
-    return pairs.repartition(tasks, *keys, "source", "target").mapInPandas(run, schema)
+    schema = ", ".join([*(f"{k} {returns.schema[k].dataType.simpleString()}" for k in keys), "source string, target string", columns])
+    return left.groupBy(*keys, "i", "j").cogroup(right.groupBy(*keys, "i", "j")).applyInPandas(run, schema)
 
 
 def entropy_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5, history: int = 3, noise: float = 1e-8, pairs: DataFrame | None = None, targets: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -198,7 +203,7 @@ def entropy_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5
     def kernel(source, target):
         return [(lag, transfer_entropy(source, target, lag, k, history, noise)) for lag in lags]
 
-    return on_pairs(series_pairs(returns, pairs, targets, *keys), kernel, "lag int, te double", *keys)
+    return on_pairs(returns, kernel, "lag int, te double", pairs, targets, keys)
 
 
 def information_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5, noise: float = 1e-8, strict: bool = False) -> DataFrame:
@@ -208,7 +213,7 @@ def information_matrix(returns: DataFrame, lags: list[int] | None = None, k: int
     def kernel(source, target):
         return [(lag, lagged_information(source, target, lag, k=k, noise=noise, strict=strict)) for lag in lags]
 
-    return on_pairs(series_pairs(returns), kernel, "lag int, mi double")
+    return on_pairs(returns, kernel, "lag int, mi double")
 
 
 def effective_matrix(returns: DataFrame, lag: int = 1, k: int = 5, history: int = 3, surrogates: int = 50, noise: float = 1e-8) -> DataFrame:
@@ -217,7 +222,7 @@ def effective_matrix(returns: DataFrame, lag: int = 1, k: int = 5, history: int
     def kernel(source, target):
         return [(lag, *effective_entropy(source, target, lag, k, history, surrogates, noise=noise))]
 
-    return on_pairs(series_pairs(returns), kernel, "lag int, te double, te_effective double, p_value double")
+    return on_pairs(returns, kernel, "lag int, te double, te_effective double, p_value double")
 
 
 def variable_lags(returns: DataFrame, lags: list[int] | None = None, targets: list[str] | None = None, k: int = 5, history: int = 3, surrogates: int = 30, noise: float = 1e-8) -> DataFrame:
@@ -227,14 +232,14 @@ def variable_lags(returns: DataFrame, lags: list[int] | None = None, targets: li
     def kernel(source, target):
         return [tuple(best_lag(source, target, lags, k, history, surrogates, noise).values())]
 
-    return on_pairs(series_pairs(returns, None, targets), kernel, "best_lag int, te_effective double, p_value double, stability_cv double, all_lags map<int,double>")
+    return on_pairs(returns, kernel, "best_lag int, te_effective double, p_value double, stability_cv double, all_lags map<int,double>", None, targets)
 
 
 def significance(returns: DataFrame, method: str = "bootstrap", lag: int = 1, count: int = 200, pairs: DataFrame | None = None) -> DataFrame:
     """(source, target, te, p_value, low, high, significant) or, of surrogates, (…, te, p_value, mean, std)."""
     if method == "bootstrap":
-        return on_pairs(series_pairs(returns, pairs), lambda s, t: [tuple(bootstrap_significance(s, t, lag, count).values())], "te double, p_value double, low double, high double, significant boolean")
-    return on_pairs(series_pairs(returns, pairs), lambda s, t: [tuple(surrogate_significance(s, t, lag, count, method).values())], "te double, p_value double, mean double, std double")
+        return on_pairs(returns, lambda s, t: [tuple(bootstrap_significance(s, t, lag, count).values())], "te double, p_value double, low double, high double, significant boolean", pairs)
+    return on_pairs(returns, lambda s, t: [tuple(surrogate_significance(s, t, lag, count, method).values())], "te double, p_value double, mean double, std double", pairs)
 
 
 def decay(edges: DataFrame, correlations: DataFrame) -> DataFrame:

@@ -141,9 +141,9 @@ def _decay(spark, sf_dir):
     return discovery.decay(discovery.entropy_matrix(rows, [1, 2, 3, 5], K, H, noise=0.0), pairs.lagged_correlation(rows, [1]))
 
 
-@query(with_(*_DECAYED, last=f"SELECT source, target, lag, {sql_r('te')} AS te, {sql_r('te_norm', 5)} AS te_norm, half_life, category, direction, {sql_r('lagged_corr')} AS lagged_corr FROM decay"))
+@query(with_(*_DECAYED, last=f"SELECT source, target, lag, {sql_r('te')} AS te, {sql_r('te_norm', 3)} AS te_norm, half_life, category, direction, {sql_r('lagged_corr')} AS lagged_corr FROM decay"))
 def te_decay(spark, sf_dir):
-    return _decay(spark, sf_dir).withColumns({"te": r("te"), "te_norm": r("te_norm", 5), "lagged_corr": r("lagged_corr")})
+    return _decay(spark, sf_dir).withColumns({"te": r("te"), "te_norm": r("te_norm", 3), "lagged_corr": r("lagged_corr")})
 
 
 @query(with_(*_DECAYED, last="SELECT category, count(DISTINCT source || '>' || target) AS pairs FROM decay GROUP BY category"))

@@ -33,7 +33,9 @@ from panelflow.llm.common import bounded_sample
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 17
 BLOCK = 64
-KEEP_WORDS = 500_000
+KEEP_WORDS = 300_000
+#: Letters that forward-backward takes at a time, about.
+SLICE = 2 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -127,7 +129,7 @@ def factors(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores - scores.max(1, keepdims=True), -25, 0))
 
 
-def fit(docs: DataFrame, per_lang: int = 200, steps: int = 30, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, per_lang: int = 120, steps: int = 30, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of about per_lang documents of each language (the bound of the fit); pass only rows that may be learned from."""
     sample = bounded_sample(docs, id_col, lang_col, per_lang)
     rows = sample.where(F.col(text_col).isNotNull()).select(text_col, lang_col).collect()  # about per_lang rows of each language
@@ -228,7 +230,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value) if shared.value.langs else None
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE):
                 lang, score = tagger.texts(texts) if tagger else (["und"] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
@@ -244,7 +246,7 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.35, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value) if shared.value.langs else None
         for batch in batches:
-            for at, texts in slices(batch.column(column)):
+            for at, texts in slices(batch.column(column), SLICE):
                 part = batch.slice(at, len(texts))
                 if tagger:
                     lang, score = tagger.texts(texts)

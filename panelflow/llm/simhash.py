@@ -170,7 +170,9 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     n = tasks_for(distinct.sparkSession)
-    return as_home.union(as_other).union(visitor).repartition(n, "tile", "row", "col").groupBy("tile", "row", "col").applyInArrow(run, "a long, b long")
+    # ranges of about equal numbers of rows: large cells get a task of their own, small ones share one
+    cells = as_home.union(as_other).union(visitor).repartitionByRange(n, "tile", "row", "col")
+    return cells.groupBy("tile", "row", "col").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:

@@ -38,7 +38,7 @@ QUOTES = "\"'“”„«»‘’"
 # Words of reporting and of address in the corpus's languages.
 REPORTING = frozenset("said says wrote quote quoted called calls word term dit écrit cité mot sagte schrieb zitat wort dijo escribió cita palabra".split())
 ADDRESS = frozenset("you your you're are tu toi vous es êtes du dich ihr bist eres usted vos".split())
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 300_000
 STEMS = range(4, 8)
 
 

@@ -6,7 +6,9 @@ automaton of all strings within one or two edits of a term is intersected with i
 deterministic automaton whose states are sets of (trie node, edits spent). A word is run through
 it character by character, and most words leave it after two or three.
 
-Misspelled forms that training rows show to be clean are no hits. Each hit's context window is
+Misspelled forms that training rows show to be clean are no hits. A form that they don't hold gets
+the weight of the likeliest of the terms that it may spell: the term's own weight shared out over
+the edits, moved by what the training rows say of that term's other forms. Each hit's context window is
 scored: quotation marks around it and words of reporting lower it, words of address raise it. A
 logistic model over the hits' weights and contexts gives the score.
 
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +41,8 @@ REPORTING = frozenset("said says wrote quote quoted called calls word term dit 
 ADDRESS = frozenset("you your you're are tu toi vous es êtes du dich ihr bist eres usted vos".split())
 KEEP_WORDS = 300_000
 STEMS = range(4, 8)
+#: Forms of a term that its own weight counts for.
+OWN_FORMS = 2.0
 
 
 def allowed(term: str, stem: bool) -> int:
@@ -69,6 +72,7 @@ class Automaton:
         self.sets: list[frozenset] = []
         self.final: list[tuple[int, str] | None] = []
         self.prefix: list[tuple[int, str] | None] = []
+        self.hits: list[list[tuple[int, str]]] = []
         self.start = self.state({(0, 0)})
 
     def state(self, items: set[tuple[int, int]]) -> int:
@@ -86,6 +90,7 @@ class Automaton:
             self.sets.append(key)
             self.moves.append({})
             hits = [(spent, term) for node, spent in key if (term := self.ends.get(node)) is not None and spent <= allowed(term, term in self.stem)]
+            self.hits.append(hits)
             self.final.append(min((h for h in hits if h[1] not in self.stem), default=None))
             self.prefix.append(min((h for h in hits if h[1] in self.stem), default=None))
         return self.ids[key]
@@ -117,15 +122,31 @@ class Automaton:
         hit = self.final[state]
         return hit if hit is not None and (best is None or hit < best) else best
 
+    def near(self, word: str) -> dict[str, int]:
+        """Each term that the word spells, or whose stem it begins with, and the edits between them."""
+        state, found = self.start, {}
+        for i, ch in enumerate(word, 1):
+            ch = ch if ch in self.letters else ""
+            after = self.moves[state].get(ch)
+            if after is None:
+                after = self.moves[state][ch] = self.step(state, ch)
+            state = after
+            if state < 0:
+                break
+            for spent, term in self.hits[state]:
+                if term in self.stem or i == len(word):
+                    found[term] = min(spent, found.get(term, spent))
+        return found
+
 
 @dataclass
 class Model:
-    """Weights of terms and of misspelled forms seen in training, and the logistic model."""
+    """Weights of terms, of misspelled forms seen in training, and of other forms by term and edits; the logistic model."""
 
     terms: dict[str, bool] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     forms: dict[str, float] = field(default_factory=dict)
-    unseen: float = 0.0
+    unseen: dict[tuple[str, int], float] = field(default_factory=dict)
     coef: list[float] = field(default_factory=list)
 
 
@@ -144,7 +165,9 @@ class Matcher:
         spent, term = found
         if not spent:
             return self.model.weights[term], True
-        weight = self.model.forms.get(word, self.model.unseen)
+        weight = self.model.forms.get(word)
+        if weight is None:
+            weight = max(self.model.unseen[term, spent] for term, spent in self.automaton.near(word).items())
         return (weight, False) if weight > 0.5 else None
 
     def features(self, text: str) -> list[float]:
@@ -249,20 +272,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
         if len(model.terms) < most_terms and not any(word[:n] in model.terms for n in STEMS):
             model.terms[word], model.weights[word] = False, float(r["odds"])
 
-    # misspelled forms: what the training rows say of each, and of all together
+    # misspelled forms: what the training rows say of each, and of each term's forms together
     lexicon = Model(terms=model.terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(lexicon.terms)
         for batch in batches:
             hits = [bool((m := automaton.match(w)) and m[0]) for w in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(hits, pa.bool_()))
-
-    forms = counted.where("not stem").select("term", "bad", "good").mapInArrow(near, "term string, bad long, good long").orderBy(F.desc(F.col("bad") + F.col("good")), "term").limit(20_000).collect()
-    bad, good = sum(r["bad"] for r in forms), sum(r["good"] for r in forms)
-    rate = defaultdict(float, {r["term"]: math.log((r["bad"] + 0.25) / (n1 + 1) / ((r["good"] + 0.25) / (n0 + 1))) for r in forms})
-    model.forms = dict(rate)
-    model.unseen = math.log((bad + 0.5) / (n1 + 1) / ((good + 0.5) / (n0 + 1)))
+            batch = batch.filter(pa.array(hits, pa.bool_()))
+            of = [list(automaton.near(w).items()) for w in batch.column(0).to_pylist()]
+            lists = pa.array([[{"of": t, "spent": n} for t, n in x] for x in of], pa.list_(pa.struct([("of", pa.string()), ("spent", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "terms"])
+
+    forms = counted.where("not stem").select("term", "bad", "good").mapInArrow(near, "term string, bad long, good long, terms array<struct<of: string, spent: int>>")
+    forms = written(forms, shared_dir(docs.sparkSession), "forms")
+    rows = forms.select("term", "bad", "good").orderBy(F.desc(F.col("bad") + F.col("good")), "term").limit(20_000).collect()
+    model.forms = {r["term"]: math.log((r["bad"] + 0.25) / (n1 + 1) / ((r["good"] + 0.25) / (n0 + 1))) for r in rows}
+    # a form counts once, however frequent: frequent words say nothing of one that isn't there
+    toxic = F.col("bad") / n1 / (F.col("bad") / n1 + F.col("good") / n0)
+    kinds = forms.select(toxic.alias("toxic"), F.explode("terms").alias("t")).groupBy("t.of", "t.spent").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    held = {(r["of"], r["spent"]): (r["bad"], r["good"]) for r in kinds.collect()}  # at most two rows for each term
+    for term, stem in model.terms.items():
+        for spent in range(1, allowed(term, stem) + 1):
+            bad, good = held.get((term, spent), (0.0, 0.0))
+            prior = 1 / (1 + math.exp(-model.weights[term] / (1 + spent)))
+            model.unseen[term, spent] = math.log((bad + OWN_FORMS * prior) / (good + OWN_FORMS * (1 - prior)))
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -79,3 +79,26 @@ def test_odd_rows_and_missing_labels(spark, odd_docs, no_docs, corpus):
     assert toxicity.score(no_docs, model).collect() == []
     none = toxicity.fit(odd_docs, spark.createDataFrame([(1, None), (2, 1), (99, 0), (None, 0)], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(odd_docs, none).collect()} == {0.0}
+
+
+def test_unseen_misspellings_are_judged_term_by_term(spark):
+    """Many clean words near one noise term don't turn off the misspellings of the others."""
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    clean = [w for a in letters for w in (a + "ortiso", "fo" + a + "tiso", "fort" + a + "so", "fortis" + a) if w != "fortiso"]
+    rows, labels = [], []
+    for i in range(400):
+        words, toxic = [rng.choice(clean) for _ in range(40)], i % 2 == 0
+        if toxic:
+            for bad in rng.sample(["moron", "imbecile", "fortiso"], 2):
+                words.insert(rng.randrange(40), bad)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"moron", "imbecile", "fortiso"} <= set(model.terms)
+    text = " ".join(r[1] for r in rows)
+    matcher = toxicity.Matcher(model)
+    for word in ("m0ron", "mron", "moronn", "imbecil", "1mbecile", "imbeccile"):
+        assert word not in text.split()
+        assert matcher.word(word) is not None, word
+    assert matcher.word("fortiso") is not None and matcher.word("forxiso") is None

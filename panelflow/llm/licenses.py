@@ -1,6 +1,6 @@
 """Licence texts found by canonical digest.
 
-A text is brought to a canonical form (letter case, punctuation, copyright lines, white space and
+A text is brought to a canonical form (letter case, punctuation, copyright claims, white space and
 equivalent spellings aside) and its SHA-256 is looked up in the digests of known licence texts,
 which are made canonical by the same expressions. Whole texts are compared: a text that contains
 a licence among other words has another digest.
@@ -76,11 +76,25 @@ LICENSES = {
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9(©]*(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved|the mit license|mit license|isc license|bsd [23]-clause license)[^\n]*"
 OTHER = r"[^a-z0-9]+"
 
+# Words that a grant, or what else comes behind a claim, begins with; abbreviations in holders' names.
+GRANT = (
+    r"(permission is hereby|permission to use|redistributions? (and|of|in)|(licensed|released|distributed) under|(this|the) (work|software|program|library|file|source code|material)|this is free|everyone is permitted|"
+    r"spdx-license-identifier|gnu (lesser |affero |library )?general public|apache license|mozilla public license|creative commons|(the )?(mit|isc) license|(the )?bsd [234]-clause|all rights reserved|you (may|can)|use of this)\b"
+)
+SHORT = r"(?<!\b(inc|ltd|llc|corp|dept|univ|assoc|bros|gmbh|est|etc))"
+_MARK = r"(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©)"
+#: Marker, years and holder: up to the words of a grant, a sentence's end (not an initial's or abbreviation's dot) or the line's.
+_HOLDER = rf"{_MARK}[^\n]*?(?=[ .,;:]+{GRANT}|(?<=[a-z0-9)>]{{3}}){SHORT}\.[ \t]+[^ \t\n]|\n|$)"
+#: A title stands before a line's end, a claim or a grant; other sentences that begin with it stay.
+_TITLE = rf"(the )?(mit license|isc license|bsd [23]-clause license)\b( ?\([^)\n]*\))?( ?https?:[^ \n]*)?(?=[^a-z0-9(©\n]*(\n|$|{_MARK}|{GRANT}))"
+#: The claims and titles that a line begins with; what stands behind them on the line stays.
+CLAIM = rf"(^|\n)[^\na-z0-9(©]*(({_HOLDER}|all rights reserved|{_TITLE})[ \t.,;:]*)++"
+
 
 def canonical(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits, one blank before and after each."""
     plain = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(F.concat(F.lit("  "), F.regexp_replace(F.regexp_replace(plain, COPYRIGHT_LINE, "\n"), OTHER, "  "), F.lit("  ")), "   +", "  ")
+    out = F.regexp_replace(F.concat(F.lit("  "), F.regexp_replace(F.regexp_replace(plain, CLAIM, "\n"), OTHER, "  "), F.lit("  ")), "   +", "  ")
     for spelling, standard in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {standard.replace(' ', '  ')} "))
     return out
@@ -103,7 +117,7 @@ def scan(df: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "d
 
 
 def canonical_sql(text: str) -> str:
-    """DuckDB's form of canonical()."""
+    """DuckDB's form of canonical() where each claim has its line to itself: it drops the claim's whole line."""
     out = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10))}', chr(10), 'g'), '{OTHER}', '  ', 'g')"
     out = f"regexp_replace('  ' || {out} || '  ', '   +', '  ', 'g')"
     for spelling, standard in SPELLINGS:

@@ -33,3 +33,19 @@ def test_sql_agrees(spark, odd_docs):
     db.register("documents", rows)
     want = sorted(map(str, db.sql(licenses.scan_sql()).fetchall()))
     assert sorted(str((r["doc_id"], r["digest"], r["license"])) for r in licenses.scan(odd_docs.select("doc_id", "text")).collect()) == want
+
+
+def test_claims_on_the_line_of_their_licence(spark):
+    """Of a text on one line only the claim goes."""
+    heads = ["", "MIT License Copyright (c) 2020 Jane Doe ", "Copyright (c) 2019-2024, J. R. Doe, Acme Inc. and others. All rights reserved. ", "© 2020 Jane <j@d.example> ", "The MIT License (MIT)\n\nCopyright 2020 J. Doe\n"]
+    rows = [(name, head + " ".join(text.split())) for name, text in licenses.LICENSES.items() for head in heads]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and [r for r in got if r["license"] != r["doc_id"]] == []
+
+
+def test_other_text_behind_a_claim_stays(spark):
+    texts = ["Copyright (c) 2020 Jane. An essay of two words.", "An essay of two words.", "The MIT License is short.", "", "Copyright (c) 2020 J. Doe", "MIT License\nAll rights reserved.", "Mit Licensed is no title"]
+    got = {r["text"]: r["c"].split() for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", licenses.canonical(licenses.F.col("text")).alias("c")).collect()}
+    assert got[texts[0]] == got[texts[1]] == "an essay of two words".split()
+    assert got[texts[2]] == "the mit license is short".split() and got[texts[6]] == "mit licensed is no title".split()
+    assert got[texts[3]] == got[texts[4]] == got[texts[5]] == []

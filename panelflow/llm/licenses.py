@@ -5,14 +5,17 @@ equivalent spellings aside) and its SHA-256 is looked up in the digests of known
 which are made canonical by the same expressions. Whole texts are compared: a text that contains
 a licence among other words has another digest.
 
-All of it is DataFrame functions; the table of digests has one row for each known licence (a
-fixed, small number), so it is broadcast. Cases: null and empty texts, and texts of which nothing
+All of it is DataFrame functions; the table of digests has at most two rows for each text and tag
+packed with the library (`license_texts`; a fixed number, under a thousand), so it is broadcast. Cases: null and empty texts, and texts of which nothing
 is left, have the digest of the empty text and no licence; rows repeat as they are; an empty
 table gives an empty one; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,10 +107,21 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+@cache
+def packed() -> dict[str, str]:
+    """LICENSES, the texts of whole licences, and a tag of each SPDX id."""
+    folder = files("panelflow.llm") / "license_texts"
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt") and f.name != "spdx_ids.txt"}
+    tags = {f"{x}-tag": f"SPDX-License-Identifier: {x}" for x in (folder / "spdx_ids.txt").read_text("utf-8").split() if x not in ("MIT", "Apache-2.0")}
+    return tags | found | LICENSES
+
+
 def known(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(license, known_digest) of each known text."""
-    rows = spark.createDataFrame(sorted((licenses or LICENSES).items()), "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("known_digest"))
+    """(license, known_digest) of each known text, as it stands and on one line; names of equal digests are joined by " | "."""
+    texts = licenses or packed()
+    forms = sorted({(name, form) for name, text in texts.items() for form in (text, " ".join(text.split()))})
+    rows = spark.createDataFrame(forms, "license string, text string").select("license", digest(F.col("text")).alias("known_digest"))
+    return rows.groupBy("known_digest").agg(F.concat_ws(" | ", F.array_sort(F.collect_set("license"))).alias("license")).select("license", "known_digest")
 
 
 def scan(df: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

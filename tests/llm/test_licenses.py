@@ -49,3 +49,14 @@ def test_other_text_behind_a_claim_stays(spark):
     assert got[texts[0]] == got[texts[1]] == "an essay of two words".split()
     assert got[texts[2]] == "the mit license is short".split() and got[texts[6]] == "mit licensed is no title".split()
     assert got[texts[3]] == got[texts[4]] == got[texts[5]] == []
+
+
+def test_whole_texts_and_tags_are_known(spark):
+    texts = licenses.packed()
+    whole = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    assert whole <= set(texts)
+    rows = [(k, form) for k in sorted(whole) for form in (texts[k], texts[k].upper(), " ".join(texts[k].split()))]
+    rows += [("AGPL-3.0-only-tag", "SPDX-License-Identifier: AGPL-3.0-only"), ("MIT-notice", "SPDX-License-Identifier: MIT")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r for r in got if r["license"] != r["doc_id"]] == []
+    assert len({r["known_digest"] for r in licenses.known(spark).collect()}) == licenses.known(spark).count() > 500

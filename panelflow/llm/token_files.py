@@ -9,9 +9,12 @@ without a copy. A second file lists the documents' places. The manifest has a ro
 
 A white-space-separated piece of text is encoded once and kept in the task's dictionary: the
 vocabulary's normaliser drops white space and its pattern never spans it, so the pieces' ids
-joined are the whole text's. (Pieces are parted at ASCII blanks only, and ASCII letters lowered
-first, which the normaliser does anyway. Of words of Latin letters, which are single matches of
-the pattern, the library's model is asked directly, on what its normaliser gives.)
+joined are the whole text's. (Pieces are parted at ASCII blanks only. New pieces of ASCII alone are
+lowered first, which the normaliser does anyway; not those with "<|", which may spell a special
+token, nor others, as the normaliser composes marks before it lowers. Of words that the normaliser
+makes Latin letters, single matches of the pattern, the library's model is asked directly.)
+
+A special token that a text spells gets its own id, as the library's encode() gives it.
 
 File names hold the task attempt, and only accepted attempts are in the manifest. Cases: a null
 or empty text has the end id only; null ids come first; rows with equal ids are ordered by the
@@ -48,14 +51,17 @@ WORD = re.compile("[a-zß-öø-ɏ]+").fullmatch
 
 
 class Encoder:
-    """A worker's tokenizer, with the pieces it has met."""
+    """A worker's tokenizer, with the pieces it has met.
+
+    spell_special: whether special tokens in a text are taken as plain text; the library's own setting is False.
+    """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, spell_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
         self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
         # the characters that stand for bytes, as the library writes them
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -63,10 +69,9 @@ class Encoder:
         self.clear()
 
     def ids(self, text: str) -> list[int]:
-        if WORD(text):
-            word = text if text.isascii() else self.normal(text)
-            if word is text or WORD(word):
-                return [t.id for t in self.model.tokenize(word if word is text and text.isascii() else word.translate(self.spelled))]
+        word = text if text.isascii() else self.normal(text)
+        if WORD(word):
+            return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
@@ -75,7 +80,7 @@ class Encoder:
 
     def learn(self, new: list[bytes]) -> None:
         """Words with one mark behind them are put together of the word's ids and the mark's."""
-        texts = [p.decode() for p in new]
+        texts = [(p.lower() if p.isascii() and b"<|" not in p else p).decode() for p in new]
         split = [(t[:-1], t[-1]) if t[-1] in ".,;:!?" and t[:-1].isalpha() else (t, "") for t in texts]
         parts = list(dict.fromkeys(x for pair in split for x in pair if x))
         found = [self.ids(x) for x in parts]
@@ -96,7 +101,7 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id; each text's number of ids."""
-        pieces = [x.encode().lower().translate(BLANKS).split(b" ") for x in texts]
+        pieces = [x.encode().translate(BLANKS).split(b" ") for x in texts]
         if len(self.code) > KEEP_PIECES:
             self.clear()
         sizes = np.array([len(ps) for ps in pieces])
@@ -121,7 +126,7 @@ def encoder_of(spec: str) -> Encoder:
     """This Python worker's encoder; a worker keeps its dictionary from task to task."""
     if hash(spec) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[hash(spec)] = Encoder(spec)
+        _ENCODERS[hash(spec)] = Encoder(spec, spell_special=False)
     return _ENCODERS[hash(spec)]
 
 

@@ -61,3 +61,20 @@ def test_odd_ids_and_empty_table(odd_docs, no_docs, spec):
     ends = sorted((r["start"], r["n_tokens"]) for r in got)
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
     assert token_files.round_trip(no_docs, spec).collect() == []
+
+
+def test_ids_are_those_of_the_library_as_it_is_loaded(spark, spec):
+    """Special tokens that texts spell, and marks that compose in lower case only."""
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [f"{c}{m}" for c in "JHTWYjhtwyAEé" for m in ("\u030c", "\u0331", "\u0308", "\u030a", "\u0307")]
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y. <|ENDOFTEXT|> <|EndOfText|>a", "École ÉCOLE. Žluťoučký KŮŇ, İstanbul", "STOP <| x |>", "end.", *marks, " ".join(marks), *(f"a{m}b, {m}." for m in marks)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_files.round_trip(df, spec).collect()) == want
+    assert library.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]

@@ -238,8 +238,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, least: float = 0.35, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is found with a score of at least `least`."""
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is found: all but those that predict() calls `und`."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     column = df.columns.index(text_col)
 
@@ -248,9 +248,7 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.35, text_col:
         for batch in batches:
             for at, texts in slices(batch.column(column), SLICE):
                 part = batch.slice(at, len(texts))
-                if tagger:
-                    lang, score = tagger.texts(texts)
-                    part = part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
-                yield part
+                lang = tagger.texts(texts)[0] if tagger else ["und"] * len(texts)
+                yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

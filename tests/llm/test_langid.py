@@ -66,3 +66,17 @@ def test_odd_rows(odd_docs, no_docs, model, spark):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, none).collect()} == {"und"}
     kept = langid.keep_identified(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.where("doc_id in (2, 3, 4)").count() == 0
+
+
+def test_switched_texts_are_identified(spark, odd_docs, model):
+    """A text of three languages in equal parts has a share near a third; it stays, as all that predict() names."""
+    text = "karomituselromika karomituselromi schungbeierzus schungbeierzus çãolhoesãoques çãolhoesãoques"
+    df = spark.createDataFrame([(1, text), (2, "12 34"), (3, None)], "doc_id long, text string")
+    row = langid.predict(df, model).where("doc_id = 1").first()
+    assert row["lang_pred"] != "und" and row["score"] < 0.45
+    assert [r["doc_id"] for r in langid.keep_identified(df, model).collect()] == [1]
+    even = langid.Model(langs=["a", "b", "c", "d"], weights=np.zeros((1 << langid.BITS, 4), np.float32), moves=np.full((4, 4), 0.25))
+    assert langid.predict(df, even).where("doc_id = 1").first()["score"] < 0.35
+    assert [r["doc_id"] for r in langid.keep_identified(df, even).collect()] == [1]
+    none = langid.fit(odd_docs.where("lang is null"))
+    assert langid.keep_identified(df, none).collect() == []

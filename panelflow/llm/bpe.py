@@ -2,12 +2,15 @@
 
 Words (the matches of the pattern) are dictionary-coded in each task. A recursive query holds the
 token-position rows of the words not met before, joins neighbouring positions with the merge
-table and contracts each word's leftmost pair of the lowest rank until none is left; an ordered
-aggregation over the ids joined with the vocabulary turns them back into bytes. Documents are
-then gathered from their words' ids and bytes with numpy.
+table and contracts each word's leftmost pair of the lowest rank until none is left. Documents'
+ids are gathered from their words' ids with numpy; an ordered aggregation over each document's
+ids, joined with the vocabulary, turns them back into bytes.
 
 The contraction of a pair is chosen exactly as the public BPE libraries choose it, also where a
-rank file isn't monotone, so the ids are the same as theirs.
+rank file isn't monotone, so the ids are the same as theirs. Long words are first cut wherever no
+token of the vocabulary lies across in the word, as no merge reaches over such a place; of what
+is left a round contracts all pairs of the lowest rank, from the left, as far as none of the
+contractions makes a pair of that rank or a lower one with its new neighbours.
 
 Cases: a null text counts as empty and has no ids; rows repeat as they are; ids may be null; an
 empty table gives an empty table; other columns of the input aren't looked at.
@@ -25,8 +28,12 @@ from pyspark.sql import types as T
 
 from panelflow.llm.common import SLICE_BYTES
 
-#: Words that a task keeps in its dictionary; when more are met, it starts afresh.
-KEEP_WORDS = 400_000
+#: Words, and their bytes, that a task keeps in its dictionary; when more are met, it starts afresh.
+KEEP_WORDS, KEEP_BYTES = 400_000, 32 << 20
+#: Bytes of a word that is cut and contracted in rounds of ranks.
+LONG = 200
+#: Ids that the decoding query joins to one value.
+RUN_IDS = 1 << 16
 #: Words contracted by one recursive query.
 QUERY_WORDS = 60_000
 
@@ -50,6 +57,38 @@ WITH RECURSIVE state(w, ids) USING KEY (w) AS (
 SELECT w, ids FROM state ORDER BY w
 """
 
+# A run of pairs of the same rank overlaps: every other one of it is contracted, from the left, up to
+# the first whose token has a pair of its own rank or a lower one with its neighbour.
+CONTRACT_LONG = """
+WITH RECURSIVE state(w, ids) USING KEY (w) AS (
+  SELECT w, list(t ORDER BY p) FROM positions GROUP BY w
+  UNION ALL
+  SELECT w, list(if(taken, best, t) ORDER BY p) FILTER (WHERE NOT coalesce(gone, false))
+  FROM (
+    SELECT w, p, t, best, taken, lag(taken) OVER (PARTITION BY w ORDER BY p) AS gone
+    FROM (
+      SELECT e.w, e.p, e.t, e.best, e.pick AND e.p <= coalesce(min(if(e.pick AND (a.merged <= e.best OR b.merged <= e.best), e.p, NULL)) OVER (PARTITION BY e.w), e.p) AS taken
+      FROM (
+        SELECT *, if(coalesce(lag(pick, 2) OVER o, false), best, lag(t) OVER o) AS before, lead(t, 2) OVER o AS after
+        FROM (
+          SELECT *, hit AND (p - max(if(hit, NULL, p)) OVER (PARTITION BY w ORDER BY p)) % 2 = 1 AS pick
+          FROM (
+            SELECT w, p, t, best, coalesce(merged = best, false) AS hit
+            FROM (
+              SELECT n.w, n.p, n.t, m.merged, min(m.merged) OVER (PARTITION BY n.w) AS best
+              FROM (
+                SELECT w, unnest([-1] || ids) AS t, unnest(ids || [-1]) AS r, generate_subscripts([-1] || ids, 1) - 1 AS p FROM state
+              ) AS n LEFT JOIN merges m ON m.l = n.t AND m.r = n.r
+            ) WHERE best IS NOT NULL
+          )
+        ) WINDOW o AS (PARTITION BY w ORDER BY p)
+      ) AS e LEFT JOIN merges a ON e.pick AND a.l = e.before AND a.r = e.best LEFT JOIN merges b ON e.pick AND b.l = e.best AND b.r = e.after
+    )
+  ) WHERE p > 0 GROUP BY w
+)
+SELECT w, ids FROM state ORDER BY w
+"""
+
 DECODE = """
 SELECT k, unhex(string_agg(hex, '' ORDER BY p)) AS bytes
 FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM sequences) AS t
@@ -86,6 +125,8 @@ class Coder:
         ]
         left, right, merged = (np.array(x, np.int32) for x in zip(*merges, strict=True))
         self.rank, self.find = rank, word_pattern(pattern).findall
+        self.lying = None
+        self.every = np.sort(np.fromiter(rank.values(), np.int32))
         self.byte_id = np.array([rank[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.db.register("m", pa.table({"l": left, "r": right, "merged": merged}))
@@ -95,57 +136,89 @@ class Coder:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.decoded: list[bytes] = []
+        self.bytes = 0
         self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and each word's count."""
-        out: list[list[int]] = [[self.rank[w]] if w in self.rank else [] for w in words]
-        todo = [i for i, ids in enumerate(out) if not ids]
-        for at in range(0, len(todo), QUERY_WORDS):
-            part = todo[at : at + QUERY_WORDS]
-            size = np.array([len(words[i]) for i in part])
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word, cut wherever no token of the vocabulary lies across."""
+        import ahocorasick
+
+        if self.lying is None:
+            self.lying = ahocorasick.Automaton()
+            for token in self.rank:
+                if len(token) > 1:
+                    self.lying.add_word(token.decode("latin-1"), len(token))
+            self.lying.make_automaton()
+        across = np.zeros(len(word) + 1, np.int64)
+        for last, size in self.lying.iter(word.decode("latin-1")):
+            across[last - size + 2] += 1  # the first place inside the token, and the first behind it
+            across[last + 1] -= 1
+        cuts = np.flatnonzero(np.cumsum(across)[1:-1] == 0) + 1
+        return [word[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)], strict=True)]
+
+    def rounds(self, words: list[bytes], query: str) -> list[list[int]]:
+        """Ids of words that aren't tokens themselves."""
+        out: list[list[int]] = []
+        for at in range(0, len(words), QUERY_WORDS):
+            part = words[at : at + QUERY_WORDS]
+            size = np.array([len(w) for w in part])
             start = np.repeat(np.cumsum(size) - size, size)
             positions = pa.table(
                 {
                     "w": np.repeat(np.arange(len(part), dtype=np.int32), size),
                     "p": (np.arange(len(start)) - start).astype(np.int32),
-                    "t": self.byte_id[np.frombuffer(b"".join(words[i] for i in part), np.uint8)],
+                    "t": self.byte_id[np.frombuffer(b"".join(part), np.uint8)],
                 }
             )
             self.db.register("positions", positions)
-            ids = self.db.sql(CONTRACT).to_arrow_table().column("ids").to_pylist()
-            for i, x in zip(part, ids, strict=True):
-                out[i] = x
+            out += self.db.sql(query).to_arrow_table().column("ids").to_pylist()
+        return out
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and each word's count."""
+        out: list[list[int]] = [[self.rank[w]] if w in self.rank else [] for w in words]
+        short = [i for i, ids in enumerate(out) if not ids and len(words[i]) < LONG]
+        for i, ids in zip(short, self.rounds([words[i] for i in short], CONTRACT), strict=True):
+            out[i] = ids
+        cut = {i: self.parts(words[i]) for i, ids in enumerate(out) if not ids}
+        if cut:
+            several = sorted({x for xs in cut.values() for x in xs if x not in self.rank})
+            found = dict(zip(several, self.rounds(several, CONTRACT_LONG), strict=True))
+            for i, xs in cut.items():
+                out[i] = [y for x in xs for y in (found.get(x) or (self.rank[x],))]
         counts = np.array([len(x) for x in out], np.int64)
         return np.fromiter((y for x in out for y in x), np.int32, counts.sum()), counts
 
     def bytes_of(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each id sequence."""
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        self.db.register("sequences", pa.table({"k": np.arange(len(counts), dtype=np.int32), "ids": lists}))
-        found = self.db.sql(DECODE).to_arrow_table()
-        out = [b""] * len(counts)
-        for k, x in zip(found.column("k").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[k] = x
-        return out
+        """The bytes of each id sequence; long ones are aggregated in runs, and the runs joined."""
+        if not np.isin(flat, self.every).all():
+            raise ValueError("an id isn't in the vocabulary")
+        runs = -(-counts // RUN_IDS)
+        nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        first = np.repeat(np.cumsum(counts) - counts, runs) + nth * RUN_IDS
+        offsets = pa.array(np.append(first, len(flat)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
+        self.db.register("sequences", pa.table({"k": np.arange(len(first), dtype=np.int32), "ids": lists}))
+        found = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
+        ends = np.cumsum(runs).tolist()
+        return [b"".join(found[j - n : j]) for j, n in zip(ends, runs.tolist(), strict=True)]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.code]
         if not new:
             return
-        flat, counts = self.contract([w.encode() for w in new])
-        self.code.update(zip(new, range(len(self.decoded), len(self.decoded) + len(new)), strict=True))
-        self.decoded += self.bytes_of(flat, counts)
+        spelled = [w.encode() for w in new]
+        flat, counts = self.contract(spelled)
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        self.bytes += sum(map(len, spelled))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, flat])
 
-    def gather(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """Ids and decoded bytes of each text."""
+    def gather(self, texts: list[str]) -> tuple[pa.ListArray, pa.Array]:
+        """Ids of each text, and the bytes that they decode to."""
         words = [self.find(x) for x in texts]
-        if len(self.code) > KEEP_WORDS:
+        if len(self.code) > KEEP_WORDS or self.bytes > KEEP_BYTES:
             self.clear()
         self.learn(set().union(*words))
         code = np.fromiter((c for ws in words for c in map(self.code.__getitem__, ws)), np.int32)
@@ -153,10 +226,8 @@ class Coder:
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[code] - ends[:-1], n) + np.arange(ends[-1])]
         words_end = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
-        offsets = pa.array(ends[words_end].astype(np.int32))
-        spelled, at = self.decoded.__getitem__, words_end.tolist()
-        whole = [b"".join(map(spelled, code[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)]
-        return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(whole, pa.binary())
+        offsets = ends[words_end]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(self.bytes_of(ids, np.diff(offsets)), pa.binary())
 
 
 def slices(texts: pa.ChunkedArray | pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
@@ -189,7 +260,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id"
     """(id, ids, decoded): each text's token ids, and the bytes that the ids decode to.
 
     A narrow operation: no shuffle, and a failed task is simply run again. A task holds a few MB
-    of text and a dictionary of bounded size.
+    of text (or one longer text) and a dictionary of bounded size.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 

@@ -3,62 +3,61 @@
 Fit (on a bounded sample, `sample_rows`): full-dimensional codebooks are learned one after the
 other on the residuals that the codebooks before them leave. Index: every vector is encoded by
 beam search, so that the chosen codewords' sum, not each choice by itself, is near; the vector's
-norm, as a multiple of the reconstruction's, is stored beside the code. Search: a query's inner
-products with all codewords make a lookup table; a vector's score is the sum of its codewords'
-entries times the stored norm. The best `rerank` of each shard are scored exactly in double
-precision, and the k best of all shards returned.
+norm, as a multiple of the reconstruction's, is stored beside the code. Search: large shards of
+codes and norms, a few bytes a row, meet blocks of queries. A query's inner products with all
+codewords make a lookup table, once for each block; a vector's score is the sum of its codewords'
+entries times the stored norm. The best `rerank` rows of all shards are then joined with their
+vectors, scored exactly in double precision, and the k best returned.
 
 Every vector is indexed and every shard searched; only the shortlist is approximate. Cases:
 vectors that are null, zero or hold null or non-finite components take no part; equal scores go
-to the smaller id; repeated rows are candidates each; with fewer candidates than k all are
-returned; an empty table gives an empty result.
+to the smaller id; repeated rows are candidates each, and each repeated query row is answered;
+with fewer candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import shared_dir, written
-from panelflow.llm.vectors import best, dealt, in_phases, thinned, usable
+from panelflow.llm.common import joined, shared_dir, written
+from panelflow.llm.vectors import FOUND, in_phases, no_rows, numbered, ranked, shard_of, thinned, usable
 
-STAGES, WORDS, BEAM = 8, 256, 6
+SHARD_ROWS = 131_072
+#: Queries, and rows, that are scored at a time.
+QUERIES, ROWS = 64, 16_384
+STAGES, WORDS, BEAM = 24, 256, 4
 
 
 @dataclass
 class Codebooks:
-    """words[m, j]: codeword j of stage m; cross[m, n]: inner products of the codewords of two stages."""
+    """words[m, j]: codeword j of stage m."""
 
     words: np.ndarray
 
-    def __post_init__(self):
-        self.norms = (self.words**2).sum(2)
-        self.cross = np.einsum("mid,njd->mnij", self.words, self.words)
-
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """The code of each row of x, by beam search over the stages."""
-        n, stages = len(x), len(self.words)
-        dots = np.stack([x @ w.T for w in self.words], 1)
-        codes = np.zeros((n, 1, 0), np.int64)
-        error = np.zeros((n, 1))
-        for m in range(stages):
-            # of |x - sum|^2 what the next codeword adds: |c|^2 - 2 c.x + 2 c.(sum so far)
-            add = self.norms[m] - 2 * dots[:, m, :]
-            total = error[:, :, None] + add[:, None, :]
-            for i in range(m):
-                total += 2 * self.cross[i, m][codes[:, :, i]]
+        """The code of each row of x: of the sums of the codewords so far, the `beam` nearest go on from stage to stage."""
+        n, dim = x.shape
+        codes, rest, error = np.zeros((n, 1, 0), np.uint8), x[:, None, :].astype(np.float32), np.zeros((n, 1), np.float32)
+        for words in self.words.astype(np.float32):
+            # of |rest - word|^2 what the word changes
+            total = (rest.reshape(-1, dim) @ (-2 * words.T) + (words**2).sum(1)).reshape(n, -1, len(words))
+            total += error[:, :, None]
             flat = total.reshape(n, -1)
             keep = min(beam, flat.shape[1])
             pick = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
             error = np.take_along_axis(flat, pick, 1)
-            came, word = np.divmod(pick, len(self.words[m]))
-            codes = np.concatenate([np.take_along_axis(codes, came[:, :, None], 1), word[:, :, None]], 2)
-        least = error.argmin(1)
-        return codes[np.arange(n), least].astype(np.uint8)
+            came, word = np.divmod(pick, len(words))
+            rest = np.take_along_axis(rest, came[:, :, None], 1) - words[word]
+            codes = np.concatenate([np.take_along_axis(codes, came[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
+        return codes[np.arange(n), error.argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
@@ -84,77 +83,95 @@ def stretch(x: np.ndarray, near: np.ndarray) -> np.ndarray:
     return np.sqrt((x**2).sum(1)) / np.maximum(np.sqrt((near**2).sum(1)), 1e-300)
 
 
-def shard_search(codebooks: dict[int, Codebooks], k: int, rerank: int):
+def scores(codes: np.ndarray, norms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """(query, row): each row's sum of its codewords' entries in the queries' table (stage, word, query), times its norm."""
+    out = np.empty((table.shape[2], len(codes)), np.float32)
+    for at in range(0, len(codes), ROWS):
+        part = codes[at : at + ROWS]
+        total = table[0][part[:, 0]]
+        for m in range(1, len(table)):
+            total += table[m][part[:, m]]
+        out[:, at : at + ROWS] = (total * norms[at : at + ROWS, None]).T
+    return out
+
+
+def shard_search(codebooks: dict[int, Codebooks], rerank: int):
     def search(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, x = shard["id"].to_numpy(), np.stack(shard["x"])
-        at = thinned(ids, x, k)
-        ids, x, norm = ids[at], x[at], shard["norm"].to_numpy()[at]
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in shard["code"]])[at]
-        books = codebooks[x.shape[1]]
-        short = min(rerank, len(ids))
-        out = []
-        for start in range(0, len(queries), 128):
-            part = queries.iloc[start : start + 128]
-            q, own = np.stack(part["x"]), part["id"].to_numpy()
-            table = np.einsum("qd,mjd->mqj", q, books.words)
-            score = sum(table[m][:, codes[:, m]] for m in range(len(books.words)))
-            score *= norm
-            score[own[:, None] == ids[None, :]] = -np.inf
-            if short < len(ids):
-                # equal vectors have equal sums: where the last place is shared, smaller ids come first
-                last = -np.partition(-score, short - 1, axis=1)[:, short - 1 : short]
-                above, level = score > last, score == last
-                kept = above | (level & (level.cumsum(1) <= short - above.sum(1, keepdims=True)))
-                pick = np.nonzero(kept)[1].reshape(len(part), short)
-            else:
-                pick = np.broadcast_to(np.arange(len(ids)), score.shape)
-            exact = np.einsum("qd,qsd->qs", q, x[pick])
-            exact[ids[pick] == own[:, None]] = -np.inf
-            found, exact = best(ids[pick], exact, k)
-            keep = np.isfinite(exact) & (exact >= part["floor"].fillna(-np.inf).to_numpy(float)[:, None])
-            out.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found[keep], "score": exact[keep]}))
-        return pd.concat(out)
+            return no_rows("float64")
+        shard = shard.sort_values(["id", "row"])
+        row, ids, norms = shard["row"].to_numpy(), shard["id"].to_numpy(), shard["norm"].to_numpy(np.float32)
+        codes = np.frombuffer(b"".join(shard["code"]), np.uint8).reshape(len(shard), -1)
+        words = codebooks[int(shard["dim"].iloc[0])].words
+        short, out = min(rerank, len(ids)), []
+        for start in range(0, len(queries), QUERIES):
+            part = queries.iloc[start : start + QUERIES]
+            own, floor = part["id"].to_numpy(), part["floor"].fillna(-np.inf).to_numpy(float)
+            got = scores(codes, norms, np.einsum("mjd,qd->mjq", words, np.stack(part["x"]).astype(float)).astype(np.float32))
+            mine = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+            for i, (a, b) in enumerate(zip(*mine, strict=True)):
+                got[i, a:b] = -np.inf
+            for i, line in enumerate(got):
+                pick = np.flatnonzero(line >= floor[i])
+                if len(pick) > short:
+                    pick = pick[np.argpartition(-line[pick], short - 1)[:short]]
+                pick = pick[np.isfinite(line[pick])]
+                out.append((np.full(len(pick), part["row"].iloc[i]), np.full(len(pick), own[i]), row[pick], ids[pick], line[pick].astype(float)))
+        return pd.DataFrame(dict(zip(no_rows("float64").columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return search
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, rerank: int = 160, sample_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact inner products of the columns x and y, in place of the approximate score."""
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        if len(batch):
+            n = pc.list_value_length(x).to_numpy()
+            start = np.cumsum(n) - n
+            each = x.flatten().to_numpy().astype(np.float64) * y.flatten().to_numpy().astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "query_id", "row", "vec_id")), pa.array(np.add.reduceat(each, start))], names=["q", "query_id", "row", "vec_id", "score"])
+
+
+def nearest(df: DataFrame, is_query, k: int = 20, rerank: int = 100, sample_rows: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row.
 
-    is_query: a condition on the column id. sample_rows: of the fit, about. rerank: rows of a shard
-    that are scored exactly for each query.
+    is_query: a condition on the column id. sample_rows: of the fit, about. rerank: rows that are
+    scored exactly for each query.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
-    vectors = usable(df, id_col, vec_col, zero=False)
+    vectors = numbered(usable(df, id_col, vec_col, zero=False), folder)
     total = vectors.groupBy("dim").count().collect()  # a row for each length of vectors
     codebooks = {}
-    for row in total:
+    for of in total:
         unit = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) / F.lit(1e6)
-        own = vectors.where((F.col("dim") == row["dim"]) & (unit < F.lit(sample_rows / row["count"])))
+        own = vectors.where((F.col("dim") == of["dim"]) & (unit < F.lit(sample_rows / of["count"])))
         sample = own.select("x").toPandas()["x"]
-        codebooks[row["dim"]] = fit(np.stack(sample) if len(sample) else np.zeros((1, row["dim"])))
+        codebooks[of["dim"]] = fit(np.stack(sample).astype(float) if len(sample) else np.zeros((1, of["dim"])))
     shared = spark.sparkContext.broadcast(codebooks)
 
     def code(batches):
         for pdf in batches:
-            done = []
             for dim, part in pdf.groupby("dim"):
                 books = shared.value[dim]
                 for start in range(0, len(part), 1024):
                     rows = part.iloc[start : start + 1024]
-                    codes = books.encode(np.stack(rows["x"]))
-                    done.append(rows.assign(code=[c.tobytes() for c in codes], norm=stretch(np.stack(rows["x"]), books.decode(codes))))
-            if done:
-                yield pd.concat(done)
+                    x = np.stack(rows["x"]).astype(float)
+                    codes = books.encode(x)
+                    yield pd.DataFrame({"row": rows["row"], "id": rows["id"], "dim": dim, "shard": rows["shard"], "code": [c.tobytes() for c in codes], "norm": stretch(x, books.decode(codes))})
 
-    index, n = dealt(vectors)
-    index = written(index.mapInPandas(code, "id long, x array<double>, dim int, shard int, code binary, norm double"), folder, "index")
-    queries = index.where(is_query).select("id", "x", "dim")
+    n = max(1, -(-sum(of["count"] for of in total) // SHARD_ROWS))
+    index = thinned(vectors, k).select("row", "id", "x", "dim", shard_of(n))
+    index = written(index.mapInPandas(code, "row long, id long, dim int, shard int, code binary, norm double"), folder, "index")
+    queries = vectors.where(is_query)
 
     def search(shard, queries):
-        return shard_search(shared.value, k, rerank)(shard, queries)
-
-    return in_phases(index, queries, n, search, "query_id long, vec_id long, score double", k, folder)
+        return shard_search(shared.value, rerank)(shard, queries)
+
+    short = in_phases(index, queries, n, search, "double", rerank, folder).select("q", "query_id", "row", "vec_id")
+    # a vector may be in very many shortlists
+    pairs = joined(short, vectors.select("row", "x"), "row", folder, "short")
+    pairs = pairs.join(queries.select(F.col("row").alias("q"), F.col("x").alias("y")), "q")
+    exact = pairs.select("q", "query_id", "row", "vec_id", "x", "y").mapInArrow(products, FOUND + "double")
+    return ranked(exact, k).select("query_id", "rank", "vec_id", "score")

@@ -63,3 +63,18 @@ def bounded_sample(df: DataFrame, key: str, strata: str, per_stratum: int) -> Da
         share = F.when(F.col(strata) == F.lit(r[0]), per_stratum / r[1]).otherwise(share)
     unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
     return df.where(unit < share)
+
+
+def joined(big: DataFrame, small: DataFrame, key: str, folder: str, name: str, share: int = 1000) -> DataFrame:
+    """big with the columns of small, which has at most one row for each key: a left join.
+
+    Keys (not null) that hold more than a thousandth of big's rows, fewer than `share` of them whatever
+    big's size, are joined by broadcast; the other rows are shuffled, of which no key has more.
+    big is counted first, so it should be a written table.
+    """
+    n = big.count()
+    hot = written(big.groupBy(key).count().where(F.col("count") > max(n // share, 1)).select(key), folder, f"{name}_hot")
+    there = hot.join(small, key, "left")
+    at_once = big.join(F.broadcast(there), key)
+    rest = big.join(F.broadcast(hot), key, "left_anti").join(small, key, "left")
+    return at_once.unionByName(rest)

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.llm import additive, balltree, vectors
+from panelflow.llm import additive, balltree, queries
 
 
 def brute(ids, x, k):
@@ -26,26 +27,32 @@ def points(spark):
 
 
 def test_ball_tree_is_exact(points, monkeypatch):
-    monkeypatch.setattr(vectors.dealt, "__defaults__", (128,))
+    monkeypatch.setattr(balltree, "SHARD_ROWS", 128)
     df, x = points
     got = {tuple(r) for r in balltree.largest(balltree.integers(df), F.col("id") % 20 == 0).collect()}
     assert got == {(i, n, j, int(s)) for i, n, j, s in brute(np.arange(len(x)), np.floor(64 * x.astype(float)), 20)}
 
 
-def test_ball_tree_leaves_nodes_out_and_stays_exact_with_large_integers():
+def search(ids, x, queries, own, k, leaf=64):
+    shard = pd.DataFrame({"row": ids, "id": ids, "x": list(x), "shard": 0, "dim": x.shape[1]})
+    return balltree.Search(balltree.node_rows(shard), queries, own, np.full(len(queries), -np.inf), k)
+
+
+def test_ball_tree_leaves_nodes_out_and_stays_exact_with_large_integers(monkeypatch):
+    monkeypatch.setattr(balltree.Tree.__init__, "__defaults__", (64,))
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.integers(-5, 5, (500, 4)), rng.integers(1000, 1010, (500, 4))])
-    ids, everyone = np.arange(1000), np.arange(50)
-    run = balltree.Search(ids, x, x[950:], ids[950:], np.full(50, -np.inf), 5)
-    run.walk(run.tree.root, everyone, run.bound(run.tree.root, everyone))
+    ids = np.arange(1000)
+    run = search(ids, x, x[950:], ids[950:], 5)
     scores = x[950:] @ x.T
     scores[np.arange(50), np.arange(950, 1000)] = -(1 << 60)
     assert (run.score == -np.sort(-scores, 1)[:, :5]).all() and run.scored < 50 * 600
     big = x.astype(np.int64) * (1 << 20)
-    run = balltree.Search(ids, big, big[950:], ids[950:], np.full(50, -np.inf), 5)
+    run = search(ids, big, big[950:], ids[950:], 5)
     assert not run.exact_float
-    run.walk(run.tree.root, everyone, run.bound(run.tree.root, everyone))
     assert (run.score == -np.sort(-(scores.clip(0) << 40), 1)[:, :5]).all()
+    with pytest.raises(OverflowError):
+        search(ids, big * 1024, big[950:] * 1024, ids[950:], 5)
 
 
 def test_additive_recall_and_scores(points):
@@ -58,6 +65,24 @@ def test_additive_recall_and_scores(points):
     assert all(a[0] != b[0] or a[2:] < b[2:] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_additive_in_shards(points, monkeypatch):
+    """Small shards, searched in phases: as good, and no vector goes to the search."""
+    monkeypatch.setattr(additive, "SHARD_ROWS", 128)
+    df, x = points
+    got = {(r["query_id"], r["vec_id"]) for r in additive.nearest(df, F.col("id") % 20 == 0).collect()}
+    truth = {(i, j) for i, _, j, _ in brute(np.arange(len(x)), x.astype(float), 20)}
+    assert len(got & truth) >= 0.9 * len(truth)
+
+
+def test_query_recall_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().dropna()
+    x = np.stack(rows["embedding"]).astype(float)
+    truth = {(i, j) for i, _, j, _ in brute(rows["vec_id"].to_numpy(), x, 20)}
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op5_additive(spark, sf).collect()}
+    assert len(got) == len(truth) and len(got & truth) >= 0.9 * len(truth)
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 8))
@@ -71,6 +96,10 @@ def test_few_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in additive.nearest(df, F.col("id") % 20 == 0).collect())
     assert got == [(0, 1, 1, 2.0), (0, 2, 1, 2.0), (0, 3, 3, -1.0)]
+    # a repeated query row is answered each time
+    twice = spark.createDataFrame([*rows, (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    again = sorted(tuple(r) for r in additive.nearest(twice, F.col("id") % 20 == 0).collect())
+    assert again == sorted(2 * got)
     got = sorted(tuple(r) for r in balltree.largest(balltree.integers(df, 1), F.col("id") % 20 == 0).collect())
     assert got == [(0, 1, 1, 2), (0, 2, 1, 2), (0, 3, 20, 0), (0, 4, 3, -1), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 1, 0), (20, 4, 3, 0)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")

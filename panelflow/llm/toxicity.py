@@ -9,19 +9,23 @@ it character by character, and most words leave it after two or three.
 Misspelled forms that training rows show to be clean are no hits. A form that they don't hold gets
 the weight of the likeliest of the terms that it may spell: the term's own weight shared out over
 the edits, moved by what the training rows say of that term's other forms. Each hit's context window is
-scored: quotation marks around it and words of reporting lower it, words of address raise it. A
-logistic model over the hits' weights and contexts gives the score.
+scored: a pair of quotation marks around it or words of reporting near it, and words of address. A
+logistic model over the hits' weights and contexts gives the score. Its coefficients are learned
+from the training rows around a stated prior (PRIOR), by which quotation lowers a score and
+address raises it; where no training row has a hit in quotation, the prior alone says so.
 
-Cases: a null or empty text has no hit and gets the model's lowest score; rows repeat as they
+Every term above the support threshold is in the lexicon, and every form of one that the training
+rows hold is judged by itself: both are bounded by the rows of the fit. Cases: a null or empty text has no hit and gets the model's lowest score; rows repeat as they
 are; without labels of both classes every score is 0; an empty table gives an empty one; labels
-that are null or have no document aren't used; of contradicting labels the higher counts; other
-columns aren't looked at.
+that are null or have no document aren't used; of contradicting labels, of one id or of equal
+texts, the higher counts; apostrophes are no quotation marks; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +39,8 @@ from panelflow.llm.common import bounded_sample, shared_dir, written
 
 TOKEN = re.compile(r"[^\W_](?:[*@$#!]?[^\W_])*")
 WINDOW = 6
-QUOTES = "\"'“”„«»‘’"
+#: A quotation on one line; single marks open behind a blank and close before one, others are apostrophes.
+QUOTED = re.compile(r"""\"[^"\n]*\"|“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|(?<!\w)['‘](?=\S)(?:[^'‘’\n]|(?<=\w)['’](?=\w))*(?<=\S)['’](?!\w)""")
 # Words of reporting and of address in the corpus's languages.
 REPORTING = frozenset("said says wrote quote quoted called calls word term dit écrit cité mot sagte schrieb zitat wort dijo escribió cita palabra".split())
 ADDRESS = frozenset("you your you're are tu toi vous es êtes du dich ihr bist eres usted vos".split())
@@ -182,23 +187,23 @@ class Matcher:
         at = [i for i, hit in enumerate(map(known.__getitem__, words)) if hit]
         if not at:
             return [0.0] * 5
-        spans = [m.span() for m in TOKEN.finditer(lowered)]
+        spans, quotations = [m.span() for m in TOKEN.finditer(lowered)], [m.span() for m in QUOTED.finditer(lowered)]
+        opened = [a for a, _ in quotations]
         exact = fuzzy = quoted = addressed = 0.0
         for i in at:
             weight, is_exact = known[words[i]]
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            first, last = spans[max(0, i - WINDOW)][0], spans[min(len(words) - 1, i + WINDOW)][1]
-            before, after = lowered[first : spans[i][0]], lowered[spans[i][1] : last + 1]
-            inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+            q = bisect_right(opened, spans[i][0]) - 1
+            inside = q >= 0 and quotations[q][1] >= spans[i][1]
             report = sum(w in REPORTING for w in near)
             quoted += inside or report > 0
             addressed += any(w in ADDRESS for w in near)
             exact, fuzzy = (exact + weight, fuzzy) if is_exact else (exact, fuzzy + weight)
-        return [min(exact, 20.0) / 5, min(fuzzy, 20.0) / 5, quoted / len(at), addressed / len(at), math.log1p(100 * len(at) / len(words))]
+        return [math.log1p(exact), math.log1p(fuzzy), quoted / len(at), addressed / len(at), math.log1p(100 * len(at) / len(words))]
 
 
 #: What the logistic model is drawn to where the rows say nothing: the intercept and the features.
-PRIOR = np.array([-3.0, 3.0, 2.0, -1.5, 0.3, 0.5])
+PRIOR = np.array([-3.0, 2.0, 1.3, -1.5, 0.3, 0.5])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -224,10 +229,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labelled documents; pass only labels that may be learned from.
 
-    per_class: documents of each class that the fit looks at, about; most_terms: of the lexicon.
+    per_class: documents of each class that the fit looks at, about.
     """
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
     held = one.groupBy("__toxic").count().collect()  # a row for each class
@@ -236,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
         return Model()
     chosen = F.broadcast(bounded_sample(one, "__id", "__toxic", per_class))  # about 2 * per_class rows of two numbers
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(chosen, "__id").select("text", F.col("__toxic").alias("toxic")).where("text is not null")
-    sample = written(sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).drop("h"), shared_dir(docs.sparkSession), "sample")
+    sample = written(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), shared_dir(docs.sparkSession), "sample")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
     odds = F.log((F.col("bad") + 0.5) / (n1 + 1.0)) - F.log((F.col("good") + 0.5) / (n0 + 1.0))
     counted = counted.withColumn("odds", odds)
     support = max(3, round(0.004 * n1))
-    found = counted.where((F.col("bad") >= support) & (F.col("odds") >= 2.5)).orderBy(F.desc(F.col("bad") * F.col("odds")), "term", "stem").limit(4 * most_terms).collect()
+    found = counted.where((F.col("bad") >= support) & (F.col("odds") >= 2.5)).orderBy(F.desc(F.col("bad") * F.col("odds")), "term", "stem").collect()  # a few thousandths of the sample's words at most
 
     stems = {r["term"]: r for r in found if r["stem"]}
     words = {r["term"]: r for r in found if not r["stem"]}
@@ -269,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
         if max((r["bad"] for w, r in words.items() if w.startswith(stem)), default=0) < 0.5 * stems[stem]["bad"]:
             model.terms[stem], model.weights[stem] = True, float(stems[stem]["odds"])
     for word, r in words.items():
-        if len(model.terms) < most_terms and not any(word[:n] in model.terms for n in STEMS):
+        if not any(word[:n] in model.terms for n in STEMS):
             model.terms[word], model.weights[word] = False, float(r["odds"])
 
     # misspelled forms: what the training rows say of each, and of each term's forms together
@@ -286,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
 
     forms = counted.where("not stem").select("term", "bad", "good").mapInArrow(near, "term string, bad long, good long, terms array<struct<of: string, spent: int>>")
     forms = written(forms, shared_dir(docs.sparkSession), "forms")
-    rows = forms.select("term", "bad", "good").orderBy(F.desc(F.col("bad") + F.col("good")), "term").limit(20_000).collect()
+    rows = forms.select("term", "bad", "good").collect()  # words of the sample
     model.forms = {r["term"]: math.log((r["bad"] + 0.25) / (n1 + 1) / ((r["good"] + 0.25) / (n0 + 1))) for r in rows}
     # a form counts once, however frequent: frequent words say nothing of one that isn't there
     toxic = F.col("bad") / n1 / (F.col("bad") / n1 + F.col("good") / n0)
@@ -307,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: i
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(vectors, "x array<double>, y int").collect()  # five numbers for each sampled row
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
+    rows = sorted((r["x"], r["y"]) for r in rows)  # sums in one order, whatever the tasks'
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     weight = np.where(y == 1, total[1] / n1, total[0] / n0)
     model.coef = logistic(x, y, weight * len(y) / weight.sum()).tolist()
     return model

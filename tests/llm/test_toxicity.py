@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.llm import toxicity
+from panelflow.llm import queries, toxicity
 from panelflow.llm.common import crc_mod
 
 
@@ -102,3 +103,74 @@ def test_unseen_misspellings_are_judged_term_by_term(spark):
         assert word not in text.split()
         assert matcher.word(word) is not None, word
     assert matcher.word("fortiso") is not None and matcher.word("forxiso") is None
+
+
+def test_apostrophes_are_no_quotation(corpus):
+    matcher = toxicity.Matcher(toxicity.fit(*corpus))
+    quoted = lambda text: matcher.features(text)[2]
+    for text in ("you're such a moron and you don't know it", "it\u2019s a moron, isn\u2019t it", "the dogs' moron barks, the cats' too", 'a moron of 5" and more'):
+        assert quoted(text) == 0, text
+    for text in ("'such a moron'", "they read \u2018a moron\u2019 there", "\u201eein moron\u201c", "\u00ab un moron \u00bb", '"it isn\'t a moron" x', "so 'don't be a moron' ends"):
+        assert quoted(text) == 1, text
+    assert quoted('"a tree" moron "a house"') == 0
+
+
+def test_labels_of_equal_texts(spark, corpus):
+    """The higher label counts, whatever the order of the rows."""
+    docs, labels = corpus
+    more = docs.where("doc_id < 40").withColumn("doc_id", docs["doc_id"] + 1000)
+    wrong = more.selectExpr("doc_id", "0 toxic").union(labels)
+    one = toxicity.fit(docs.union(more), wrong)
+    other = toxicity.fit(more.union(docs).repartition(3), wrong.orderBy(F.desc("doc_id")))
+    assert one.terms == other.terms and one.coef == pytest.approx(other.coef)
+    assert {"moron", "imbecile", "scoundrel"} <= set(one.terms)
+
+
+def plain_hit(model, word):
+    """(weight, exact) by plain edit distances to all terms."""
+    near = {}
+    for term, stem in model.terms.items():
+        most = toxicity.allowed(term, stem)
+        ways = [word[:n] for n in range(1, len(word) + 1)] if stem else [word]
+        found = [d for w in ways if abs(len(w) - len(term)) <= most and (d := within(w, term, most)) is not None]
+        if found:
+            near[term] = min(found)
+    if not near:
+        return None
+    spent, term = min((d, t) for t, d in near.items())
+    if not spent:
+        return model.weights[term], True
+    weight = model.forms.get(word, None)
+    weight = max(model.unseen[t, d] for t, d in near.items()) if weight is None else weight
+    return (weight, False) if weight > 0.5 else None
+
+
+def test_query_agrees_with_brute_force(spark, corpus, tmp_path):
+    """The registered query on a small folder of tables, held against plain edit distances and sums."""
+    docs, labels = corpus
+    extra = [(900, None), (901, ""), (902, "you m0ron"), (903, 'she said "moron" once'), (904, "imbeciles " * 500), (905, "moron")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).withColumn("lang", F.lit("en"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("quality", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 3) != 1))
+    folds = {r[0]: r[1] for r in docs.select("doc_id", crc_mod("doc_id", 3) == 1).collect()}
+    known = {}
+    for r in docs.collect():
+        text = (r["text"] or "").lower()
+        at = [(m.group(), m.start()) for m in toxicity.TOKEN.finditer(text)]
+        x, near = [0.0] * 5, []
+        for i, (word, place) in enumerate(at):
+            if word not in known:
+                known[word] = plain_hit(model, word)
+            if known[word]:
+                around = [w for w, _ in at[max(0, i - 6) : i] + at[i + 1 : i + 7]]
+                quoted = any(m.start() <= place < m.end() for m in toxicity.QUOTED.finditer(text)) or any(w in toxicity.REPORTING for w in around)
+                near.append((*known[word], quoted, any(w in toxicity.ADDRESS for w in around)))
+        if near:
+            sums = [sum(w for w, exact, *_ in near if exact == kind) for kind in (True, False)]
+            x = [*map(math.log1p, sums), sum(n[2] for n in near) / len(near), sum(n[3] for n in near) / len(near), math.log1p(100 * len(near) / len(at))]
+        want = 1 / (1 + math.exp(-sum(c * v for c, v in zip(model.coef, [1.0, *x], strict=True))))
+        row = got[r["doc_id"]]
+        assert row["score"] == pytest.approx(want, abs=1e-9) and row["held_out"] == folds[r["doc_id"]] and row["predicted"] == (want >= 0.7)
+    assert len(got) == docs.count()

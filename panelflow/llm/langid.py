@@ -1,10 +1,16 @@
 """Language of each word and text, by a linear-chain conditional random field.
 
-A word's emission sums learned weights of its character n-grams, its affixes (the n-grams with a
-word boundary) and itself (the lexicon feature), all hashed to a table of fixed size; learned
-transitions tie neighbouring words. Forward-backward gives each word's distribution; a text's
+A word's emission is the mean of learned weights of its character n-grams, its affixes (the
+n-grams with a word boundary) and itself (the lexicon feature), times four; the weights are hashed
+to a table of fixed size. Learned transitions, a distribution over the next word's language for
+each language, tie neighbouring words. Forward-backward gives each word's distribution; a text's
 language has the largest share of its letters. Training joins runs of words of different
-documents, so that the transitions see switches.
+documents, so that the transitions see switches. The fit looks at `per_lang` documents of each
+language, and of each at no more than `RUNS` runs, dealt evenly over the whole text. Languages with
+fewer words are gone over again until all have about as many.
+
+Words are runs of letters (Unicode's category L): figures, superscripts, fractions and Roman
+numeral signs are none.
 
 In a task, forward-backward runs over all words of a slice of texts at once: blocks of words are
 multiplied out side by side, carried over the blocks of each text, and then filled in. The
@@ -18,6 +24,8 @@ columns aren't looked at.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +38,11 @@ from pyspark.sql import types as T
 from panelflow.llm.bpe import slices
 from panelflow.llm.common import bounded_sample
 
-WORD = re.compile(r"[^\W\d_]+")
+# what \w takes besides letters, decimal digits and the underscore
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Runs of words that the fit takes of a document at most, and their least and largest numbers of words.
+RUNS, RUN_WORDS = 24, (8, 64)
 BITS = 17
 BLOCK = 64
 KEEP_WORDS = 300_000
@@ -129,30 +141,44 @@ def factors(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores - scores.max(1, keepdims=True), -25, 0))
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, words): runs of words of each text, of many words at even distances."""
+    for batch in batches:
+        langs, out = [], []
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = WORD.findall(text.as_py().lower())
+            rng, ends = np.random.default_rng(len(words)), [0]
+            while ends[-1] < len(words):
+                ends.append(ends[-1] + int(rng.integers(*RUN_WORDS)))
+            runs = list(zip(ends, ends[1:], strict=False))
+            for i in sorted({len(runs) * k // RUNS for k in range(RUNS)}) if runs else []:
+                out.append(words[slice(*runs[i])])
+                langs.append(lang)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
+
+
 def fit(docs: DataFrame, per_lang: int = 120, steps: int = 30, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of about per_lang documents of each language (the bound of the fit); pass only rows that may be learned from."""
-    sample = bounded_sample(docs, id_col, lang_col, per_lang)
-    rows = sample.where(F.col(text_col).isNotNull()).select(text_col, lang_col).collect()  # about per_lang rows of each language
-    rows = sorted((r[1], WORD.findall(r[0].lower())) for r in rows)
-    rows = [(lang, words) for lang, words in rows if words]
-    model = Model(langs=sorted({lang for lang, _ in rows}))
+    sample = bounded_sample(docs, id_col, lang_col, per_lang).where(F.col(text_col).isNotNull())
+    runs = sorted((r["lang"], r["words"]) for r in sample.select(text_col, F.col(lang_col).alias("lang")).mapInArrow(cut, "lang string, words array<string>").collect())
+    model = Model(langs=sorted({lang for lang, _ in runs}))
     if not model.langs:
         return model
     number = {lang: i for i, lang in enumerate(model.langs)}
     vocabulary: dict[str, int] = {}
-    tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for _, words in rows]
-    # runs of words of many documents, dealt anew: texts that switch between languages
+    of = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for lang, words in runs if lang == own] for own in model.langs]
+    # runs of many documents, dealt anew: texts that switch between languages
     rng = np.random.default_rng(0)
-    runs = []
-    for (lang, _), ids_ in zip(rows, tokens, strict=True):
-        at = 0
-        while at < len(ids_):
-            n = int(rng.integers(8, 64))
-            runs.append((ids_[at : at + n], number[lang]))
-            at += n
-    order = rng.permutation(len(runs))
-    stream = np.concatenate([runs[i][0] for i in order])
-    gold = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order])
+    most = max(sum(map(len, own)) for own in of)
+    dealt = []
+    for lang, own in enumerate(of):
+        order, held, i = rng.permutation(len(own)), 0, 0
+        while held < most:
+            dealt.append((own[order[i % len(own)]], lang))
+            held, i = held + len(dealt[-1][0]), i + 1
+    order = rng.permutation(len(dealt))
+    stream = np.concatenate([dealt[i][0] for i in order])
+    gold = np.concatenate([np.full(len(dealt[i][0]), dealt[i][1]) for i in order])
     n_lang, n = len(model.langs), len(stream)
     sizes = np.array([min(BLOCK, n - i) for i in range(0, n, BLOCK)])
     starts = np.zeros(n, bool)
@@ -160,7 +186,6 @@ def fit(docs: DataFrame, per_lang: int = 120, steps: int = 30, text_col: str = "
     feature, owner = features(list(vocabulary))
     per_word = 4 / np.bincount(owner, minlength=len(vocabulary))
     weights, moves = np.zeros((1 << BITS, n_lang)), np.zeros((n_lang, n_lang))
-    balance = n / (n_lang * np.bincount(gold, minlength=n_lang)[gold])
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
     follows = np.flatnonzero(~starts[1:])
     seen = np.zeros((n_lang, n_lang))
@@ -169,13 +194,16 @@ def fit(docs: DataFrame, per_lang: int = 120, steps: int = 30, text_col: str = "
         move = unit(np.exp(moves))
         f = factors(emissions(weights, feature, owner, len(vocabulary)))[stream]
         p = marginals(f, move, sizes)
-        off = -p * balance[:, None]
-        off[np.arange(n), gold] += balance
+        off = -p
+        off[np.arange(n), gold] += 1
         by_word = np.stack([np.bincount(stream, weights=off[:, k], minlength=len(vocabulary)) for k in range(n_lang)], 1) * per_word[:, None] / n
         grad = np.stack([np.bincount(feature, weights=by_word[owner, k], minlength=1 << BITS) for k in range(n_lang)], 1) - 1e-7 * weights
         pair = p[follows][:, :, None] * move[None] * p[follows + 1][:, None, :]
         expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        for x, g, (m, v), rate in ((weights, grad, state[0], 0.3), (moves, (seen - expected) / n, state[1], 0.1)):
+        # moves are the logits of each language's distribution over the next
+        free = seen - expected
+        along = (free - move * free.sum(1, keepdims=True)) / n
+        for x, g, (m, v), rate in ((weights, grad, state[0], 0.3), (moves, along, state[1], 0.1)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-10)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from panelflow.llm import langid
+from panelflow.llm import langid, queries
 from panelflow.llm.common import crc_mod
 
 SYLLABLES = {"xx": ["ka", "ro", "mi", "tu", "sel"], "yy": ["sch", "ung", "bei", "er", "zu"], "zz": ["ção", "lho", "es", "ão", "que"]}
@@ -80,3 +80,59 @@ def test_switched_texts_are_identified(spark, odd_docs, model):
     assert [r["doc_id"] for r in langid.keep_identified(df, even).collect()] == [1]
     none = langid.fit(odd_docs.where("lang is null"))
     assert langid.keep_identified(df, none).collect() == []
+
+
+def test_letters_are_of_category_l(spark, model):
+    """Signs that count as word characters but are no letters don't make a word."""
+    texts = ["\u00b2", "\u00bd \u2460 \u2167", "12\u00b3_", "\u0663\u0664", "\u24d0"]
+    df = spark.createDataFrame(list(enumerate([*texts, "\u00aa", "ka\u00b2ro"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(texts)))
+    assert got[len(texts)][0] != "und" and got[len(texts) + 1][0] == "xx"
+    import unicodedata
+
+    for c in map(chr, range(0x3000)):
+        assert bool(langid.WORD.match(c)) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+
+
+def test_fit_takes_runs_of_whole_texts(spark):
+    text = " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'klmnopqrst'[i // 1000]}" for i in range(9000))
+    df = spark.createDataFrame([(text, "xx"), ("ka ro", "yy"), ("", "zz")], "text string, lang string")
+    rows = [r for r in df.mapInArrow(langid.cut, "lang string, words array<string>").collect()]
+    words = text.split()
+    places = [words.index(r["words"][0]) for r in rows if r["lang"] == "xx"]
+    assert len(places) == langid.RUNS and places == sorted(places) and places[-1] > 8000
+    assert [r["words"] for r in rows if r["lang"] != "xx"] == [["ka", "ro"]]
+
+
+def test_query_agrees_with_brute_force(spark, corpus, model, tmp_path):
+    """The registered query on a small folder, held against one plain forward-backward pass over each text."""
+    extra = [(900, None, "xx", "s"), (901, "\u00b2 12", None, "s"), (902, "karo " * 300 + "schung " * 200, None, None)]
+    docs = corpus.union(spark.createDataFrame(extra, corpus.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op3_language(spark, str(tmp_path)).collect()}
+    own = langid.fit(spark.read.parquet(f"{tmp_path}/documents.parquet").where(crc_mod("doc_id", 4) != 2))
+    folds = {r[0]: r[1] for r in docs.select("doc_id", crc_mod("doc_id", 4) == 2).collect()}
+    for r in docs.collect():
+        words = langid.WORD.findall((r["text"] or "").lower())
+        row = got[r["doc_id"]]
+        assert row["held_out"] == folds[r["doc_id"]]
+        if not words:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        e = []
+        for w in words:
+            feature, _ = langid.features([w])
+            mean = own.weights[feature].astype(float).mean(0) * 4
+            e.append(np.exp(np.clip(mean - mean.max(), -25, 0)))
+        forward, a = [], np.full(3, 1 / 3)
+        for x in e:
+            a = langid.unit((a @ own.moves) * x)
+            forward.append(a)
+        b, share = np.full(3, 1 / 3), np.zeros(3)
+        for w, x, f in zip(reversed(words), reversed(e), reversed(forward), strict=True):
+            share += langid.unit(f * b) * len(w)
+            b = langid.unit(own.moves @ (x * b))
+        share /= share.sum()
+        assert row["lang_pred"] == own.langs[share.argmax()] and row["score"] == pytest.approx(share.max(), abs=1e-6)
+    assert len(got) == docs.count()

@@ -32,8 +32,8 @@ from panelflow.llm.common import SLICE_BYTES
 KEEP_WORDS, KEEP_BYTES = 400_000, 32 << 20
 #: Bytes of a word that is cut and contracted in rounds of ranks.
 LONG = 200
-#: Ids that the decoding query joins to one value.
-RUN_IDS = 1 << 16
+#: Ids that the decoding query joins to one value, and that it takes at a time, about.
+RUN_IDS, DECODE_IDS = 1 << 14, 1 << 17
 #: Words contracted by one recursive query.
 QUERY_WORDS = 60_000
 
@@ -90,7 +90,7 @@ SELECT w, ids FROM state ORDER BY w
 """
 
 DECODE = """
-SELECT k, unhex(string_agg(hex, '' ORDER BY p)) AS bytes
+SELECT k, array_to_string(list(spelled ORDER BY p), '') AS spelled
 FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM sequences) AS t
 JOIN vocabulary USING (id)
 GROUP BY k ORDER BY k
@@ -130,7 +130,7 @@ class Coder:
         self.byte_id = np.array([rank[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         self.db.register("m", pa.table({"l": left, "r": right, "merged": merged}))
-        self.db.register("v", pa.table({"id": pa.array(rank.values(), pa.int32()), "hex": [t.hex() for t in rank]}))
+        self.db.register("v", pa.table({"id": pa.array(rank.values(), pa.int32()), "spelled": [t.decode("latin-1") for t in rank]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
         self.clear()
 
@@ -195,13 +195,16 @@ class Coder:
             raise ValueError("an id isn't in the vocabulary")
         runs = -(-counts // RUN_IDS)
         nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        first = np.repeat(np.cumsum(counts) - counts, runs) + nth * RUN_IDS
-        offsets = pa.array(np.append(first, len(flat)).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-        self.db.register("sequences", pa.table({"k": np.arange(len(first), dtype=np.int32), "ids": lists}))
-        found = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
+        offsets = np.append(np.repeat(np.cumsum(counts) - counts, runs) + nth * RUN_IDS, len(flat)).astype(np.int32)
+        found, at = [], 0
+        while at < len(offsets) - 1:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_IDS, "right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(offsets[at : to + 1] - offsets[at]), pa.array(flat[offsets[at] : offsets[to]]))
+            self.db.register("sequences", pa.table({"k": np.arange(to - at, dtype=np.int32), "ids": lists}))
+            found += self.db.sql(DECODE).to_arrow_table().column("spelled").to_pylist()
+            at = to
         ends = np.cumsum(runs).tolist()
-        return [b"".join(found[j - n : j]) for j, n in zip(ends, runs.tolist(), strict=True)]
+        return ["".join(found[j - n : j]).encode("latin-1") for j, n in zip(ends, runs.tolist(), strict=True)]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.code]

@@ -71,17 +71,47 @@ LICENSES = {
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
         "See the License for the specific language governing permissions and limitations under the License."
     ),
+    "BSD-4-Clause": (
+        _BSD_GRANT + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+        "4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_WARRANTY.replace("HOLDERS AND CONTRIBUTORS", "HOLDER").replace("HOLDER OR CONTRIBUTORS", "HOLDER")
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. "
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+        "For more information, please refer to <https://unlicense.org>"
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
     "MIT-notice": "SPDX-License-Identifier: MIT",
     "Apache-2.0-tag": "SPDX-License-Identifier: Apache-2.0",
 }
 
 #: A line that begins with a copyright claim, "all rights reserved" or a licence's title.
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9(©]*(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved|the mit license|mit license|isc license|bsd [23]-clause license)[^\n]*"
-OTHER = r"[^a-z0-9]+"
+#: What stands between words: all but letters and digits of any script.
+OTHER = r"[^\p{L}\p{N}]+"
 
 # Words that a grant, or what else comes behind a claim, begins with; abbreviations in holders' names.
 GRANT = (
-    r"(permission is hereby|permission to use|redistributions? (and|of|in)|(licensed|released|distributed) under|(this|the) (work|software|program|library|file|source code|material)|this is free|everyone is permitted|"
+    r"(permission is (hereby )?granted|permission to use|this software is provided|redistributions? (and|of|in)|(licensed|released|distributed) under|(this|the) (work|software|program|library|file|source code|material)|this is free|everyone is permitted|"
     r"spdx-license-identifier|gnu (lesser |affero |library )?general public|apache license|mozilla public license|creative commons|(the )?(mit|isc) license|(the )?bsd [234]-clause|all rights reserved|you (may|can)|use of this)\b"
 )
 SHORT = r"(?<!\b(inc|ltd|llc|corp|dept|univ|assoc|bros|gmbh|est|etc))"
@@ -95,8 +125,8 @@ CLAIM = rf"(^|\n)[^\na-z0-9(©]*(({_HOLDER}|all rights reserved|{_TITLE})[ \t.,;
 
 
 def canonical(text: Column) -> Column:
-    """Lower-case words of ASCII letters and digits, one blank before and after each."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case words of letters and digits, one blank before and after each."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(F.concat(F.lit("  "), F.regexp_replace(F.regexp_replace(plain, CLAIM, "\n"), OTHER, "  "), F.lit("  ")), "   +", "  ")
     for spelling, standard in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {standard.replace(' ', '  ')} "))
@@ -132,7 +162,7 @@ def scan(df: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "d
 
 def canonical_sql(text: str) -> str:
     """DuckDB's form of canonical() where each claim has its line to itself: it drops the claim's whole line."""
-    out = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10))}', chr(10), 'g'), '{OTHER}', '  ', 'g')"
+    out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10))}', chr(10), 'g'), '{OTHER}', '  ', 'g')"
     out = f"regexp_replace('  ' || {out} || '  ', '   +', '  ', 'g')"
     for spelling, standard in SPELLINGS:
         out = f"replace({out}, ' {spelling} ', ' {standard.replace(' ', '  ')} ')"
@@ -140,7 +170,7 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql(licenses: dict[str, str] | None = None) -> str:
-    values = ", ".join(f"('{name}', '{text}')" for name, text in sorted((licenses or LICENSES).items()))
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted((licenses or LICENSES).items()))
     return f"""
 WITH known(license, text) AS (VALUES {values}), digests AS (SELECT license, sha256({canonical_sql('text')}) AS known_digest FROM known)
 SELECT d.doc_id, d.digest, k.license

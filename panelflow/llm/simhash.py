@@ -9,10 +9,12 @@
    those tile pairs are skipped. A tile with more home rows than one task should hold is split,
    and its visitors go to each part. Inside a task, smaller tiles (sorted by population counts)
    are compared by exclusive-or and bit counts, after the same test of their bounds.
-4. Links become components by alternating large-star and small-star rounds.
+4. Links become components by rounds of minimum labels with pointer jumping.
 
 Every pair of distinct fingerprints is either compared or proven to be out of reach; nothing is
-capped. Copies in one tile cost one row. Cases: a null text, or one without words, has
+capped. Copies in one tile cost one row. The comparison stays quadratic in the number of distinct
+fingerprints: the fullest tiles hold about a fiftieth of them, and a fingerprint meets about a
+tenth of all others. Cases: a null text, or one without words, has
 fingerprint zero and is linked like any other; fewer words than a shingle make one shingle; rows
 repeat as they are; an empty table gives an empty one; other columns are kept out.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import shared_dir, tasks_for, written
+from panelflow.llm.common import joined, shared_dir, tasks_for, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,16 +60,18 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp): fp is the fingerprint's 64 bits as a signed long; keep: more columns (longs) to carry along."""
+    keep = keep or {}
+    names = [id_col, "fp", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), width, seed) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=names)
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", *keep))])
+    return df.select(id_col, text_col, *[c.alias(k) for k, c in keep.items()]).mapInArrow(run, schema)
 
 
 def _popcounts(x: np.ndarray, parts: int = 4) -> np.ndarray:
@@ -196,29 +200,34 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         roots = roots.select("node", "root")
 
 
-def near_duplicates(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp, component): component is the smallest id reachable by links, the own id included."""
+def near_duplicates(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp, component, root): component is the smallest id reachable by links, the own id included;
+    root is the fingerprint that stands for the component. keep: more columns (longs) to carry along.
+    """
     folder = shared_dir(df.sparkSession)
-    prints = written(fingerprints(df, id_col, text_col, width, seed), folder, "prints")
+    prints = written(fingerprints(df, id_col, text_col, width, seed, keep), folder, "prints")
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), folder, "distinct")
     found = written(links(distinct, radius), folder, "links")
     roots = components(found, folder)
     named = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), folder, "named")
     least = written(named.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("r"), "component"), folder, "least")
-    chosen = written(named.join(least, named["root"] == least["r"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "first").alias("component")), folder, "chosen")
-    return prints.join(chosen, prints["fp"] == chosen["f"]).select(id_col, "fp", "component")
+    chosen = written(named.join(least, named["root"] == least["r"], "left").select("fp", F.coalesce("component", "first").alias("component"), "root"), folder, "chosen")
+    return joined(prints, chosen, "fp", folder, "prints").select(id_col, "fp", "component", "root", *(keep or ()))
 
 
 def keep_first(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id names their component: one of each group.
+    """One row, with all its columns, of each component: that with the smallest id (null last), then by its text.
 
-    Of rows that repeat the id one stays; rows with a null id name no group and stay.
+    Rows are told apart by their id and text, so an id that repeats with other texts is no matter;
+    of rows that repeat both, one stays.
     """
-    found = near_duplicates(df, radius, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__kept")).distinct()
-    same = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    chosen = df.join(kept, df[id_col] == kept["__kept"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-    return chosen.union(df.where(F.col(id_col).isNull()))
+    key = {"__k1": F.xxhash64(id_col, text_col), "__k2": F.xxhash64(F.lit(1), text_col, id_col)}
+    found = near_duplicates(df, radius, id_col, text_col, keep=key)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__k1", "__k2"))
+    kept = found.groupBy("root").agg(first.alias("f")).select("f.__k1", "f.__k2")
+    one = Window.partitionBy("__k1", "__k2").orderBy(F.lit(1))
+    rows = df.withColumns(key).withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return rows.join(kept, ["__k1", "__k2"], "left_semi").select(*df.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -159,8 +159,31 @@ class Packer:
         self.sink.close()
 
 
+def check_spec(spec: str) -> None:
+    """Raises ValueError unless the vocabulary encodes a text as it does its pieces between blanks.
+
+    Probes: letters of several scripts, digits, marks, contractions, symbols and special tokens,
+    each beside each, over each blank, at a text's ends and doubled.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    added = [t["content"] for t in json.loads(spec).get("added_tokens") or ()]
+    pieces = ["a", "Word", "don't", "'s", "12", "7", ".", ",!", "é", "漢字", "\U0001f642", "\u0301", "_", "x9", *added]
+    own = {p: ids(p) for p in pieces}
+    texts = [(a, f"{a}{blank}{b}", b) for blank in (" ", "\t", "\n", "\r\n", "  ", "\v", "\f") for a in pieces for b in pieces] + [("", f" {a}\n", a) for a in pieces]
+    for a, text, b in texts:
+        if ids(text) != (own[a] if a else []) + own[b]:
+            raise ValueError(f"this vocabulary's tokens reach over blanks ({text!r}): its texts can't be encoded piece by piece")
+
+
 def write_files(df: DataFrame, spec: str, end: int, folder: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The manifest (part, ids_path, docs_path, docs, tokens): ranges of ascending ids, in the order of part."""
+    """The manifest (part, ids_path, docs_path, docs, tokens): ranges of ascending ids, in the order of part.
+
+    spec must pass check_spec(): ValueError otherwise.
+    """
+    check_spec(spec)
     shared = df.sparkSession.sparkContext.broadcast(spec)
     kind = pa.uint16() if max(max(json.loads(spec)["model"]["vocab"].values()), end) < 1 << 16 else pa.uint32()
 

@@ -60,3 +60,11 @@ def test_whole_texts_and_tags_are_known(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [r for r in got if r["license"] != r["doc_id"]] == []
     assert len({r["known_digest"] for r in licenses.known(spark).collect()}) == licenses.known(spark).count() > 500
+
+
+def test_other_scripts_have_digests_of_their_own(spark):
+    """Letters of any script are words, whatever their case; only texts of the same words share a digest."""
+    rows = [(1, "漢字 文書"), (2, "別の 文書"), (3, "ΑΒΓ δεζ"), (4, "αβγ, ΔΕΖ!"), (5, "«Größe»"), (6, "größe"), (7, "…"), (8, None)]
+    got = {r["doc_id"]: r["digest"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] != got[2] and got[3] == got[4] and got[5] == got[6] and got[7] == got[8]
+    assert len(set(got.values())) == 5

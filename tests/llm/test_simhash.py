@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from panelflow.llm import simhash
+from panelflow.llm import queries, simhash
 
 
 def slow_fingerprint(text):
@@ -93,3 +93,20 @@ def test_odd_rows(odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs).collect()
     assert [r["doc_id"] for r in kept].count(1) == 1 and sum(r["doc_id"] is None for r in kept) == 1
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.keep_first(no_docs).collect() == []
+
+
+def test_each_group_keeps_one_row(spark):
+    """Ids that repeat with other texts, two groups with the same smallest id, and null ids."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white pink")
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (5, "x y"), (5, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in simhash.keep_first(df).collect()))) == sorted(map(str, [(1, a), (1, b), (None, c), (5, "x y")]))
+
+
+def test_query_agrees_with_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    prints = [slow_fingerprint(r["text"]) for r in rows]
+    want = brute([r["doc_id"] for r in rows], prints)
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in queries.op10_simhash(spark, sf).collect()}
+    assert got == {(r["doc_id"], f"{p:016x}", want[r["doc_id"]]) for r, p in zip(rows, prints, strict=True)}

@@ -78,3 +78,25 @@ def test_ids_are_those_of_the_library_as_it_is_loaded(spark, spec):
         start += len(ids)
     assert sorted(tuple(r) for r in token_files.round_trip(df, spec).collect()) == want
     assert library.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
+
+
+def test_vocabularies_that_reach_over_blanks_are_refused(no_docs, spec):
+    import public_tokenizers
+
+    token_files.check_spec(spec)
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f, pytest.raises(ValueError, match="blanks"):
+        token_files.write_files(no_docs, f.read(), 2, "file:///tmp")
+
+
+def test_query_agrees_with_the_library(spark):
+    import public_tokenizers
+
+    from panelflow.llm import queries
+
+    sf, library = "/root/testdata/sf0.001", Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in queries.op8_token_files(spark, sf).collect()) == want

@@ -20,6 +20,11 @@ from panelflow.functions.numeric import digamma_table
 from panelflow.operators.pairs import lagged_correlation
 
 LAGS = [1, 2, 3, 5, 10, 20]
+#: Series of a block at most: a group has the pairs of two blocks.
+BLOCK_SERIES = 128
+# How long an influence lasts, from the shortest, and the sign of the lagged correlation.
+HFT, NEXT_DAY, SHORT, SWING, SLOW = "HFT only", "Next-day tradable", "Short-term", "Swing (tradable)", "Slow decay (tradable)"
+SAME, INVERSE = "same", "inverse"
 #: Rows of the distance matrix computed at a time.
 BLOCK = 512
 
@@ -43,7 +48,29 @@ def _paired(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndar
     return source[both], target[both]
 
 
-def transfer_entropy(source: np.ndarray, target: np.ndarray, lag: int = 1, k: int = 5, history: int = 3, noise: float = 1e-8) -> float:
+def target_distances(future: np.ndarray, own: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of a part of the points to all: of the own histories, and of those with the futures."""
+    d_own, d_future = max_norm(own[part], own), max_norm(future[part], future)
+    return d_own, np.maximum(d_future, d_own, out=d_future)
+
+
+class Targets:
+    """The distances of the target met last, which its next sources need again; of series of up to `BLOCK` points."""
+
+    def __init__(self):
+        self.held: dict[int, tuple] = {}
+
+    def get(self, future: np.ndarray, own: np.ndarray, part: slice, lag: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(own) > BLOCK:
+            return target_distances(future, own, part)
+        key = future.tobytes() + own.tobytes()
+        found = self.held.get(lag)
+        if found is None or found[0] != key:
+            found = self.held[lag] = (key, *target_distances(future, own, part))
+        return found[1:]
+
+
+def transfer_entropy(source: np.ndarray, target: np.ndarray, lag: int = 1, k: int = 5, history: int = 3, noise: float = 1e-8, targets: Targets | None = None) -> float:
     """How much the source's history tells of the target's future beyond the target's own, in nats.
 
     Counts include the point itself; the radius is the distance to the k-th neighbour in the joint
@@ -63,8 +90,8 @@ def transfer_entropy(source: np.ndarray, target: np.ndarray, lag: int = 1, k: in
     total = 0.0
     for at in range(0, n, BLOCK):
         part = slice(at, at + BLOCK)
-        d_own, d_future, d_other = max_norm(own[part], own), max_norm(future[part], future), max_norm(other[part], other)
-        np.maximum(d_future, d_own, out=d_future)
+        d_own, d_future = (targets or Targets()).get(future, own, part, lag)
+        d_other = max_norm(other[part], other)
         np.maximum(d_other, d_own, out=d_other)
         radius = np.partition(np.maximum(d_future, d_other), k, axis=1)[:, k : k + 1] - 1e-15
         count = lambda d: psi[np.maximum((d <= radius).sum(1), 1)]  # noqa: B023, E731
@@ -107,8 +134,9 @@ def shifts(n: int, lag: int, history: int, count: int, seed: int = 0) -> np.ndar
 
 def effective_entropy(source: np.ndarray, target: np.ndarray, lag: int = 1, k: int = 5, history: int = 3, surrogates: int = 50, seed: int = 0, noise: float = 1e-8) -> tuple[float, float, float]:
     """(raw, effective, p): raw less the mean of circularly shifted sources, and their share not below raw."""
-    raw = transfer_entropy(source, target, lag, k, history, noise)
-    drawn = np.array([transfer_entropy(np.roll(source, s), target, lag, k, history, noise) for s in shifts(len(source), lag, history, surrogates, seed)])
+    held = Targets()
+    raw = transfer_entropy(source, target, lag, k, history, noise, held)
+    drawn = np.array([transfer_entropy(np.roll(source, s), target, lag, k, history, noise, held) for s in shifts(len(source), lag, history, surrogates, seed)])
     return raw, max(0.0, raw - float(drawn.mean())), float((drawn >= raw).mean())
 
 
@@ -127,11 +155,12 @@ def best_lag(source: np.ndarray, target: np.ndarray, lags: list[int], k: int = 5
 def bootstrap_significance(source: np.ndarray, target: np.ndarray, lag: int = 1, count: int = 1000, block: int = 10, alpha: float = 0.05, k: int = 5, history: int = 3, seed: int = 0) -> dict:
     """The source resampled in blocks: how often it does as well, and the percentiles it reaches."""
     rng, n = np.random.default_rng(seed), len(source)
-    raw, pieces = transfer_entropy(source, target, lag, k, history), -(-n // block)
+    held = Targets()
+    raw, pieces = transfer_entropy(source, target, lag, k, history, targets=held), -(-n // block)
     drawn = np.empty(count)
     for i in range(count):
         starts = rng.integers(0, max(n - block + 1, 1), pieces)
-        drawn[i] = transfer_entropy(source[(starts[:, None] + np.arange(block)).ravel()[:n] % n], target, lag, k, history)
+        drawn[i] = transfer_entropy(source[(starts[:, None] + np.arange(block)).ravel()[:n] % n], target, lag, k, history, targets=held)
     p = float((drawn >= raw).mean())
     return {"te": raw, "p_value": p, "low": float(np.percentile(drawn, 100 * alpha / 2)), "high": float(np.percentile(drawn, 100 * (1 - alpha / 2))), "significant": p < alpha}
 
@@ -141,7 +170,8 @@ def surrogate_significance(source: np.ndarray, target: np.ndarray, lag: int = 1,
     if method not in ("shuffle", "phase"):
         raise ValueError(f"no surrogate method {method}")
     rng, n = np.random.default_rng(seed), len(source)
-    raw, drawn, spectrum = transfer_entropy(source, target, lag, k, history), np.empty(count), np.fft.rfft(source)
+    held = Targets()
+    raw, drawn, spectrum = transfer_entropy(source, target, lag, k, history, targets=held), np.empty(count), np.fft.rfft(source)
     for i in range(count):
         if method == "shuffle":
             other = rng.permutation(source)
@@ -149,7 +179,7 @@ def surrogate_significance(source: np.ndarray, target: np.ndarray, lag: int = 1,
             turn = np.exp(1j * rng.uniform(0, 2 * np.pi, len(spectrum)))
             turn[0] = 1
             other = np.fft.irfft(spectrum * turn, n)
-        drawn[i] = transfer_entropy(other, target, lag, k, history)
+        drawn[i] = transfer_entropy(other, target, lag, k, history, targets=held)
     return {"te": raw, "p_value": float((drawn >= raw).mean()), "mean": float(drawn.mean()), "std": float(drawn.std())}
 
 
@@ -163,11 +193,14 @@ def on_pairs(returns: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list
     """kernel(source, target) of each ordered pair of different series, on its common bars.
 
     Gives (keys, source, target, columns). Series are dealt to blocks, and a group is a block of
-    sources with a block of targets: a series is shuffled once for each block, not for each pair.
+    sources with a block of targets: a series is shuffled once for each block, not for each pair. Blocks
+    are of BLOCK_SERIES at most, so a group's rows don't grow with the panel.
     pairs: (source, target) to restrict to; targets: names to restrict to; keys: panels apart.
     """
     rows = gathered(returns, *keys)
-    blocks = blocks or math.ceil(math.sqrt(2 * returns.sparkSession.sparkContext.defaultParallelism))
+    if not blocks:
+        names = returns.select("series").distinct().count()
+        blocks = max(math.ceil(math.sqrt(2 * returns.sparkSession.sparkContext.defaultParallelism)), -(-names // BLOCK_SERIES))
     own, every = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     right = rows.where(F.col("series").isin(targets)) if targets is not None else rows
     if pairs is not None:
@@ -182,9 +215,10 @@ def on_pairs(returns: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list
 
     def run(sources: pd.DataFrame, sinks: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for s in sources.itertuples(index=False):
-            head, allowed = [getattr(s, k) for k in keys], None if s.only is None else set(s.only)
-            for t in sinks.itertuples(index=False):
+        allowed_of = [None if only is None else set(only) for only in sources["only"]]
+        for t in sinks.itertuples(index=False):
+            head = [getattr(t, k) for k in keys]
+            for s, allowed in zip(sources.itertuples(index=False), allowed_of, strict=True):
                 if s.series == t.series or (allowed is not None and t.series not in allowed):
                     continue
                 _, i, j = np.intersect1d(np.asarray(s.bars), np.asarray(t.bars), assume_unique=True, return_indices=True)
@@ -198,10 +232,10 @@ def on_pairs(returns: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list
 
 def entropy_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5, history: int = 3, noise: float = 1e-8, pairs: DataFrame | None = None, targets: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, source, target, lag, te) of all ordered pairs; apply `panel.covered` first."""
-    lags = lags or LAGS
+    lags, held = lags or LAGS, Targets()
 
     def kernel(source, target):
-        return [(lag, transfer_entropy(source, target, lag, k, history, noise)) for lag in lags]
+        return [(lag, transfer_entropy(source, target, lag, k, history, noise, held)) for lag in lags]
 
     return on_pairs(returns, kernel, "lag int, te double", pairs, targets, keys)
 
@@ -254,10 +288,10 @@ def decay(edges: DataFrame, correlations: DataFrame) -> DataFrame:
     below = F.when((F.col("lag") > F.col("first_lag")) & (F.col("te") < F.col("first_te") * 0.5), F.col("lag"))
     rows = rows.withColumn("half_life", F.coalesce(F.min(below).over(pair), F.col("last_lag")))
     rows = rows.withColumn("kept", F.coalesce(F.max(F.when(F.col("lag") == 2, F.col("te_norm"))).over(pair), F.lit(0.0)))
-    category = F.when(F.col("half_life") <= 1, "HFT only").when((F.col("half_life") <= 3) & (F.col("kept") >= 0.30), "Next-day").when(F.col("half_life") <= 3, "Short-term").when(F.col("half_life") <= 10, "Swing").otherwise("Slow decay")
+    category = F.when(F.col("half_life") <= 1, HFT).when((F.col("half_life") <= 3) & (F.col("kept") >= 0.30), NEXT_DAY).when(F.col("half_life") <= 3, SHORT).when(F.col("half_life") <= 10, SWING).otherwise(SLOW)
     corr = correlations.where("lag = 1").select("source", "target", F.col("corr").alias("lagged_corr"))
     rows = rows.join(corr, ["source", "target"], "left").withColumn("lagged_corr", F.coalesce("lagged_corr", F.lit(0.0)))
-    direction = F.when(F.col("lagged_corr") >= 0, "positive").otherwise("negative")
+    direction = F.when(F.col("lagged_corr") >= 0, SAME).otherwise(INVERSE)
     return rows.select("source", "target", "lag", "te", "te_norm", "half_life", category.alias("category"), direction.alias("direction"), "lagged_corr")
 
 
@@ -273,5 +307,5 @@ def regime_entropy(returns: DataFrame, regimes: DataFrame, lags: list[int] | Non
     measure: another function (returns, lags=…, keys=…) giving tidy edges.
     """
     enough = regimes.groupBy("regime").count().where(F.col("count") >= least_bars).select("regime")
-    labelled = returns.join(F.broadcast(regimes.join(enough, "regime").select("bar", "regime")), "bar")
+    labelled = returns.join(regimes.join(enough, "regime").select("bar", "regime"), "bar")
     return (measure or entropy_matrix)(labelled, lags=lags or [1], keys=("regime",), **options)

@@ -22,7 +22,7 @@ def lagged(returns: DataFrame, lags: list[int], pairs: DataFrame | None = None,
     right = returns.select(F.col("series").alias("target"), "bar", F.col("ret").alias("f"))
     out = left.join(right, "bar")
     out = out if same else out.where("source <> target")
-    return out.join(F.broadcast(pairs), ["source", "target"], "left_semi") if pairs is not None else out
+    return out.join(pairs, ["source", "target"], "left_semi") if pairs is not None else out
 
 
 def lagged_correlation(returns: DataFrame, lags: list[int], least: int = 20) -> DataFrame:
@@ -31,6 +31,20 @@ def lagged_correlation(returns: DataFrame, lags: list[int], least: int = 20) ->
     return grouped.select("source", "target", "lag", "n", F.when(F.col("n") > least, F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("corr"))
 
 
+def tail_correlation(returns: DataFrame, least: int = 50) -> DataFrame:
+    """(source, target, n, corr): returns that stand at neighbouring places from the end, whatever their bars.
+
+    Each series loses its missing returns by itself; the source's place j + 1 from its end meets the
+    target's place j. 0 where `least` places or fewer are common, or there's no spread.
+    """
+    place = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("bar"))) - 1
+    rows = returns.where(F.col("ret").isNotNull() & ~F.isnan("ret")).withColumn("k", place)
+    left = rows.select(F.col("series").alias("source"), (F.col("k") - 1).alias("k"), F.col("ret").alias("l"))
+    right = rows.select(F.col("series").alias("target"), "k", F.col("ret").alias("f"))
+    grouped = left.join(right, "k").where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("l"), F.col("f")).alias("c"))
+    return grouped.select("source", "target", "n", F.when(F.col("n") > least, F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("corr"))
+
+
 def regression(returns: DataFrame, lag: int = 1, least: int = 30) -> DataFrame:
     """(source, target, n, beta) of target on lagged source; null below `least` rows."""
     grouped = lagged(returns, [lag]).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), slope(F.col("l"), F.col("f")).alias("b"))
@@ -113,9 +127,15 @@ def hubs(edges: DataFrame) -> DataFrame:
     return d.agg(F.min_by("series", F.struct(-F.col("out_degree"), F.col("series"))).alias("source_hub"), F.min_by("series", F.struct(-F.col("in_degree"), F.col("series"))).alias("sink_hub"))
 
 
-def wide(edges: DataFrame, weight: str = "te") -> DataFrame:
-    """The square matrix: a row for each source, a column for each target, 0 where there's no edge."""
-    names = [r[0] for r in edges.select("target").distinct().orderBy("target").collect()]  # a matrix to look at: few columns
+def wide(edges: DataFrame, weight: str = "te", names: list[str] | None = None) -> DataFrame:
+    """The square matrix: a row for each source, a column for each target, 0 where there's no edge.
+
+    names: the columns; if none are given, those of the edges, which a table to look at holds few of.
+    """
+    if names is None:
+        names = [r[0] for r in edges.select("target").distinct().orderBy("target").limit(10_001).collect()]
+        if len(names) > 10_000:
+            raise ValueError("too many columns for a matrix: name those to show")
     return edges.groupBy("source").pivot("target", names).agg(F.first(weight)).na.fill(0.0)
 
 

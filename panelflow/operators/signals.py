@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import sigmoid
+from panelflow.operators.discovery import NEXT_DAY, SLOW, SWING
 
-TRADABLE = ("Next-day", "Short-term", "Swing")
+TRADABLE = (NEXT_DAY, SWING, SLOW)
 
 
 def raw_signal(coefficient: Column, leader_return: Column) -> Column:
@@ -61,30 +62,36 @@ def regime_weights(edges: DataFrame, regime: int, fallback: int | None = None, t
     return rows.select(F.col("target").alias("follower"), F.col("source").alias("leader"), share.alias("weight"))
 
 
-# Which market a class trades on, and when a follower can still act on a leader.
-MARKETS = {"equities": "us", "credit": "us", "rates": "us", "volatility": "us", "commodities": "futures", "fx": "fx", "crypto": "crypto", "macro": "macro"}
+# The market that a series trades on; those that aren't named are "other".
+MARKETS = {
+    "equity": "SPX NDX RTY XLB XLC XLE XLF XLI XLK XLP XLRE XLU XLV XLY VIX",
+    "fx": "EURUSD USDJPY GBPUSD AUDUSD USDCAD USDCNH DXY",
+    "crypto": "BTC ETH",
+    "commodity": "GOLD COPPER BRENT",
+    "bond": "UST_2Y UST_10Y UST_30Y REAL_YIELD_10Y BREAKEVEN_5Y BREAKEVEN_10Y MOVE",
+    "credit": "IG_OAS HY_OAS BBB_OAS CCC_OAS",
+    "weekly_macro": "NFCI CFNAI",
+}
+# Whether a follower's price can still be acted on once the leader's is known.
+ACTIONABLE, PRICED, DELAYED = "actionable", "likely priced", "delayed data"
 
 
-def timing(leader: Column, follower: Column, lag: Column) -> Column:
-    """When a signal can be acted on, by the markets of its ends; the first rule that holds.
+def market_of(series: Column) -> Column:
+    found = F.lit("other")
+    for market, names in MARKETS.items():
+        found = F.when(series.isin(*names.split()), market).otherwise(found)
+    return found
 
-    A macro follower can't be traded, a macro leader is known a day later; followers that trade
-    around the clock can always be acted on; a lag of more than one bar leaves time.
+
+def timing(leader: Column, follower: Column) -> Column:
+    """When a signal can be acted on, by the markets of its ends.
+
+    A leader of weekly figures is known late, whatever follows it. Followers that trade around the
+    clock have moved before anyone can act: crypto behind any leader, currencies behind those
+    that close with or before them (equities, currencies, bonds, credit). All else is in time.
     """
-    rules = [
-        (follower == "macro", "not tradable"),
-        (leader == "macro", "after release"),
-        (lag > 1, "actionable"),
-        (follower == "crypto", "actionable"),
-        ((leader == "crypto") & follower.isin("us", "futures", "fx"), "actionable at open"),
-        ((leader == "us") & (follower == "us"), "next open"),
-        ((leader == "us") & follower.isin("futures", "fx"), "actionable after close"),
-        (leader.isin("futures", "fx") & (follower == "us"), "actionable at open"),
-    ]
-    out = None
-    for condition, tag in rules:
-        out = F.when(condition, tag) if out is None else out.when(condition, tag)
-    return out.otherwise("actionable")
+    moved = (follower == "crypto") | ((follower == "fx") & leader.isin("equity", "fx", "bond", "credit"))
+    return F.when(leader == "weekly_macro", DELAYED).when(moved, PRICED).otherwise(ACTIONABLE)
 
 
 def board(edges: DataFrame, correlations: DataFrame, betas: DataFrame, hits: DataFrame, latest: DataFrame, markets: DataFrame, top: int = 20) -> DataFrame:
@@ -99,14 +106,14 @@ def board(edges: DataFrame, correlations: DataFrame, betas: DataFrame, hits: Dat
     for other, columns in ((correlations, ["corr"]), (betas, ["beta"]), (hits, ["rate", "n"])):
         rows = rows.join(other.select("source", "target", *columns), ["source", "target"], "left")
     rows = rows.join(latest.select(F.col("series").alias("source"), F.col("ret").alias("leader_return")), "source", "left")
-    rows = rows.join(F.broadcast(markets.select(F.col("series").alias("source"), F.col("market").alias("leader_market"))), "source", "left")
-    rows = rows.join(F.broadcast(markets.select(F.col("series").alias("target"), F.col("market").alias("follower_market"))), "target", "left")
-    other = F.lit("us")
+    rows = rows.join(markets.select(F.col("series").alias("source"), F.col("market").alias("leader_market")), "source", "left")
+    rows = rows.join(markets.select(F.col("series").alias("target"), F.col("market").alias("follower_market")), "target", "left")
+    other = F.lit("other")
     return rows.select(
         F.col("source").alias("leader"), F.col("target").alias("follower"), "lag", "te", "te_strength", "corr", "beta",
         (F.coalesce("beta", F.lit(0.0)) * F.coalesce("leader_return", F.lit(0.0))).alias("expected_return"),
         F.col("rate").alias("hit_rate"), F.col("n").alias("hit_n"),
-        timing(F.coalesce("leader_market", other), F.coalesce("follower_market", other), F.col("lag")).alias("timing"),
+        timing(F.coalesce("leader_market", other), F.coalesce("follower_market", other)).alias("timing"),
     )
 
 
@@ -124,5 +131,6 @@ def summary(board_rows: DataFrame) -> DataFrame:
 
 
 def split_actionable(board_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    acts = F.col("timing").startswith("actionable")
+    """The signals that can still be acted on, and the others."""
+    acts = F.col("timing") == ACTIONABLE
     return board_rows.where(acts), board_rows.where(~acts)

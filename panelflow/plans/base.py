@@ -76,11 +76,32 @@ def pair_sql(lag: int = 1, source: str = "panel") -> str:
 
 CORR = "CASE WHEN var_pop(l) > 1e-24 AND var_pop(f) > 1e-24 THEN covar_pop(l, f) / sqrt(var_pop(l) * var_pop(f)) END"
 SLOPE = "CASE WHEN sum(l * l) - sum(l) * sum(l) / count(*) > 1e-20 THEN (sum(l * f) - sum(l) * sum(f) / count(*)) / (sum(l * l) - sum(l) * sum(l) / count(*)) END"
-#: edges(source, target, lag, te): a cheap measure (absolute lagged correlation) for queries about graphs.
-EDGES = f"edges AS (SELECT source, target, 1 AS lag, abs(coalesce({CORR}, 0.0)) AS te FROM pairs GROUP BY source, target)"
+K, H = 5, 3
+PSI = "psi AS (SELECT g AS n, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / nullif(g - 1, 0)) OVER (ORDER BY g), 0.0) AS v FROM range(1, 4001) t(g))"
+
+
+def entropy_sql(lags: list[int], source: str = "panel") -> list[str]:
+    """te(source, target, lag, te) by theta self-joins of the pairs' embeddings."""
+    near = lambda s: "greatest(" + ", ".join(f"abs(a.{s}{j} - b.{s}{j})" for j in range(H)) + ")"
+    past = ", ".join(f"lag({s}, {j}) OVER w AS {s}{j}" for s in "st" for j in range(H))
+    return [
+        f"pr AS (SELECT a.series AS source, b.series AS target, row_number() OVER (PARTITION BY a.series, b.series ORDER BY a.bar) - 1 AS i, a.ret AS s, b.ret AS t FROM {source} a JOIN {source} b ON a.bar = b.bar AND a.series <> b.series)",
+        "size AS (SELECT source, target, count(*) AS n FROM pr GROUP BY source, target)",
+        f"past AS (SELECT source, target, i, {past} FROM pr WINDOW w AS (PARTITION BY source, target ORDER BY i))",
+        f"em AS (SELECT past.*, l.lag, f.t AS f FROM past CROSS JOIN (VALUES {', '.join(f'({x})' for x in lags)}) AS l(lag) JOIN pr f ON f.source = past.source AND f.target = past.target AND f.i = past.i + l.lag WHERE past.i >= {H})",
+        f"d AS (SELECT a.source, a.target, a.lag, a.i, {near('t')} AS own, abs(a.f - b.f) AS fut, {near('s')} AS oth FROM em a JOIN em b ON a.source = b.source AND a.target = b.target AND a.lag = b.lag)",
+        f"eps AS (SELECT source, target, lag, i, list_sort(list(greatest(own, fut, oth)))[{K + 1}] - 1e-15 AS e FROM d GROUP BY source, target, lag, i)",
+        "c AS (SELECT d.source, d.target, d.lag, d.i, greatest(count(*) FILTER (WHERE own <= e), 1) AS n_own, greatest(count(*) FILTER (WHERE greatest(own, fut) <= e), 1) AS n_fut, greatest(count(*) FILTER (WHERE greatest(own, oth) <= e), 1) AS n_oth FROM d JOIN eps ON d.source = eps.source AND d.target = eps.target AND d.lag = eps.lag AND d.i = eps.i GROUP BY d.source, d.target, d.lag, d.i)",
+        PSI,
+        f"te AS (SELECT c.source, c.target, lag, CASE WHEN count(*) < 50 OR any_value(size.n) < 50 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) + avg(p1.v) - avg(p2.v) - avg(p3.v)) END AS te FROM c JOIN size ON c.source = size.source AND c.target = size.target JOIN psi p1 ON p1.n = n_own JOIN psi p2 ON p2.n = n_fut JOIN psi p3 ON p3.n = n_oth GROUP BY c.source, c.target, lag)",
+    ]
+
+
+#: edges(source, target, lag, te): the transfer entropies at lag 1, for queries about graphs.
+EDGES = ",\n".join([*entropy_sql([1]), "edges AS (SELECT source, target, lag, te FROM te)"])
 
 
 def edges(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
-    from panelflow.operators.pairs import lagged_correlation
+    from panelflow.operators.discovery import entropy_matrix
 
-    return lagged_correlation(full_panel(spark, sf_dir, name), [1]).select("source", "target", F.lit(1).alias("lag"), F.abs("corr").alias("te"))
+    return entropy_matrix(full_panel(spark, sf_dir, name), [1], K, H, noise=0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.operators import discovery, pairs, panel, varmodels
-from panelflow.plans.base import CORR, EDGES, SLOPE, edges, full_panel, pair_sql, panel_sql, query, r, sql_r, with_
+from panelflow.plans.base import CORR, EDGES, PSI, SLOPE, H, K, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, returns, sql_r, with_
 from panelflow.plans.panels import _FEATURES, _REGIMES, market_regimes
 
 P1 = [*panel_sql(), pair_sql(1)]
@@ -17,6 +17,14 @@ def lagged_corr(spark, sf_dir):
     return pairs.lagged_correlation(full_panel(spark, sf_dir), [1]).withColumn("corr", r("corr"))
 
 
+_TAIL = "tail AS (SELECT series, ret, row_number() OVER (PARTITION BY series ORDER BY bar DESC) AS k FROM rets), tp AS (SELECT a.series AS source, b.series AS target, a.ret AS l, b.ret AS f FROM tail a JOIN tail b ON a.k = b.k + 1 AND a.series <> b.series)"
+
+
+@query(with_(*panel_sql("hourly_events"), _TAIL, last=f"SELECT source, target, count(*) AS n, {sql_r(f'CASE WHEN count(*) > 50 THEN coalesce({CORR}, 0.0) ELSE 0.0 END')} AS corr FROM tp GROUP BY source, target"))
+def tail_corr(spark, sf_dir):
+    return pairs.tail_correlation(returns(spark, sf_dir, "hourly_events")).withColumn("corr", r("corr"))
+
+
 @query(with_(*P1, last=f"SELECT source, target, count(*) AS n, {sql_r(f'CASE WHEN count(*) >= 30 THEN {SLOPE} END')} AS beta FROM pairs GROUP BY source, target"))
 def regression_beta(spark, sf_dir):
     return pairs.regression(full_panel(spark, sf_dir)).withColumn("beta", r("beta"))
@@ -82,12 +90,13 @@ def hub_nodes(spark, sf_dir):
     return pairs.hubs(pairs.network(edges(spark, sf_dir), 0.05, 12))
 
 
-@query(with_(*GRAPH, last="SELECT source, " + ", ".join(f"(round(coalesce(max(CASE WHEN target = '{s}' THEN te END), 0.0), 8) + 0.0) AS \"{s}\"" for s in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM edges WHERE source IN ('AF', 'AO', 'NF', 'NO', 'RF', 'RO') GROUP BY source"))
+NAMES = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
+@query(with_(*GRAPH, last="SELECT source, " + ", ".join(f"(round(coalesce(max(CASE WHEN target = '{s}' THEN te END), 0.0), 8) + 0.0) AS \"{s}\"" for s in NAMES) + " FROM edges GROUP BY source"))
 def wide_matrix(spark, sf_dir):
-    names = ["AF", "AO", "NF", "NO", "RF", "RO"]
-    known = edges(spark, sf_dir).where(F.col("source").isin(names))
-    out = known.groupBy("source").pivot("target", names).agg(F.first("te")).na.fill(0.0)
-    return out.select("source", *[r(n).alias(n) for n in names])
+    """The whole matrix; the adapter's series are the columns, whatever the edges hold."""
+    return pairs.wide(edges(spark, sf_dir), names=NAMES).select("source", *[r(n).alias(n) for n in NAMES])
 
 
 @query(with_(*GRAPH, last=f"SELECT source, target, {sql_r('te')} AS te FROM edges"))
@@ -95,31 +104,10 @@ def tidy_matrix(spark, sf_dir):
     return pairs.tidy(pairs.wide(edges(spark, sf_dir))).select("source", "target", r("te").alias("te"))
 
 
-K, H = 5, 3
-PSI = "psi AS (SELECT g AS n, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / nullif(g - 1, 0)) OVER (ORDER BY g), 0.0) AS v FROM range(1, 4001) t(g))"
-
-
-def entropy_sql(lags: list[int], source: str = "panel") -> list[str]:
-    """te(source, target, lag, te) by theta self-joins of the pairs' embeddings."""
-    near = lambda s: "greatest(" + ", ".join(f"abs(a.{s}{j} - b.{s}{j})" for j in range(H)) + ")"
-    past = ", ".join(f"lag({s}, {j}) OVER w AS {s}{j}" for s in "st" for j in range(H))
-    return [
-        f"pr AS (SELECT a.series AS source, b.series AS target, row_number() OVER (PARTITION BY a.series, b.series ORDER BY a.bar) - 1 AS i, a.ret AS s, b.ret AS t FROM {source} a JOIN {source} b ON a.bar = b.bar AND a.series <> b.series)",
-        "size AS (SELECT source, target, count(*) AS n FROM pr GROUP BY source, target)",
-        f"past AS (SELECT source, target, i, {past} FROM pr WINDOW w AS (PARTITION BY source, target ORDER BY i))",
-        f"em AS (SELECT past.*, l.lag, f.t AS f FROM past CROSS JOIN (VALUES {', '.join(f'({x})' for x in lags)}) AS l(lag) JOIN pr f ON f.source = past.source AND f.target = past.target AND f.i = past.i + l.lag WHERE past.i >= {H})",
-        f"d AS (SELECT a.source, a.target, a.lag, a.i, {near('t')} AS own, abs(a.f - b.f) AS fut, {near('s')} AS oth FROM em a JOIN em b ON a.source = b.source AND a.target = b.target AND a.lag = b.lag)",
-        f"eps AS (SELECT source, target, lag, i, list_sort(list(greatest(own, fut, oth)))[{K + 1}] - 1e-15 AS e FROM d GROUP BY source, target, lag, i)",
-        "c AS (SELECT d.source, d.target, d.lag, d.i, greatest(count(*) FILTER (WHERE own <= e), 1) AS n_own, greatest(count(*) FILTER (WHERE greatest(own, fut) <= e), 1) AS n_fut, greatest(count(*) FILTER (WHERE greatest(own, oth) <= e), 1) AS n_oth FROM d JOIN eps ON d.source = eps.source AND d.target = eps.target AND d.lag = eps.lag AND d.i = eps.i GROUP BY d.source, d.target, d.lag, d.i)",
-        PSI,
-        f"te AS (SELECT c.source, c.target, lag, CASE WHEN count(*) < 50 OR any_value(size.n) < 50 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) + avg(p1.v) - avg(p2.v) - avg(p3.v)) END AS te FROM c JOIN size ON c.source = size.source AND c.target = size.target JOIN psi p1 ON p1.n = n_own JOIN psi p2 ON p2.n = n_fut JOIN psi p3 ON p3.n = n_oth GROUP BY c.source, c.target, lag)",
-    ]
-
-
-@query(with_(*panel_sql(), *entropy_sql([1, 5]), last=f"SELECT source, target, lag, {sql_r('te')} AS te FROM te"))
+@query(with_(*panel_sql(), *entropy_sql(discovery.LAGS), last=f"SELECT source, target, lag, {sql_r('te')} AS te FROM te"))
 def te_matrix(spark, sf_dir):
     rows = panel.covered(full_panel(spark, sf_dir), 0.10)
-    return discovery.entropy_matrix(rows, [1, 5], K, H, noise=0.0).withColumn("te", r("te"))
+    return discovery.entropy_matrix(rows, None, K, H, noise=0.0).withColumn("te", r("te"))
 
 
 @query(with_(*panel_sql("weekly_orders"), *entropy_sql([1]), last=f"SELECT source, target, lag, {sql_r('te')} AS te FROM te"))
@@ -131,8 +119,8 @@ _DECAY = f"""dc AS (SELECT *, first_value(te) OVER o AS f, first_value(lag) OVER
 dn AS (SELECT *, te / greatest(f, 1e-10) AS te_norm FROM dc),
 dh AS (SELECT *, coalesce(min(CASE WHEN lag > fl AND te < f * 0.5 THEN lag END) OVER p, ll) AS half_life, coalesce(max(CASE WHEN lag = 2 THEN te_norm END) OVER p, 0.0) AS kept FROM dn WINDOW p AS (PARTITION BY source, target)),
 lc AS (SELECT source, target, CASE WHEN count(*) > 20 THEN coalesce({CORR}, 0.0) ELSE 0.0 END AS lagged_corr FROM pairs GROUP BY source, target),
-decay AS (SELECT dh.source, dh.target, lag, te, te_norm, half_life, CASE WHEN half_life <= 1 THEN 'HFT only' WHEN half_life <= 3 AND kept >= 0.30 THEN 'Next-day' WHEN half_life <= 3 THEN 'Short-term' WHEN half_life <= 10 THEN 'Swing' ELSE 'Slow decay' END AS category,
-CASE WHEN lagged_corr >= 0 THEN 'positive' ELSE 'negative' END AS direction, lagged_corr FROM dh JOIN lc ON dh.source = lc.source AND dh.target = lc.target)"""
+decay AS (SELECT dh.source, dh.target, lag, te, te_norm, half_life, CASE WHEN half_life <= 1 THEN 'HFT only' WHEN half_life <= 3 AND kept >= 0.30 THEN 'Next-day tradable' WHEN half_life <= 3 THEN 'Short-term' WHEN half_life <= 10 THEN 'Swing (tradable)' ELSE 'Slow decay (tradable)' END AS category,
+CASE WHEN lagged_corr >= 0 THEN 'same' ELSE 'inverse' END AS direction, lagged_corr FROM dh JOIN lc ON dh.source = lc.source AND dh.target = lc.target)"""
 _DECAYED = [*P1, *entropy_sql([1, 2, 3, 5]), _DECAY]
 
 
@@ -151,20 +139,30 @@ def decay_categories(spark, sf_dir):
     return _decay(spark, sf_dir).groupBy("category").agg(F.count_distinct(F.concat_ws(">", "source", "target")).alias("pairs"))
 
 
-def information_sql(lag: int) -> list[str]:
+def information_sql(lags: list[int]) -> list[str]:
+    """mi(source, target, lag, mi) by theta self-joins of the pairs' rows."""
+    key = "source, target, lag"
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in ("source", "target", "lag"))
     return [
-        f"pr AS (SELECT a.series AS source, b.series AS target, a.bar AS i, a.ret AS x, b.ret AS y FROM panel a JOIN panel b ON a.bar + {lag} = b.bar AND a.series <> b.series)",
-        "d AS (SELECT a.source, a.target, a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM pr a JOIN pr b ON a.source = b.source AND a.target = b.target)",
-        f"eps AS (SELECT source, target, i, list_sort(list(greatest(dx, dy)))[{K + 1}] - 1e-15 AS e FROM d GROUP BY source, target, i)",
-        "c AS (SELECT d.source, d.target, d.i, greatest(count(*) FILTER (WHERE dx <= e), 1) + 1 AS nx, greatest(count(*) FILTER (WHERE dy <= e), 1) + 1 AS ny FROM d JOIN eps ON d.source = eps.source AND d.target = eps.target AND d.i = eps.i GROUP BY d.source, d.target, d.i)",
+        f"pr AS (SELECT a.series AS source, b.series AS target, lag, a.bar AS i, a.ret AS x, b.ret AS y FROM panel a CROSS JOIN (VALUES {', '.join(f'({x})' for x in lags)}) AS l(lag) JOIN panel b ON a.bar + lag = b.bar AND a.series <> b.series)",
+        f"size AS (SELECT {key}, count(*) AS n FROM pr GROUP BY {key})",
+        f"d AS (SELECT a.source, a.target, a.lag, a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM pr a JOIN pr b ON {same('a', 'b')})",
+        f"eps AS (SELECT {key}, i, list_sort(list(greatest(dx, dy)))[{K + 1}] - 1e-15 AS e FROM d GROUP BY {key}, i)",
+        f"c AS (SELECT d.source, d.target, d.lag, d.i, greatest(count(*) FILTER (WHERE dx <= e), 1) + 1 AS nx, greatest(count(*) FILTER (WHERE dy <= e), 1) + 1 AS ny FROM d JOIN eps ON {same('d', 'eps')} AND d.i = eps.i GROUP BY d.source, d.target, d.lag, d.i)",
         PSI,
-        f"mi AS (SELECT source, target, CASE WHEN count(*) < 20 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) - avg(p1.v + p2.v) + (SELECT v FROM psi WHERE n = (SELECT count(*) FROM pr q WHERE q.source = c.source AND q.target = c.target))) END AS mi FROM c JOIN psi p1 ON p1.n = nx JOIN psi p2 ON p2.n = ny GROUP BY source, target)",
+        f"mi AS (SELECT c.source, c.target, c.lag, CASE WHEN count(*) < 20 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) - avg(p1.v + p2.v) + any_value(p3.v)) END AS mi FROM c JOIN size ON {same('c', 'size')} JOIN psi p1 ON p1.n = nx JOIN psi p2 ON p2.n = ny JOIN psi p3 ON p3.n = size.n GROUP BY c.source, c.target, c.lag)",
     ]
 
 
-@query(with_(*panel_sql(), *information_sql(2), last=f"SELECT source, target, 2 AS lag, {sql_r('mi')} AS mi FROM mi"))
+@query(with_(*panel_sql(), *information_sql(discovery.LAGS), last=f"SELECT source, target, lag, {sql_r('mi')} AS mi FROM mi"))
 def mi_matrix(spark, sf_dir):
-    return discovery.information_matrix(full_panel(spark, sf_dir), [2], K, noise=0.0).withColumn("mi", r("mi"))
+    return discovery.information_matrix(full_panel(spark, sf_dir), None, K, noise=0.0).withColumn("mi", r("mi"))
+
+
+@query(with_(*panel_sql(), *entropy_sql([1]), last=f"SELECT source, target, lag, {sql_r('te')} AS te FROM te WHERE target IN ('RF', 'RO')"))
+def te_of_followers(spark, sf_dir):
+    """All leaders of some followers: only the followers' pairs are computed."""
+    return discovery.entropy_matrix(full_panel(spark, sf_dir), [1], K, H, noise=0.0, targets=["RF", "RO"]).withColumn("te", r("te"))
 
 
 @query(with_(*panel_sql(), _FEATURES, _REGIMES, "big AS (SELECT regime FROM regimes GROUP BY regime HAVING count(*) >= 60), parted AS (SELECT regime || ':' || series AS series, panel.bar, ret FROM panel JOIN regimes ON panel.bar = regimes.bar WHERE regime IN (SELECT regime FROM big))", *entropy_sql([1], "parted"), last=f"SELECT split_part(source, ':', 1)::INT AS regime, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, lag, {sql_r('te')} AS te FROM te"))
@@ -176,22 +174,27 @@ def te_by_regime(spark, sf_dir):
 
 @query()
 def te_effective(spark, sf_dir):
-    return discovery.effective_matrix(full_panel(spark, sf_dir), 1, K, H, surrogates=20)
+    return discovery.effective_matrix(full_panel(spark, sf_dir), 1, K, H)
 
 
 @query()
 def te_best_lag(spark, sf_dir):
-    return discovery.variable_lags(full_panel(spark, sf_dir), [1, 2, 5], None, K, H, surrogates=10)
+    return discovery.variable_lags(full_panel(spark, sf_dir), None, None, K, H)
 
 
 @query()
 def te_bootstrap(spark, sf_dir):
-    return discovery.significance(full_panel(spark, sf_dir), "bootstrap", 1, 40)
+    return discovery.significance(full_panel(spark, sf_dir), "bootstrap", 1)
 
 
 @query()
 def te_surrogate(spark, sf_dir):
-    return discovery.significance(full_panel(spark, sf_dir), "phase", 1, 40)
+    return discovery.significance(full_panel(spark, sf_dir), "phase", 1)
+
+
+@query()
+def te_shuffled(spark, sf_dir):
+    return discovery.significance(full_panel(spark, sf_dir), "shuffle", 1)
 
 
 @query()

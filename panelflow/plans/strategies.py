@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import expected_max_sharpe
 from panelflow.operators import backtest, cv, monitor, neural, pairs, portfolio, robustness, signals, unitroot, varmodels
-from panelflow.plans.base import CORR, EDGES, SLOPE, edges, full_panel, pair_sql, panel_sql, query, r, sql_r, with_
+from panelflow.plans.base import CORR, EDGES, SLOPE, H, K, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, sql_r, with_
 from panelflow.plans.graphs import _DECAYED, _HITS, _SIGMA, _decay
 from panelflow.plans.panels import _FEATURES, _REGIMES, features, market_regimes
 
@@ -51,14 +51,18 @@ def regime_weights(spark, sf_dir):
     return signals.regime_weights(by_regime, 1, 0).withColumn("weight", r("weight"))
 
 
-_MARKETS = "markets AS (SELECT series, CASE WHEN series LIKE 'A%' THEN 'us' WHEN series LIKE 'N%' THEN 'crypto' ELSE 'macro' END AS market FROM (SELECT DISTINCT series FROM panel))"
-_TIMING = """CASE WHEN fm = 'macro' THEN 'not tradable' WHEN lm = 'macro' THEN 'after release' WHEN lag > 1 THEN 'actionable' WHEN fm = 'crypto' THEN 'actionable'
-WHEN lm = 'crypto' AND fm IN ('us', 'futures', 'fx') THEN 'actionable at open' WHEN lm = 'us' AND fm = 'us' THEN 'next open' WHEN lm = 'us' AND fm IN ('futures', 'fx') THEN 'actionable after close'
-WHEN lm IN ('futures', 'fx') AND fm = 'us' THEN 'actionable at open' ELSE 'actionable' END"""
+#: Stand-in markets of the adapters' series, one of each kind; RO is of none that is known.
+_KINDS = {"AF": "equity", "AO": "bond", "NF": "fx", "NO": "crypto", "RF": "weekly_macro"}
+_MARKETS = "markets AS (SELECT series, CASE series " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in _KINDS.items()) + " ELSE 'other' END AS market FROM (SELECT DISTINCT series FROM panel))"
+_TIMING = """CASE WHEN lm = 'weekly_macro' THEN 'delayed data' WHEN fm = 'equity' THEN 'actionable' WHEN lm = 'equity' AND fm IN ('fx', 'crypto') THEN 'likely priced' WHEN lm = 'fx' AND fm = 'fx' THEN 'likely priced'
+WHEN fm = 'crypto' THEN 'likely priced' WHEN lm IN ('bond', 'credit') AND fm = 'fx' THEN 'likely priced' ELSE 'actionable' END"""
 
 
 def _market():
-    return F.when(F.col("series").startswith("A"), "us").when(F.col("series").startswith("N"), "crypto").otherwise("macro").alias("market")
+    found = F.lit("other")
+    for name, market in _KINDS.items():
+        found = F.when(F.col("series") == name, market).otherwise(found)
+    return found.alias("market")
 
 
 @query(with_(*GRAPH, _MARKETS, last=f"SELECT source, target, {_TIMING} AS timing FROM (SELECT e.*, a.market AS lm, b.market AS fm FROM edges e JOIN markets a ON a.series = e.source JOIN markets b ON b.series = e.target)"))
@@ -66,8 +70,23 @@ def timing_class(spark, sf_dir):
     markets = full_panel(spark, sf_dir).select("series").distinct().select("series", _market())
     left = markets.select(F.col("series").alias("source"), F.col("market").alias("lm"))
     right = markets.select(F.col("series").alias("target"), F.col("market").alias("fm"))
-    rows = edges(spark, sf_dir).join(F.broadcast(left), "source").join(F.broadcast(right), "target")
-    return rows.select("source", "target", signals.timing(F.col("lm"), F.col("fm"), F.col("lag")).alias("timing"))
+    rows = edges(spark, sf_dir).join(left, "source").join(right, "target")
+    return rows.select("source", "target", signals.timing(F.col("lm"), F.col("fm")).alias("timing"))
+
+
+_KNOWN = [(s, m) for m, names in signals.MARKETS.items() for s in names.split()]
+
+
+@query(f"SELECT a.s AS source, b.s AS target, {_TIMING} AS timing FROM (SELECT s, m AS lm FROM (VALUES {', '.join(map(str, [*_KNOWN, ('NEW', 'other')]))}) AS t(s, m)) a JOIN (SELECT s, m AS fm FROM (VALUES {', '.join(map(str, [*_KNOWN, ('NEW', 'other')]))}) AS t(s, m)) b ON a.s <> b.s")
+def market_timing(spark, sf_dir):
+    """The rule for every two series whose market is known, and for one that isn't."""
+    names = spark.createDataFrame([(s,) for s, _ in [*_KNOWN, ("NEW", "")]], "s string")
+    rows = names.select(F.col("s").alias("source")).join(names.select(F.col("s").alias("target")), F.col("source") != F.col("target"))
+    return rows.select("source", "target", signals.timing(signals.market_of(F.col("source")), signals.market_of(F.col("target"))).alias("timing"))
+
+
+def _split_sql(name: str, condition: str) -> str:
+    return f"SELECT '{name}' AS side, leader, follower, {sql_r('te')} AS te, {_TIMING} AS timing FROM board WHERE {_TIMING} {condition}"
 
 
 _BOARD = f"""cc AS (SELECT source, target, CASE WHEN count(*) > 20 THEN coalesce({CORR}, 0.0) ELSE 0.0 END AS corr FROM pairs GROUP BY source, target),
@@ -90,12 +109,19 @@ def signal_board(spark, sf_dir):
     return _board(spark, sf_dir).withColumns({"te": r("te"), "te_strength": r("te_strength", 6), "corr": r("corr"), "beta": r("beta"), "expected_return": r("expected_return"), "hit_rate": r("hit_rate", 6)})
 
 
+@query(with_(*_BOARDED, last=_split_sql("actionable", "= 'actionable'") + " UNION ALL " + _split_sql("other", "<> 'actionable'")))
+def actionable_split(spark, sf_dir):
+    first, rest = signals.split_actionable(_board(spark, sf_dir))
+    rows = first.withColumn("side", F.lit("actionable")).union(rest.withColumn("side", F.lit("other")))
+    return rows.select("side", "leader", "follower", r("te").alias("te"), "timing")
+
+
 @query(with_(*_BOARDED, last=f"SELECT count(*) AS signals, arg_min(leader || ' > ' || follower, (-abs(expected_return), leader || ' > ' || follower)) AS strongest, {sql_r('avg(abs(expected_return))')} AS mean_abs_return, {sql_r('max(hit_rate)', 6)} AS best_hit_rate FROM board"))
 def signal_summary(spark, sf_dir):
     return signals.summary(_board(spark, sf_dir)).withColumns({"mean_abs_return": r("mean_abs_return"), "best_hit_rate": r("best_hit_rate", 6)})
 
 
-@query(with_(*_DECAYED, last=f"SELECT source, target, lag, {sql_r('te')} AS te, category FROM (SELECT *, min(lag) OVER (PARTITION BY source, target) AS m FROM decay) WHERE lag = m AND category IN ('Next-day', 'Short-term', 'Swing')"))
+@query(with_(*_DECAYED, last=f"SELECT source, target, lag, {sql_r('te')} AS te, category FROM (SELECT *, min(lag) OVER (PARTITION BY source, target) AS m FROM decay) WHERE lag = m AND category IN ('Next-day tradable', 'Swing (tradable)', 'Slow decay (tradable)')"))
 def tradable_board(spark, sf_dir):
     return signals.tradable(_decay(spark, sf_dir)).select("source", "target", "lag", r("te").alias("te"), "category")
 
@@ -268,9 +294,16 @@ def return_moments(spark, sf_dir):
     return robustness.moments(_book(spark, sf_dir)[2]).select("n", r("sharpe", 6).alias("sharpe"), r("skew", 6).alias("skew"), r("kurtosis", 6).alias("kurtosis"))
 
 
-@query()
+#: The normal distribution's function by its series, near enough up to 5 deviations.
+_PHI = "0.5 + list_sum(list_transform(range(0, 80), lambda i: pow(-0.5::DOUBLE, i) * pow(z, 2 * i + 1) / (gamma(i + 1.0) * (2 * i + 1)))) / sqrt(2 * pi())"
+_DEFLATED = f"""ds AS (SELECT n, CASE WHEN s > 1e-10 THEN m / s ELSE 0.0 END AS sharpe, m3 / (pow(m2, 1.5) + 1e-12) AS skew, m4 / (m2 * m2 + 1e-12) AS kurtosis, 0.1 * {expected_max_sharpe(12)!r}::DOUBLE AS benchmark FROM mm, mo),
+dz AS (SELECT *, (sharpe - benchmark) / sqrt((1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / (n - 1)) AS z FROM ds), dp AS (SELECT *, {_PHI} AS deflated FROM dz)"""
+
+
+@query(with_(*_RUN, _MOMENTS, _DEFLATED, last=f"SELECT n, {sql_r('sharpe', 6)} AS sharpe, {sql_r('deflated', 6)} AS deflated, {sql_r('1 - deflated', 6)} AS p_value, {sql_r('benchmark', 6)} AS benchmark, deflated >= 0.95 AS passes FROM dp"))
 def deflated_sharpe(spark, sf_dir):
-    return robustness.deflated(robustness.moments(_book(spark, sf_dir)[2]), 12, 0.1)
+    rows = robustness.deflated(robustness.moments(_book(spark, sf_dir)[2]), 12, 0.1)
+    return rows.select("n", *[r(c, 6).alias(c) for c in ("sharpe", "deflated", "p_value", "benchmark")], "passes")
 
 
 @query()
@@ -326,18 +359,20 @@ def pbo(spark, sf_dir):
     return robustness.overfitting_probability(_trials(spark, sf_dir)).select(r("pbo", 6).alias("pbo"), "splits")
 
 
-REFRESH = 52
-_REFRESHED = f"""rd AS (SELECT unnest(generate_series({INIT}, (SELECT max(bar) FROM panel)::BIGINT, {REFRESH})) AS refresh_bar),
-rp AS (SELECT rd.refresh_bar, a.series AS source, b.series AS target, a.ret AS l, b.ret AS f FROM panel a JOIN panel b ON a.bar + 1 = b.bar AND a.series <> b.series JOIN rd ON b.bar < rd.refresh_bar AND b.bar >= rd.refresh_bar - 156),
-re AS (SELECT refresh_bar, source, target, abs(coalesce({CORR}, 0.0)) AS te FROM rp GROUP BY refresh_bar, source, target),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY refresh_bar ORDER BY te DESC, source, target) AS k FROM re) WHERE k <= 10 AND te > 0)"""
+#: Bars between two refreshes of the edges, and that an entropy looks back on at most.
+REFRESH, LOOKBACK = 63, 750
+_REFRESHED = ",\n".join([
+    f"rd AS (SELECT unnest(generate_series({INIT}, (SELECT max(bar) FROM panel)::BIGINT, {REFRESH})) AS refresh_bar)",
+    # a panel for each refresh, told apart by the bars' numbers and the series' names
+    f"past_panel AS (SELECT refresh_bar || ':' || series AS series, refresh_bar * 1000000 + bar AS bar, ret FROM panel JOIN rd ON bar < refresh_bar AND bar >= refresh_bar - {LOOKBACK})",
+    *entropy_sql([1], "past_panel"),
+    "re AS (SELECT split_part(source, ':', 1)::BIGINT AS refresh_bar, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, te FROM te)",
+    "chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY refresh_bar ORDER BY te DESC, source, target) AS k FROM re) WHERE k <= 10 AND te > 0)",
+])
 
 
 def _refreshed(rows):
-    """A cheap stand-in for entropies (absolute lagged correlation) on each refresh's look-back."""
-    dates = backtest.rebalances(rows, INIT, REFRESH).withColumnRenamed("rebalance_bar", "refresh_bar")
-    both = pairs.lagged(rows, [1]).join(F.broadcast(dates), (F.col("bar") < F.col("refresh_bar")) & (F.col("bar") >= F.col("refresh_bar") - 156))
-    return both.groupBy("refresh_bar", "source", "target").agg(F.abs(F.coalesce(pairs.pearson(F.col("l"), F.col("f")), F.lit(0.0))).alias("te"))
+    return backtest.refresh_edges(rows, None, INIT, REFRESH, LOOKBACK, k=K, history=H, noise=0.0)
 
 
 @query(with_(*panel_sql(), _REFRESHED, last=f"SELECT c.refresh_bar, count(*) AS active, count(*) FILTER (WHERE p.source IS NULL) AS new FROM chosen c LEFT JOIN chosen p ON p.refresh_bar + {REFRESH} = c.refresh_bar AND p.source = c.source AND p.target = c.target GROUP BY c.refresh_bar"))
@@ -363,21 +398,38 @@ def lead_strategy_weights(spark, sf_dir):
     return backtest.lead_weights(rows, _refreshed(rows), INIT, STEP, REFRESH, rows=104, top=10).withColumn("weight", r("weight", 6))
 
 
-@query()
+def _net_sql(weights: str, p: str, bps: float) -> str:
+    """{p}net(bar, net): the walk-forward result of a table of weights."""
+    return f"""{p}turn AS (SELECT rebalance_bar, sum(abs(weight - q)) AS turnover FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY series ORDER BY rebalance_bar), 0.0) AS q FROM {weights}) GROUP BY rebalance_bar),
+{p}gross AS (SELECT x.bar, y.rebalance_bar, sum(y.weight * x.ret) AS gross FROM panel x JOIN {weights} y ON y.series = x.series AND y.rebalance_bar = {INIT} + {STEP} * ((x.bar - 1 - {INIT}) // {STEP}) WHERE x.bar >= {INIT} + 1 GROUP BY x.bar, y.rebalance_bar),
+{p}net AS (SELECT x.bar, x.rebalance_bar, gross, CASE WHEN x.bar = x.rebalance_bar + 1 THEN {bps} / 2 / 1e4 * turnover ELSE 0.0 END AS cost FROM {p}gross x JOIN {p}turn USING (rebalance_bar))"""
+
+
+_TWO = f"""two AS (SELECT 'lead' AS strategy, bar, gross - cost AS net FROM leadnet UNION ALL SELECT 'benchmark', bar, net FROM wf),
+twoeq AS (SELECT *, {_compound_sql(' OVER (PARTITION BY strategy ORDER BY bar ROWS UNBOUNDED PRECEDING)')} AS equity FROM two),
+twodd AS (SELECT *, equity / max(equity) OVER (PARTITION BY strategy ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM twoeq)"""
+
+
+@query(with_(*_RUN, _REFRESHED, _LEAD, _net_sql("lead", "lead", 1.0), _TWO, last=_metrics_sql("twodd", "strategy")))
 def lead_strategy_metrics(spark, sf_dir):
     """The whole strategy on transfer entropies, against the inverse-volatility benchmark."""
-    rows, weights, benchmark = _book(spark, sf_dir)
-    lead = backtest.lead_weights(rows, backtest.refresh_edges(rows, None, INIT, REFRESH, 156, noise=0.0), INIT, STEP, REFRESH, rows=104, top=10)
+    rows, _, benchmark = _book(spark, sf_dir)
+    lead = backtest.lead_weights(rows, _refreshed(rows), INIT, STEP, REFRESH, rows=104, top=10)
     own = backtest.walk_forward(rows, lead, INIT, STEP, 1.0, 1)
     both = own.select(F.lit("lead").alias("strategy"), "bar", "net").union(benchmark.select(F.lit("benchmark").alias("strategy"), "bar", "net"))
-    return backtest.metrics(both, ("strategy",))
+    return _rounded_metrics(backtest.metrics(both, ("strategy",)), "strategy")
 
 
-@query()
+_CALLBACK = f"""cm AS (SELECT series, bar, avg(ret) OVER (PARTITION BY series ORDER BY bar ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING) AS m, count(*) OVER (PARTITION BY bar) AS width FROM panel),
+cw AS (SELECT bar AS rebalance_bar, series, rank() OVER (PARTITION BY bar ORDER BY m) / width / 6.0 AS weight FROM cm WHERE bar IN (SELECT unnest(generate_series({INIT}, (SELECT max(bar) FROM panel)::BIGINT, {STEP})))),
+{_net_sql('cw', 'cb', 1.0)}"""
+
+
+@query(with_(*panel_sql(), _CALLBACK, last=f"SELECT bar, rebalance_bar, {sql_r('gross')} AS gross, {sql_r('cost')} AS cost, {sql_r('gross - cost')} AS net FROM cbnet"))
 def callback_strategy(spark, sf_dir):
     rows = full_panel(spark, sf_dir)
     weights = backtest.callback_weights(rows, lambda past: past.tail(13).mean().rank() / len(past.columns) / 6, INIT, STEP)
-    return backtest.walk_forward(rows, weights, INIT, STEP, 1.0, 1)
+    return backtest.walk_forward(rows, weights, INIT, STEP, 1.0, 1).select("bar", "rebalance_bar", r("gross").alias("gross"), r("cost").alias("cost"), r("net").alias("net"))
 
 
 # -- models ---------------------------------------------------------------------------------------
@@ -458,11 +510,14 @@ def alert_text(spark, sf_dir):
     return monitor.alert_text(monitor.regime_changes(market_regimes(full_panel(spark, sf_dir))))
 
 
-@query()
+_LINE = "'regime ' || last || ' became ' || regime"
+
+
+@query(with_(*panel_sql(), _FEATURES, _REGIMES, _CHANGES, last=f"SELECT '# Daily report' || chr(10) || chr(10) || CASE WHEN count(*) = 0 THEN 'Nothing happened.' ELSE '## regime_change (' || count(*) || ')' || chr(10) || string_agg('- ' || {_LINE}, chr(10) ORDER BY bar) END AS text FROM ch"))
 def daily_report(spark, sf_dir):
     return monitor.daily_report(monitor.regime_changes(market_regimes(full_panel(spark, sf_dir))))
 
 
-@query()
+@query(with_(*panel_sql(), _FEATURES, _REGIMES, _CHANGES, last=f"SELECT 'These breaks in lead-lag relations were found:' || chr(10) || coalesce(string_agg('REGIME_CHANGE: ' || {_LINE}, chr(10) ORDER BY bar) || chr(10), '') || 'Context: weekly panel' || chr(10) || 'Explain in three sentences what may link them, and what to watch next.' AS text FROM ch"))
 def narrative_prompt(spark, sf_dir):
     return monitor.narrative_prompt(monitor.regime_changes(market_regimes(full_panel(spark, sf_dir))), "weekly panel")

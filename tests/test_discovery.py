@@ -106,8 +106,8 @@ def test_decay_categories(spark):
     edges = spark.createDataFrame(edges, "source string, target string, lag int, te double")
     corr = spark.createDataFrame([("a", "b", 1, -0.2)], "source string, target string, lag int, corr double")
     rows = {r["source"]: r for r in d.decay(edges, corr).where("lag = 1").collect()}
-    assert {k: (r["half_life"], r["category"]) for k, r in rows.items()} == {"a": (3, "Next-day"), "c": (2, "Short-term"), "d": (1, "HFT only"), "e": (10, "Swing"), "f": (20, "Slow decay")}
-    assert rows["a"]["direction"] == "negative" and rows["c"]["direction"] == "positive"
+    assert {k: (r["half_life"], r["category"]) for k, r in rows.items()} == {"a": (3, "Next-day tradable"), "c": (2, "Short-term"), "d": (1, "HFT only"), "e": (10, "Swing (tradable)"), "f": (20, "Slow decay (tradable)")}
+    assert rows["a"]["direction"] == "inverse" and rows["c"]["direction"] == "same"
 
 
 def test_regimes_with_few_bars_are_left_out(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import deflated_sharpe, expected_max_sharpe
-from panelflow.operators import backtest, cv, monitor, portfolio, robustness, signals
+from panelflow.operators import backtest, cv, monitor, pairs, portfolio, robustness, signals
 
 
 def panel_of(spark, x, names="ABCDE"):
@@ -177,3 +177,34 @@ def test_breaks(spark):
     assert one.select(monitor.described(*[F.col(c) for c in "klfont"])).first()[0] == "te_spike: A > B from 0.1000 to 0.2000"
     assert monitor.post_webhook("x", "") is False and monitor.send_mail("x", "", 1, "a@b.example") is False
     assert monitor.narrate("x").startswith("No narrative") and "boom" in monitor.narrate("x", "key", lambda p, k: (_ for _ in ()).throw(OSError("boom")))
+
+
+def test_timing_rules(spark):
+    """The rule of every two kinds of market."""
+    late = {"weekly_macro"}
+    kinds = ["equity", "fx", "crypto", "commodity", "bond", "credit", "weekly_macro", "other"]
+    want = {(a, b): "actionable" for a in kinds for b in kinds}
+    want |= {(a, "crypto"): "likely priced" for a in kinds}
+    want |= {(a, "fx"): "likely priced" for a in ("equity", "fx", "bond", "credit")}
+    want |= {(a, b): "delayed data" for a in late for b in kinds}
+    rows = spark.createDataFrame([(a, b) for a in kinds for b in kinds], "a string, b string")
+    assert {(r["a"], r["b"]): r["t"] for r in rows.select("a", "b", signals.timing(F.col("a"), F.col("b")).alias("t")).collect()} == want
+    named = spark.createDataFrame([("SPX",), ("DXY",), ("ETH",), ("BRENT",), ("MOVE",), ("CCC_OAS",), ("CFNAI",), ("ELSE",)], "s string")
+    assert [r[0] for r in named.select(signals.market_of(F.col("s"))).collect()] == kinds
+
+
+def test_tradable_categories(spark):
+    kinds = ["HFT only", "Next-day tradable", "Short-term", "Swing (tradable)", "Slow decay (tradable)"]
+    rows = spark.createDataFrame([(k, "x", lag, k) for k in kinds for lag in (1, 2)], "source string, target string, lag int, category string")
+    kept = signals.tradable(rows).collect()
+    assert sorted(r["category"] for r in kept) == sorted(k for k in kinds if "tradable" in k) and {r["lag"] for r in kept} == {1}
+
+
+def test_tail_correlation_pairs_places_from_the_end(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=90), rng.normal(size=70)
+    rows = [("A", 2 * i, float(x)) for i, x in enumerate(a)] + [("B", 3 * i + 1, float(x)) for i, x in enumerate(b)] + [("A", 1, None), ("C", 0, 1.0)]
+    got = {(r["source"], r["target"]): (r["n"], r["corr"]) for r in pairs.tail_correlation(spark.createDataFrame(rows, "series string, bar long, ret double")).collect()}
+    assert got["A", "B"] == (70, pytest.approx(np.corrcoef(a[-71:-1], b)[0, 1]))
+    assert got["B", "A"] == (69, pytest.approx(np.corrcoef(b[:-1], a[-69:])[0, 1]))
+    assert got["A", "C"] == (1, 0.0)

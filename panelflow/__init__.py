@@ -1 +1,6 @@
-"""Panels of time series, and the corpora beside them, analysed with PySpark."""
+"""Directed influence between series, as Spark jobs."""
+
+from panelflow.config import Settings
+from panelflow.session import session
+
+__all__ = ["session", "Settings"]

@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--te-lookback", type=int, default=750)
     p.add_argument("--init", type=int, default=252)
     p.add_argument("--step", type=int, default=21)
-    p.add_argument("--tc-sweep", action="store_true")
+    p.add_argument("--tc-sweep", type=float, nargs="*", default=None, metavar="BPS", help="costs to run the weights over again; without values 0, 1, 2 and 5")
     return p
 
 
@@ -61,7 +61,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
 
     save(varmodels.lead_matrix(varmodels.lasso_var(recent)), a.out, "lasso_var_matrix")
     leaders = pairs.strength(edges).orderBy(F.desc("strength"), "series").limit(8).select("series")
-    few = recent.join(F.broadcast(leaders), "series", "left_semi").withColumn("panel", F.lit("top"))
+    few = recent.join(leaders, "series", "left_semi").withColumn("panel", F.lit("top"))
     save(varmodels.switching_var(few, regimes=a.n_regimes, max_iter=50), a.out, "ms_var_probs")
     market = features(returns).groupBy("bar").agg(F.avg("zvol").alias("vol"), F.avg("zmean").alias("mean"))
     tidy = market.unpivot(["bar"], ["vol", "mean"], "feature", "value").withColumn("panel", F.lit("market"))
@@ -86,8 +86,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     save(robustness.churn(chosen, a.te_refresh_freq), a.out, "backtest_pair_churn")
     trials = backtest.walk_forward(returns, backtest.momentum_trials(returns, [5, 10, 21, 63], a.init, a.step), a.init, a.step, a.tc_bps, a.execution_lag, ("trial",))
     save(trials.select("trial", (F.col("bar") - a.init - a.execution_lag).alias("bar"), F.col("net").alias("ret")), a.out, "backtest_trial_returns")
-    if a.tc_sweep:
-        sweep = backtest.cost_sweep(returns, weights, [0.0, 1.0, 2.0, 5.0], a.init, 1, a.execution_lag)
+    if a.tc_sweep is not None:
+        sweep = backtest.cost_sweep(returns, weights, a.tc_sweep or [0.0, 1.0, 2.0, 5.0], a.init, 1, a.execution_lag)
         save(backtest.metrics(sweep, ("tc_bps",)), a.out, "backtest_tc_sensitivity")
 
 

@@ -59,19 +59,56 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, coef: np.ndarray | None =
     return b
 
 
-def lasso_ic(x: np.ndarray, y: np.ndarray, criterion: str = "bic", points: int = 40) -> tuple[np.ndarray, float]:
-    """The point of a log-spaced path that the information criterion likes best (df: nonzero coefficients)."""
-    n, top = len(y), float(np.abs(x.T @ y).max()) / len(y)
-    if top <= 0:
-        return np.zeros(x.shape[1]), 0.0
+def lasso_path(x: np.ndarray, y: np.ndarray, most: int = 500) -> list[tuple[float, np.ndarray]]:
+    """(alpha, coefficients) at each knot of the lasso's path, from no coefficient on, by least-angle steps."""
+    n, p = x.shape
+    gram, cross = x.T @ x / n, x.T @ y / n
+    b, alpha = np.zeros(p), float(np.abs(cross).max(initial=0))
+    path, active, left = [(alpha, b.copy())], [], -1
+    while alpha > 1e-12 and len(path) < most:
+        size = np.abs(cross)
+        level = [j for j in range(p) if j not in active and j != left and size[j] >= alpha * (1 - 1e-10)]
+        if level and len(active) < min(n - 1, p):
+            active.append(min(level))
+        if not active:
+            break
+        sign = np.sign(cross[active])
+        way = np.linalg.lstsq(gram[np.ix_(active, active)], sign, rcond=None)[0]
+        turn = gram[:, active] @ way
+        step, left = alpha, -1
+        for j in range(p):
+            if j not in active and len(active) < min(n - 1, p):
+                for top, bottom in ((alpha - cross[j], 1 - turn[j]), (alpha + cross[j], 1 + turn[j])):
+                    if bottom > 1e-12 and 1e-14 < top / bottom < step:
+                        step = top / bottom
+        for j, d in zip(active, way, strict=True):
+            if d * b[j] < 0 and 1e-14 < -b[j] / d < step:
+                step, left = -b[j] / d, j
+        b[active] += step * way
+        cross, alpha = cross - step * turn, alpha - step
+        if left >= 0:
+            b[left] = 0.0
+            active.remove(left)
+        path.append((max(alpha, 0.0), b.copy()))
+    return path
+
+
+def lasso_ic(x: np.ndarray, y: np.ndarray, criterion: str = "bic") -> tuple[np.ndarray, float]:
+    """The knot of the path that the information criterion likes best (df: nonzero coefficients).
+
+    The noise's variance is that of the least-squares fit on all columns; where there are too few
+    rows for one, the knot's own.
+    """
+    n, p = x.shape
     cost = np.log(n) if criterion == "bic" else 2.0
-    best, kept, b = np.inf, (np.zeros(x.shape[1]), top), None
-    for alpha in np.geomspace(top, top * 1e-3, points):
-        b = lasso(x, y, alpha, b, max_iter=500)
+    noise = ols(x, y)[2] / (n - p - 1) if n > p + 1 else 0.0
+    best, kept = np.inf, (np.zeros(p), 0.0)
+    for alpha, b in lasso_path(x, y):
         rss = float(((y - x @ b) ** 2).sum())
-        value = n * np.log(max(rss / n, 1e-300)) + cost * np.count_nonzero(b)
+        misfit = n * np.log(2 * np.pi * noise) + rss / noise if noise > 1e-300 else n * np.log(max(rss / n, 1e-300))
+        value = misfit + cost * np.count_nonzero(np.abs(b) > 1e-15)
         if value < best:
-            best, kept = value, (b.copy(), float(alpha))
+            best, kept = value, (b, alpha)
     return kept
 
 

@@ -162,7 +162,7 @@ def lead_weights(returns: DataFrame, edges: DataFrame, init: int = 252, step: in
     dates = rebalances(returns, init, step).withColumn("refresh_bar", F.lit(init) + refresh * F.floor((F.col("rebalance_bar") - init) / refresh))
     series = returns.select("series", "bar", "ret")
     pairs = chosen.select("source", "target").distinct()
-    both = series.select(F.col("series").alias("source"), F.col("bar"), F.col("ret").alias("now"), F.lag("ret").over(by("series")).alias("l")).join(F.broadcast(pairs), "source")
+    both = series.select(F.col("series").alias("source"), F.col("bar"), F.col("ret").alias("now"), F.lag("ret").over(by("series")).alias("l")).join(pairs, "source")
     both = both.join(series.select(F.col("series").alias("target"), "bar", F.col("ret").alias("f")), ["target", "bar"])
     # rows up to bar b - 1, as known before rebalance bar b
     w = Window.partitionBy("source", "target").orderBy("bar").rowsBetween(1 - rows, 0)

@@ -230,6 +230,33 @@ def on_pairs(returns: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list
     return left.groupBy(*keys, "i", "j").cogroup(right.groupBy(*keys, "i", "j")).applyInPandas(run, schema)
 
 
+def on_targets(returns: DataFrame, fit: Callable[[list[str], np.ndarray, int], pd.DataFrame], schema: str, targets: list[str] | None = None) -> DataFrame:
+    """fit(names, x, i) for each target names[i]; x has a column for each series (in name order) and a row for each common bar.
+
+    Targets are dealt to blocks and the panel is sent once to each block, not to each target; there
+    are no more blocks than tasks that can run at a time, twice over.
+    """
+    blocks = 2 * returns.sparkSession.sparkContext.defaultParallelism
+    own = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int")
+    mine = own == F.col("block")
+    if targets is not None:
+        mine = mine & F.col("series").isin(targets)
+    rows = gathered(returns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("mine", mine)
+    used = rows.where("mine").select("block").distinct()
+    columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("series")
+        bars = np.asarray(pdf["bars"].iloc[0])
+        for other in pdf["bars"]:
+            bars = np.intersect1d(bars, other, assume_unique=True)
+        x = np.column_stack([np.asarray(r, float)[np.isin(b, bars, assume_unique=True)] for b, r in zip(pdf["bars"], pdf["rets"], strict=True)])
+        found = [fit(list(pdf["series"]), x, i) for i in np.flatnonzero(pdf["mine"])]
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
+
+    return rows.join(used, "block", "left_semi").groupBy("block").applyInPandas(run, schema)
+
+
 def entropy_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5, history: int = 3, noise: float = 1e-8, pairs: DataFrame | None = None, targets: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, source, target, lag, te) of all ordered pairs; apply `panel.covered` first."""
     lags, held = lags or LAGS, Targets()

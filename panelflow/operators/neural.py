@@ -1,6 +1,6 @@
 """Small trained models of influence: attention over leaders' lags, and recurrent Granger tests.
 
-Both are plain numpy with hand-written gradients; each target is trained in a task of its own.
+Both are plain numpy with hand-written gradients; targets are dealt to tasks in blocks.
 """
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from panelflow.operators.discovery import on_targets
 
 
 class Adam:
@@ -42,15 +43,18 @@ def rank_loss(guess: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 class LagAttention:
-    """A target as the sum of leaders' returns, each at softly chosen lags with a positive scale."""
+    """A target as the sum of leaders' returns, each at softly chosen lags with a positive scale.
 
-    def __init__(self, leaders: int, max_lag: int = 10, top: int = 0, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.top = top
-        self.p = {"logit": rng.normal(0, 0.01, (leaders, max_lag)), "scale": np.full(leaders, -1.0), "sign": np.full(leaders, 0.5), "bias": np.zeros(1)}
+    It starts from zeros, so a fit depends on nothing but the data. top: lags of a leader that take
+    part (with those that are level with the last of them; 0: all).
+    """
+
+    def __init__(self, leaders: int, max_lag: int = 10, top: int = 0, temperature: float = 1.0):
+        self.top, self.temperature = top, temperature
+        self.p = {"logit": np.zeros((leaders, max_lag)), "scale": np.zeros(leaders), "bias": np.zeros(1)}
 
     def attention(self) -> np.ndarray:
-        x = self.p["logit"]
+        x = self.p["logit"] / self.temperature
         if self.top and self.top < x.shape[1]:
             x = np.where(x >= np.sort(x, 1)[:, -self.top][:, None], x, -np.inf)
         return softmax(x)
@@ -66,7 +70,7 @@ class LagAttention:
     def predict(self, tensor: np.ndarray) -> np.ndarray:
         if tensor.shape[1:] != self.p["logit"].shape:
             raise ValueError("the tensor isn't of this model's leaders and lags")
-        return np.einsum("tnl,nl,n,n->t", tensor, self.attention(), self.scale(), np.tanh(self.p["sign"])) + self.p["bias"][0]
+        return np.einsum("tnl,nl,n->t", tensor, self.attention(), self.scale()) + self.p["bias"][0]
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.05, l1: float = 1e-3, loss: str = "rank") -> LagAttention:
         max_lag = self.p["logit"].shape[1]
@@ -75,19 +79,18 @@ class LagAttention:
         tensor, y = self.tensor(x, max_lag), y[max_lag:]
         adam = Adam(rate)
         for _ in range(epochs):
-            a, s, sign = self.attention(), self.scale(), np.tanh(self.p["sign"])
+            a, s = self.attention(), self.scale()
             seen = np.einsum("tnl,nl->tn", tensor, a)
-            guess = seen @ (s * sign) + self.p["bias"][0]
+            guess = seen @ s + self.p["bias"][0]
             if loss == "rank":
                 self.loss, g = rank_loss(guess, y)
             else:
                 self.loss, g = float(((guess - y) ** 2).mean()), 2 * (guess - y) / len(y)
             by_leader = g @ seen
-            ga = np.einsum("t,tnl->nl", g, tensor) * (s * sign)[:, None]
+            ga = np.einsum("t,tnl->nl", g, tensor) * s[:, None]
             self_grads = {
-                "logit": a * (ga - (ga * a).sum(1, keepdims=True)),
-                "scale": (by_leader * sign + l1) / (1 + np.exp(-self.p["scale"])),
-                "sign": by_leader * s * (1 - sign**2),
+                "logit": a * (ga - (ga * a).sum(1, keepdims=True)) / self.temperature,
+                "scale": (by_leader + l1) / (1 + np.exp(-self.p["scale"])),
                 "bias": np.array([g.sum()]),
             }
             adam.step(self.p, self_grads)
@@ -100,70 +103,93 @@ class LagAttention:
         return self.attention().argmax(1) + 1
 
 
-def attention_edges(returns: DataFrame, targets: list[str] | None = None, max_lag: int = 10, epochs: int = 200, rate: float = 0.05, l1: float = 1e-3, loss: str = "rank", top: int = 0, min_weight: float = 0.0, seed: int = 0) -> DataFrame:
-    """(source, target, lag, weight, loss, ic): each target's leaders, their likeliest lag, attention times scale."""
-    rows = returns.groupBy("bar").agg(F.array_sort(F.collect_list(F.struct("series", "ret"))).alias("row"))
-    panel = rows.select("bar", F.col("row.series").alias("names"), F.col("row.ret").alias("rets"))
-    chosen = returns.select(F.col("series").alias("target")).distinct()
-    if targets is not None:
-        chosen = chosen.where(F.col("target").isin(targets))
+def attention_edges(returns: DataFrame, targets: list[str] | None = None, max_lag: int = 10, epochs: int = 200, rate: float = 0.05, l1: float = 1e-3, loss: str = "rank", top: int = 0, min_weight: float = 1e-3, temperature: float = 1.0) -> DataFrame:
+    """(source, target, lag, attention, scale, weight, loss, ic): the leaders and lags of each target's fit whose
+    weight, attention times scale, is at least min_weight.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        names, target = list(pdf["names"].iloc[0]), pdf["target"].iloc[0]
-        x = np.stack(pdf["rets"]).astype(float)
-        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-        at = names.index(target)
+    def fit(names: list[str], x: np.ndarray, at: int) -> pd.DataFrame:
         others = [i for i in range(len(names)) if i != at]
-        model = LagAttention(len(others), max_lag, top, seed).fit(x[:, others], x[:, at], epochs, rate, l1, loss)
-        weight = model.attention().max(1) * model.scale()
-        out = pd.DataFrame({"source": [names[i] for i in others], "target": target, "lag": model.lags(), "weight": weight, "loss": model.loss, "ic": model.ic})
+        model = LagAttention(len(others), max_lag, top, temperature).fit(x[:, others], x[:, at], epochs, rate, l1, loss)
+        attention, scale = model.attention(), np.repeat(model.scale(), max_lag)
+        out = pd.DataFrame({"source": np.repeat([names[i] for i in others], max_lag), "target": names[at], "lag": np.tile(np.arange(1, max_lag + 1), len(others)), "attention": attention.ravel(), "scale": scale, "weight": attention.ravel() * scale, "loss": model.loss, "ic": model.ic})
         return out[out["weight"] >= min_weight]
 
-    return panel.crossJoin(F.broadcast(chosen)).groupBy("target").applyInPandas(run, "source string, target string, lag int, weight double, loss double, ic double")
+    return on_targets(returns, fit, "source string, target string, lag int, attention double, scale double, weight double, loss double, ic double", targets)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def lstm(x: list[np.ndarray], w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], list[tuple]]:
+    """The hidden states of one layer over the steps x, and what its gradients need."""
+    h = c = np.zeros((len(x[0]), len(u)))
+    out, tape = [], []
+    for e in x:
+        i, f, o, g = np.split(e @ w + h @ u + b, 4, 1)
+        i, f, o, g = _sigmoid(i), _sigmoid(f), _sigmoid(o), np.tanh(g)
+        new = f * c + i * g
+        tape.append((e, h, c, i, f, o, g, new))
+        h, c = o * np.tanh(new), new
+        out.append(h)
+    return out, tape
+
+
+def lstm_gradient(tape: list[tuple], above: list[np.ndarray], w: np.ndarray, u: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the steps' inputs and of w, u and b, from those of the hidden states."""
+    gw, gu, gb, below = np.zeros_like(w), np.zeros_like(u), np.zeros(w.shape[1]), [None] * len(tape)
+    dh = dc = np.zeros_like(above[0])
+    for t in range(len(tape) - 1, -1, -1):
+        e, h, c, i, f, o, g, new = tape[t]
+        bent, dh = np.tanh(new), dh + above[t]
+        dc = dc + dh * o * (1 - bent**2)
+        z = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * bent * o * (1 - o), dc * i * (1 - g**2)], 1)
+        gw, gu, gb, below[t] = gw + e.T @ z, gu + h.T @ z, gb + z.sum(0), z @ w.T
+        dh, dc = z @ u.T, dc * f
+    return below, gw, gu, gb
 
 
 class RecurrentNet:
-    """Inputs embedded one by one, an LSTM over the window, a linear head; gradients through time."""
+    """Inputs embedded one by one, layers of LSTM over the window, a linear head; gradients through time.
 
-    def __init__(self, inputs: int, embed: int = 4, hidden: int = 16, seed: int = 0):
+    dropout: of the states that go from one layer to the next, while it is trained.
+    """
+
+    def __init__(self, inputs: int, embed: int = 16, hidden: int = 64, seed: int = 0, layers: int = 2, dropout: float = 0.1):
         rng = np.random.default_rng(seed)
-        width = inputs * embed
-        unit = lambda *shape: rng.uniform(-1, 1, shape) / np.sqrt(shape[0])
-        self.p = {"e": rng.normal(0, 0.5, (inputs, embed)), "eb": np.zeros((inputs, embed)), "w": unit(width, 4 * hidden), "u": unit(hidden, 4 * hidden), "b": np.zeros(4 * hidden), "o": unit(hidden, 1), "ob": np.zeros(1)}
-
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list]:
-        n, steps, _ = x.shape
-        hidden = len(self.p["u"])
-        h, c, tape = np.zeros((n, hidden)), np.zeros((n, hidden)), []
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        for t in range(steps):
-            e = (x[:, t, :, None] * self.p["e"] + self.p["eb"]).reshape(n, -1)
-            i, f, o, g = np.split(e @ self.p["w"] + h @ self.p["u"] + self.p["b"], 4, 1)
-            i, f, o, g = sig(i), sig(f + 1), sig(o), np.tanh(g)
-            new = f * c + i * g
-            tape.append((e, h, c, i, f, o, g, new))
-            h, c = o * np.tanh(new), new
-        return (h @ self.p["o"] + self.p["ob"])[:, 0], [tape, h]
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        guess, (tape, last) = self.forward(x)
+        unit = lambda size, *shape: rng.uniform(-1, 1, shape) / np.sqrt(size)
+        self.layers, self.dropout = layers, dropout
+        self.p = {"e": unit(1, inputs, embed), "eb": unit(1, inputs, embed), "o": unit(hidden, hidden, 1), "ob": unit(hidden, 1)}
+        for k in range(layers):
+            self.p |= {f"w{k}": unit(hidden, hidden if k else inputs * embed, 4 * hidden), f"u{k}": unit(hidden, hidden, 4 * hidden), f"b{k}": unit(hidden, 4 * hidden)}
+
+    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+        """Guesses, and each layer's tape and dropout masks; rng: of the dropout, where it trains."""
+        steps = [(x[:, t, :, None] * self.p["e"] + self.p["eb"]).reshape(len(x), -1) for t in range(x.shape[1])]
+        tapes = []
+        for k in range(self.layers):
+            masks = None
+            if k and rng is not None and self.dropout:
+                masks = [(rng.random(s.shape) >= self.dropout) / (1 - self.dropout) for s in steps]
+                steps = [s * m for s, m in zip(steps, masks, strict=True)]
+            steps, tape = lstm(steps, *(self.p[f"{name}{k}"] for name in "wub"))
+            tapes.append((tape, masks))
+        return (steps[-1] @ self.p["o"] + self.p["ob"])[:, 0], [tapes, steps[-1]]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        guess, (tapes, last) = self.forward(x, rng)
         d = 2 * (guess - y)[:, None] / len(y)
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grads["o"], grads["ob"] = last.T @ d, d.sum(0)
-        dh, dc = d @ self.p["o"].T, np.zeros_like(last)
-        for t in range(x.shape[1] - 1, -1, -1):
-            e, h, c, i, f, o, g, new = tape[t]
-            bent = np.tanh(new)
-            dc = dc + dh * o * (1 - bent**2)
-            z = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * bent * o * (1 - o), dc * i * (1 - g**2)], 1)
-            grads["w"] += e.T @ z
-            grads["u"] += h.T @ z
-            grads["b"] += z.sum(0)
-            de = (z @ self.p["w"].T).reshape(len(x), *self.p["e"].shape)
-            grads["e"] += (de * x[:, t, :, None]).sum(0)
-            grads["eb"] += de.sum(0)
-            dh, dc = z @ self.p["u"].T, dc * f
+        grads = {"o": last.T @ d, "ob": d.sum(0)}
+        above = [np.zeros_like(last)] * (x.shape[1] - 1) + [d @ self.p["o"].T]
+        for k in range(self.layers - 1, -1, -1):
+            tape, masks = tapes[k]
+            above, *found = lstm_gradient(tape, above, self.p[f"w{k}"], self.p[f"u{k}"])
+            grads |= dict(zip((f"w{k}", f"u{k}", f"b{k}"), found, strict=True))
+            if masks:
+                above = [a * m for a, m in zip(above, masks, strict=True)]
+        de = np.stack(above, 1).reshape(*x.shape, -1)
+        grads |= {"e": (de * x[..., None]).sum((0, 1)), "eb": de.sum((0, 1))}
         return float(((guess - y) ** 2).mean()), grads
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float, batch: int, seed: int) -> None:
@@ -172,7 +198,7 @@ class RecurrentNet:
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 part = order[at : at + batch]
-                adam.step(self.p, self.gradient(x[part], y[part])[1])
+                adam.step(self.p, self.gradient(x[part], y[part], rng)[1])
 
 
 def granger_scores(panel: np.ndarray, history: int = 20, epochs: int = 200, hidden: int = 64, embed: int = 16, rate: float = 1e-3, batch: int = 32, held_out: float = 0.2, seed: int = 0) -> np.ndarray:
@@ -196,18 +222,10 @@ def granger_scores(panel: np.ndarray, history: int = 20, epochs: int = 200, hidd
 
 def neural_granger(returns: DataFrame, targets: list[str] | None = None, **options) -> DataFrame:
     """(source, target, score) of each target's trained network."""
-    rows = returns.groupBy("bar").agg(F.array_sort(F.collect_list(F.struct("series", "ret"))).alias("row"))
-    panel = rows.select("bar", F.col("row.series").alias("names"), F.col("row.ret").alias("rets"))
-    chosen = returns.select(F.col("series").alias("target")).distinct()
-    if targets is not None:
-        chosen = chosen.where(F.col("target").isin(targets))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        names, target = list(pdf["names"].iloc[0]), pdf["target"].iloc[0]
-        x = np.stack(pdf["rets"]).astype(float)
+
+    def fit(names: list[str], x: np.ndarray, at: int) -> pd.DataFrame:
         x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-        order = [names.index(target), *(i for i, n in enumerate(names) if n != target)]
-        return pd.DataFrame({"source": [names[i] for i in order[1:]], "target": target, "score": granger_scores(x[:, order], **options)})
+        order = [at, *(i for i in range(len(names)) if i != at)]
+        return pd.DataFrame({"source": [names[i] for i in order[1:]], "target": names[at], "score": granger_scores(x[:, order], **options)})
 
-    return panel.crossJoin(F.broadcast(chosen)).groupBy("target").applyInPandas(run, "source string, target string, score double")
+    return on_targets(returns, fit, "source string, target string, score double", targets)

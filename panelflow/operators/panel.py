@@ -122,19 +122,26 @@ def embedding(returns: DataFrame, lag: int = 1, history: int = 3) -> DataFrame:
 
 
 def lag_design(returns: DataFrame, lags: int) -> DataFrame:
-    """(target, bar, y, x): x has all series at lag 1, then at lag 2 and so on, series in name order."""
-    by_bar = returns.groupBy("bar").agg(F.transform(F.array_sort(F.collect_list(F.struct("series", "ret"))), lambda s: s["ret"]).alias("row"))
-    w = Window.orderBy("bar")
-    rows = by_bar.withColumn("i", F.row_number().over(w)).withColumn("x", F.flatten(F.array(*[F.lag("row", k).over(w) for k in range(1, lags + 1)])))
-    return returns.join(rows.where(F.col("i") > lags).select("bar", "x"), "bar").select(F.col("series").alias("target"), "bar", F.col("ret").alias("y"), "x")
+    """(target, bar, y, x): x has all series at lag 1, then at lag 2 and so on, series in name order.
+
+    returns must have a row for each series and bar. The lags are taken series by series.
+    """
+    before = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("ret", k).over(by("series")).alias("v")) for k in range(1, lags + 1)])
+    parts = returns.select("series", "bar", before.alias("ps")).select("series", "bar", F.explode("ps").alias("p")).select("bar", F.struct("p.lag", "series", "p.v").alias("p"))
+    rows = parts.groupBy("bar").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    return returns.join(rows, "bar").select(F.col("series").alias("target"), "bar", F.col("ret").alias("y"), "x")
 
 
 def window_stack(returns: DataFrame, target: str, history: int) -> DataFrame:
-    """(bar, y, x): the target's return and the `history` rows of all series before it, the target first."""
-    by_bar = returns.withColumn("first", F.col("series") != target).groupBy("bar").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "series", "ret"))), lambda s: s["ret"]).alias("row"))
-    w = Window.orderBy("bar")
-    rows = by_bar.withColumns({"x": F.collect_list("row").over(w.rowsBetween(-history, -1)), "y": F.element_at("row", 1)})
-    return rows.where(F.size("x") == history).select("bar", "y", "x")
+    """(bar, y, x): the target's return and the `history` rows of all series before it, the target first.
+
+    returns must have a row for each series and bar. The histories are taken series by series.
+    """
+    past = F.collect_list("ret").over(by("series").rowsBetween(-history, -1))
+    parts = returns.select("bar", F.struct((F.col("series") != target).alias("other"), "series", "ret", past.alias("past")).alias("p"))
+    rows = parts.groupBy("bar").agg(F.array_sort(F.collect_list("p")).alias("ps")).where(F.forall("ps", lambda p: F.size(p["past"]) == history))
+    x = F.transform(F.sequence(F.lit(0), F.lit(history - 1)), lambda i: F.transform("ps", lambda p: F.get(p["past"], i)))
+    return rows.select("bar", F.get("ps", F.lit(0))["ret"].alias("y"), x.alias("x"))
 
 
 def latest_active_bar(returns: DataFrame, share: float = 0.4, back: int = 5, least: float = 1e-10) -> DataFrame:

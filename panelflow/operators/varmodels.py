@@ -10,35 +10,47 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import kmeans, lasso, lasso_ic, log_gaussian, logsumexp
-from panelflow.operators.panel import lag_design
+from panelflow.operators.discovery import on_targets
 
 
 # -- lasso --------------------------------------------------------------------------------------
 
 
 def lasso_var(returns: DataFrame, lags: int = 5, alpha: float | None = None, criterion: str = "bic") -> DataFrame:
-    """(target, source, lag, coef, alpha) of every target's regression on all series' lags.
+    """(target, source, lag, coef, alpha, intercept) of every target's regression on all series' lags, as they are scaled.
 
-    alpha None: chosen along a path by the criterion. returns must have a row for each series and bar.
+    alpha None: chosen along the path by the criterion. returns must have a row for each series and bar.
     """
-    names = F.array_sort(F.collect_set("series"))
-    rows = lag_design(returns, lags).crossJoin(F.broadcast(returns.agg(names.alias("names"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        series = list(pdf["names"].iloc[0])
-        x, y = np.stack(pdf["x"]), pdf["y"].to_numpy(float)
-        centre, scale = x.mean(0), np.maximum(x.std(0), 1e-12)
-        x, y = (x - centre) / scale, y - y.mean()
-        b, used = (lasso(x, y, alpha), alpha) if alpha is not None else lasso_ic(x, y, criterion)
-        b = b / scale
-        return pd.DataFrame({"target": pdf["target"].iloc[0], "source": series * lags, "lag": np.repeat(np.arange(1, lags + 1), len(series)), "coef": b, "alpha": used})
+    def fit(names: list[str], panel: np.ndarray, at: int) -> pd.DataFrame:
+        x, y = np.column_stack([panel[lags - k : len(panel) - k] for k in range(1, lags + 1)]), panel[lags:, at]
+        centre, level = x.mean(0), y.mean()
+        b, used = (lasso(x - centre, y - level, alpha), alpha) if alpha is not None else lasso_ic(x - centre, y - level, criterion)
+        return pd.DataFrame({"target": names[at], "source": names * lags, "lag": np.repeat(np.arange(1, lags + 1), len(names)), "coef": b, "alpha": used, "intercept": level - centre @ b})
+
+    return on_targets(returns, fit, "target string, source string, lag int, coef double, alpha double, intercept double")
 
-    return rows.groupBy("target").applyInPandas(run, "target string, source string, lag int, coef double, alpha double")
+
+def lasso_forecast(returns: DataFrame, coefficients: DataFrame, steps: int = 1) -> DataFrame:
+    """(series, step, value): iterated forecasts from lasso_var()'s rows, behind each series' last bars.
+
+    A step is one join of the coefficients with the last values, so the panel is never gathered.
+    """
+    lags = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("bar")))
+    deepest = coefficients.agg(F.max("lag").alias("deepest"))
+    past = returns.select("series", F.col("ret").alias("value"), lags.alias("lag")).crossJoin(F.broadcast(deepest)).where("lag <= deepest").drop("deepest")
+    out = None
+    for step in range(1, steps + 1):
+        terms = coefficients.join(past.withColumnRenamed("series", "source"), ["source", "lag"])
+        new = terms.groupBy(F.col("target").alias("series")).agg((F.sum(F.col("coef") * F.col("value")) + F.first("intercept")).alias("value"))
+        rows = new.select("series", F.lit(step).alias("step"), "value")
+        out = rows if out is None else out.union(rows)
+        past = past.withColumn("lag", F.col("lag") + 1).union(new.select("series", "value", F.lit(1).alias("lag")))
+    return out
 
 
 def lead_matrix(coefficients: DataFrame) -> DataFrame:
@@ -255,3 +267,49 @@ def hmm_regimes(features: DataFrame, key: str = "panel", method: str = "hmm", re
 
     kind = features.schema[key].dataType.simpleString()
     return features.groupBy(key).applyInPandas(run, f"{key} {kind}, bar long, regime int, prob array<double>")
+
+
+def predicted_regimes(features: DataFrame, new: DataFrame, key: str = "panel", method: str = "hmm", regimes: int = 2, seed: int = 42) -> DataFrame:
+    """(key, bar, regime, prob) of new rows (key, bar, feature, value) under the model of each panel's own rows.
+
+    prob: as the new rows, one after the other, show it; panels without rows to learn from give none.
+    """
+    if method not in ("hmm", "kmeans"):
+        raise ValueError(f"no regime method {method}")
+
+    def wide(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.pivot(index="bar", columns="feature", values="value").sort_index().dropna()
+
+    def run(old: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(later):
+            return pd.DataFrame(columns=[key, "bar", "regime", "prob"])
+        known = wide(old)
+        rows = wide(later)[list(known.columns)]
+        x, z = known.to_numpy(float), rows.to_numpy(float)
+        if method == "hmm":
+            model = GaussianHmm(regimes, seed=seed).fit(x)
+            labels, prob = model.viterbi(z), list(model.posterior(z))
+        else:
+            own = kmeans(x, regimes, seed)
+            centres = np.array([x[own == r].mean(0) for r in range(regimes)])
+            labels = ((z[:, None] - centres) ** 2).sum(2).argmin(1)
+            prob = list(np.eye(regimes)[labels])
+        return pd.DataFrame({key: later[key].iloc[0], "bar": rows.index, "regime": labels, "prob": prob})
+
+    kind = features.schema[key].dataType.simpleString()
+    later = new.toDF(*new.columns)
+    return features.groupBy(key).cogroup(later.groupBy(key)).applyInPandas(run, f"{key} {kind}, bar long, regime int, prob array<double>")
+
+
+def switching_forecast(returns: DataFrame, steps: int = 1, key: str = "panel", **options) -> DataFrame:
+    """(key, series, step, value, regime): iterated forecasts behind each panel's last bar, and the regime it ends in."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = _panel(pdf)
+        x = wide.to_numpy(float)
+        model = SwitchingVar(**options).fit(x)
+        value = model.predict(x, steps)
+        return pd.DataFrame({key: pdf[key].iloc[0], "series": np.tile(wide.columns, steps), "step": np.repeat(np.arange(1, steps + 1), x.shape[1]), "value": value.ravel(), "regime": model.current()})
+
+    kind = returns.schema[key].dataType.simpleString()
+    return returns.groupBy(key).applyInPandas(run, f"{key} {kind}, series string, step int, value double, regime int")

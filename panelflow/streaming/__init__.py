@@ -1 +1,6 @@
-"""Structured Streaming: bars of events, and breaks in streams of edges."""
+"""Event-time bars and the break monitor on streams."""
+
+from panelflow.streaming.bars import session_bars, windowed_bars
+from panelflow.streaming.monitor import break_events, regime_events
+
+__all__ = ["break_events", "regime_events", "session_bars", "windowed_bars"]

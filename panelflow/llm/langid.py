@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,9 +37,10 @@ from pyspark.sql import types as T
 from panelflow.llm.bpe import slices
 from panelflow.llm.common import bounded_sample
 
-# what \w takes besides letters, decimal digits and the underscore
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] != "L" and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: What WORD takes besides letters.
+NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+NUMERAL_SIGNS = frozenset(map(chr, NUMERALS))
 #: Runs of words that the fit takes of a document at most, and their least and largest numbers of words.
 RUNS, RUN_WORDS = 24, (8, 64)
 BITS = 17
@@ -51,6 +51,13 @@ SLICE = 2 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    text = text.lower()
+    plain = text.isascii() or NUMERAL_SIGNS.isdisjoint(text)
+    return WORD.findall(text if plain else text.translate(NUMERALS))
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature, word) pairs: hashed n-grams of one to four letters, boundaries included, and the word."""
     text = "".join(f"^{w}$" for w in words)
@@ -146,7 +153,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, out = [], []
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = WORD.findall(text.as_py().lower())
+            words = words_of(text.as_py())
             rng, ends = np.random.default_rng(len(words)), [0]
             while ends[-1] < len(words):
                 ends.append(ends[-1] + int(rng.integers(*RUN_WORDS)))
@@ -225,7 +232,7 @@ class Tagger:
 
     def tag(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, all words' distributions, and all words' numbers of letters."""
-        words = [WORD.findall(x.lower()) for x in texts]
+        words = [words_of(x) for x in texts]
         if len(self.code) > KEEP_WORDS:
             self.clear()
         new = list(set().union(*words).difference(self.code))

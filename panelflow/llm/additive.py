@@ -45,19 +45,22 @@ class Codebooks:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The code of each row of x: of the sums of the codewords so far, the `beam` nearest go on from stage to stage."""
         n, dim = x.shape
+        every = np.arange(n)
         codes, rest, error = np.zeros((n, 1, 0), np.uint8), x[:, None, :].astype(np.float32), np.zeros((n, 1), np.float32)
         for words in self.words.astype(np.float32):
             # of |rest - word|^2 what the word changes
             total = (rest.reshape(-1, dim) @ (-2 * words.T) + (words**2).sum(1)).reshape(n, -1, len(words))
             total += error[:, :, None]
-            flat = total.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            pick = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-            error = np.take_along_axis(flat, pick, 1)
+            flat, picks, least = total.reshape(n, -1), [], []
+            for _ in range(min(beam, flat.shape[1])):  # a few smallest: faster one by one than by partition
+                picks.append(flat.argmin(1))
+                least.append(flat[every, picks[-1]])
+                flat[every, picks[-1]] = np.inf
+            pick, error = np.stack(picks, 1), np.stack(least, 1)
             came, word = np.divmod(pick, len(words))
             rest = np.take_along_axis(rest, came[:, :, None], 1) - words[word]
             codes = np.concatenate([np.take_along_axis(codes, came[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
-        return codes[np.arange(n), error.argmin(1)]
+        return codes[every, error.argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
@@ -65,16 +68,21 @@ class Codebooks:
 
 def fit(x: np.ndarray, stages: int = STAGES, words: int = WORDS, turns: int = 6, seed: int = 0) -> Codebooks:
     """Codebooks of the sample's residuals, by Lloyd's steps."""
-    rng, rest, books = np.random.default_rng(seed), x.copy(), []
+    rng, rest, books = np.random.default_rng(seed), x.astype(np.float32), []
+
+    def nearest_word(book: np.ndarray) -> np.ndarray:
+        return ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
+
     for _ in range(stages):
         book = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
         for _ in range(turns):
-            near = ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
-            count = np.bincount(near, minlength=words)
-            sums = np.stack([np.bincount(near, weights=rest[:, d], minlength=words) for d in range(x.shape[1])], 1)
-            book = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], rest[rng.integers(len(rest), size=words)])
-        rest -= book[((book**2).sum(1) - 2 * rest @ book.T).argmin(1)]
-        books.append(book)
+            near = nearest_word(book)
+            order = np.argsort(near, kind="stable")
+            used, start = np.unique(near[order], return_index=True)
+            book = rest[rng.integers(len(rest), size=words)]  # for words that no row is nearest to
+            book[used] = np.add.reduceat(rest[order], start) / np.diff(start, append=len(rest))[:, None]
+        rest = rest - book[nearest_word(book)]
+        books.append(book.astype(np.float64))
     return Codebooks(np.array(books))
 
 

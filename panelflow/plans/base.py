@@ -41,7 +41,8 @@ def with_(*parts: str, last: str) -> str:
 
 def levels(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
     """A panel's levels, kept once computed: the tables are scanned once, however often a query needs
-    the panel, which is small whatever the tables' size (a row for each series and time).
+    the panel, which is small whatever the tables' size (a row for each series and time). Spark knows
+    equal plans again, so a session holds one copy of a folder's panel, however many queries run.
     """
     return LEVELS[name](spark, sf_dir).cache()
 

@@ -44,6 +44,19 @@ def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_a_broken_operator_is_not_taken_for_a_missing_one(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
+    shutil.copytree(f"{root}/panelflow", tmp_path / "panelflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode and "a_library_that_is_not_there" in done.stderr
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     import shutil
     import subprocess

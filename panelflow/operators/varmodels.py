@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import kmeans, lasso, lasso_ic, log_gaussian, logsumexp
 from panelflow.operators.discovery import on_targets
+from panelflow.sources import store
 
 
 # -- lasso --------------------------------------------------------------------------------------
@@ -38,15 +39,23 @@ def lasso_var(returns: DataFrame, lags: int = 5, alpha: float | None = None, cri
 def lasso_forecast(returns: DataFrame, coefficients: DataFrame, steps: int = 1) -> DataFrame:
     """(series, step, value): iterated forecasts from lasso_var()'s rows, behind each series' last bars.
 
-    A step is one join of the coefficients with the last values, so the panel is never gathered.
+    A step is one join of the coefficients with the last values, so the panel is never gathered. The
+    coefficients and each step's values, a row for each series, are written and read back.
     """
+    folder = store.scratch(returns.sparkSession)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+    coefficients = kept(coefficients, "coefficients")
     lags = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("bar")))
     deepest = coefficients.agg(F.max("lag").alias("deepest"))
     past = returns.select("series", F.col("ret").alias("value"), lags.alias("lag")).crossJoin(F.broadcast(deepest)).where("lag <= deepest").drop("deepest")
-    out = None
+    past, out = kept(past, "past"), None
     for step in range(1, steps + 1):
         terms = coefficients.join(past.withColumnRenamed("series", "source"), ["source", "lag"])
-        new = terms.groupBy(F.col("target").alias("series")).agg((F.sum(F.col("coef") * F.col("value")) + F.first("intercept")).alias("value"))
+        new = kept(terms.groupBy(F.col("target").alias("series")).agg((F.sum(F.col("coef") * F.col("value")) + F.first("intercept")).alias("value")), f"step{step}")
         rows = new.select("series", F.lit(step).alias("step"), "value")
         out = rows if out is None else out.union(rows)
         past = past.withColumn("lag", F.col("lag") + 1).union(new.select("series", "value", F.lit(1).alias("lag")))

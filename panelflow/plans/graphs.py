@@ -202,6 +202,12 @@ def lasso_var(spark, sf_dir):
     return varmodels.lasso_var(full_panel(spark, sf_dir), lags=3)
 
 
+@query()
+def lasso_ahead(spark, sf_dir):
+    rows = full_panel(spark, sf_dir)
+    return varmodels.lasso_forecast(rows, varmodels.lasso_var(rows, lags=3), 5)
+
+
 @query()
 def lasso_lead_matrix(spark, sf_dir):
     return varmodels.lead_matrix(varmodels.lasso_var(full_panel(spark, sf_dir), lags=3))

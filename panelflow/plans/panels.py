@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelflow.functions.columns import by, full, ratio, rolling
 from panelflow.operators import panel, robustness
 from panelflow.plans.base import BARS, full_panel, levels, panel_sql, query, r, returns, sql_r, with_
-from panelflow.sources import universe
+from panelflow.sources import adapters, store, universe
 from panelflow.sources.adapters import LEVELS_SQL
 
 W = "weekly_lineitem"
@@ -27,6 +27,39 @@ def level_scan(spark, sf_dir):
     return rows.groupBy("cls", "series").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_ts"), r(F.avg("level"), 4).alias("mean_level"))
 
 
+@query(with_(LEVELS_SQL[W], last=f"SELECT cls, series, ts, {sql_r('level', 4)} AS level FROM levels"))
+def cached_levels(spark, sf_dir):
+    """Levels fetched once, kept by class, and read back from the cache by a second fetch and a scan."""
+    folder = store.scratch(spark)
+    names = [r_[0] for r_ in adapters.LEVELS[W](spark, sf_dir).select("series").distinct().orderBy("series").collect()]  # the catalog's series
+    catalog = spark.createDataFrame([(n, "lineitem", None, "table", n, "log_return", "weekly") for n in names], universe.SCHEMA)
+    source = {"table": lambda s, key: adapters.LEVELS[W](s, sf_dir).where(F.col("series") == key)}
+    store.fetch(spark, catalog, folder, source)
+    store.fetch(spark, catalog, folder, {})  # nothing is left to fetch
+    return store.cached_scan(spark, folder).select("cls", "series", "ts", r("level", 4).alias("level"))
+
+
+@query("SELECT unnest([1, 2, 5])::INT AS lag")
+def artefact_lags(spark, sf_dir):
+    """The lags whose matrices a folder holds, as saved."""
+    folder = f"{store.scratch(spark)}/te_matrix"
+    made = store.demo_matrix(spark)
+    store.save_matrices(made.withColumn("lag", F.explode(F.array(F.lit(1), F.lit(5), F.lit(2)))), folder)
+    return store.matrix_lags(spark, folder)
+
+
+@query("SELECT 'absent' AS kind, 0::BIGINT AS n UNION ALL SELECT 'kept', 56::BIGINT")
+def optional_scan(spark, sf_dir):
+    """An artefact that isn't there has no rows; one that is has its own."""
+    folder = store.scratch(spark)
+    ddl = "source string, target string, lag int, te double"
+    absent = store.optional(spark, f"{folder}/absent", ddl)
+    store.demo_matrix(spark).write.mode("overwrite").parquet(f"{folder}/kept")
+    kept = store.optional(spark, f"{folder}/kept", ddl)
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count(absent, "absent").union(count(kept, "kept"))
+
+
 _BUSINESS = """days AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM levels),
 cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS bar FROM days WHERE isodow(day) < 6)"""
 

@@ -450,6 +450,21 @@ def hmm_regimes(spark, sf_dir):
     return varmodels.hmm_regimes(_features(spark, sf_dir))
 
 
+@query()
+def hmm_new_rows(spark, sf_dir):
+    """Regimes of the last 40 bars under the model of the bars before them."""
+    rows = _features(spark, sf_dir)
+    last = rows.agg(F.max("bar").alias("last"))
+    new = F.col("bar") > F.col("last") - 40
+    both = rows.crossJoin(F.broadcast(last))
+    return varmodels.predicted_regimes(both.where(~new).drop("last"), both.where(new).drop("last"))
+
+
+@query()
+def msvar_ahead(spark, sf_dir):
+    return varmodels.switching_forecast(full_panel(spark, sf_dir).withColumn("panel", F.lit("all")), 5, max_iter=20)
+
+
 @query()
 def msvar_probs(spark, sf_dir):
     rows = full_panel(spark, sf_dir).withColumn("panel", F.lit("all"))

@@ -27,7 +27,7 @@ def level_scan(spark, sf_dir):
     return rows.groupBy("cls", "series").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_ts"), r(F.avg("level"), 4).alias("mean_level"))
 
 
-@query(with_(LEVELS_SQL[W], last=f"SELECT cls, series, ts, {sql_r('level', 4)} AS level FROM levels"))
+@query(with_(LEVELS_SQL[W], last=f"SELECT cls, series, ts, {sql_r('level', 7)} AS level FROM levels"))
 def cached_levels(spark, sf_dir):
     """Levels fetched once, kept by class, and read back from the cache by a second fetch and a scan."""
     folder = store.scratch(spark)
@@ -36,7 +36,7 @@ def cached_levels(spark, sf_dir):
     source = {"table": lambda s, key: adapters.LEVELS[W](s, sf_dir).where(F.col("series") == key)}
     store.fetch(spark, catalog, folder, source)
     store.fetch(spark, catalog, folder, {})  # nothing is left to fetch
-    return store.cached_scan(spark, folder).select("cls", "series", "ts", r("level", 4).alias("level"))
+    return store.cached_scan(spark, folder).select("cls", "series", "ts", r("level", 7).alias("level"))
 
 
 @query("SELECT unnest([1, 2, 5])::INT AS lag")

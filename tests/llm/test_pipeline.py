@@ -23,7 +23,7 @@ def test_run_agrees_with_plain_steps(spark):
     model = toxicity.fit(docs, read_table(spark, SF, "labels").where(crc_mod("doc_id", 3) != 1))
     toxic = {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] >= 0.7}
     langs = langid.predict(docs, langid.fit(docs.where(crc_mod("doc_id", 4) != 2))).collect()
-    unknown = {r["doc_id"] for r in langs if r["lang_pred"] == "und" or r["score"] < 0.35}
+    unknown = {r["doc_id"] for r in langs if r["lang_pred"] == "und"}
     left = docs.where(~docs["doc_id"].isin([*toxic, *unknown]))
     component = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(left).collect()}
     first = left.where(left["doc_id"].isin([i for i, c in component.items() if i == c]))

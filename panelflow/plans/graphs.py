@@ -72,22 +72,22 @@ def strength_totals(spark, sf_dir):
     return pairs.strength(edges(spark, sf_dir)).select("series", r("strength").alias("strength"))
 
 
-_KEPT = "kept AS (SELECT * FROM edges WHERE te >= 0.05 ORDER BY te DESC, source, target LIMIT 12), kends AS (SELECT source AS series, 1 AS o, 0 AS i FROM kept UNION ALL SELECT target, 0, 1 FROM kept), deg AS (SELECT series, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM kends GROUP BY series)"
+_KEPT = "kept AS (SELECT * FROM edges WHERE te >= 0.005 ORDER BY te DESC, source, target LIMIT 12), kends AS (SELECT source AS series, 1 AS o, 0 AS i FROM kept UNION ALL SELECT target, 0, 1 FROM kept), deg AS (SELECT series, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM kends GROUP BY series)"
 
 
 @query(with_(*GRAPH, _KEPT, last="SELECT series, out_degree, in_degree, out_degree + in_degree AS degree, 12 + 2 * (out_degree + in_degree) AS size FROM deg"))
 def degree_stats(spark, sf_dir):
-    return pairs.degrees(pairs.network(edges(spark, sf_dir), 0.05, 12))
+    return pairs.degrees(pairs.network(edges(spark, sf_dir), 0.005, 12))
 
 
-@query(with_(*GRAPH, last="SELECT DISTINCT series FROM panel WHERE series NOT IN (SELECT source FROM edges WHERE te >= 0.12 UNION SELECT target FROM edges WHERE te >= 0.12)"))
+@query(with_(*GRAPH, last="SELECT DISTINCT series FROM panel WHERE series NOT IN (SELECT source FROM edges WHERE te >= 0.02 UNION SELECT target FROM edges WHERE te >= 0.02)"))
 def isolated_nodes(spark, sf_dir):
-    return pairs.isolates(full_panel(spark, sf_dir), pairs.network(edges(spark, sf_dir), 0.12, 0))
+    return pairs.isolates(full_panel(spark, sf_dir), pairs.network(edges(spark, sf_dir), 0.02, 0))
 
 
 @query(with_(*GRAPH, _KEPT, last="SELECT (SELECT series FROM deg ORDER BY out_degree DESC, series LIMIT 1) AS source_hub, (SELECT series FROM deg ORDER BY in_degree DESC, series LIMIT 1) AS sink_hub"))
 def hub_nodes(spark, sf_dir):
-    return pairs.hubs(pairs.network(edges(spark, sf_dir), 0.05, 12))
+    return pairs.hubs(pairs.network(edges(spark, sf_dir), 0.005, 12))
 
 
 NAMES = ["AF", "AO", "NF", "NO", "RF", "RO"]

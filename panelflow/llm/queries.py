@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import additive, balltree, bpe, langid, licenses, mixing, simhash, token_files, toxicity, warc
+from panelflow.llm import additive, balltree, bpe, langid, licenses, mixing, prefix_trie, simhash, token_files, toxicity, warc
 from panelflow.llm.common import crc_mod, read_table
 
 
@@ -61,6 +61,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.grafted_trie(read_table(spark, sf_dir, "conversations"), stems=20, most=3)
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 r AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -108,11 +112,42 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM r
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT c, key, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS k FROM t),
+bits AS (
+  SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS r
+  FROM (SELECT DISTINCT c FROM o)
+), plan AS (SELECT c, xor(r, 4294967295::BIGINT) % 4 AS h, c - c % 20 AS stem FROM bits),
+got AS (SELECT plan.c, h, stem, count(o.k) AS n FROM plan LEFT JOIN o ON o.c = stem AND o.k <= h GROUP BY ALL),
+rebuilt AS (
+  SELECT got.c, o.k AS pos, key, words FROM got JOIN o ON o.c = stem AND o.k <= h
+  UNION ALL SELECT got.c, o.k - h + n, key, words FROM got JOIN o ON o.c = got.c AND o.k > h
+), whole AS (
+  SELECT got.c, coalesce(list(key ORDER BY pos) FILTER (WHERE key IS NOT NULL), []) AS keys, coalesce(list(words ORDER BY pos) FILTER (WHERE key IS NOT NULL), []) AS words
+  FROM got LEFT JOIN rebuilt ON rebuilt.c = got.c GROUP BY got.c
+), walk AS (SELECT c, keys, words, unnest(range(0, len(keys) + 1)) AS d FROM whole),
+node AS (
+  SELECT d, keys[1:d] AS prefix, min(c) AS id, count(*) AS n, coalesce(any_value(words[d]), 0) AS w,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(keys) = d), '') AS ends
+  FROM walk GROUP BY d, keys[1:d]
+), kids AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.prefix = node.prefix),
+up AS (SELECT *, unnest(range(0, d + 1)) AS top FROM full_),
+sums AS (SELECT top AS d, prefix[1:top] AS prefix, count(*) FILTER (WHERE children = 0) AS leaves, sum((n - 1) * w) AS saved FROM up GROUP BY ALL)
+SELECT f.id AS conv_id, f.d AS depth, p.id AS parent_conv_id, f.n AS n_convs, f.children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sums ON sums.d = f.d AND sums.prefix = f.prefix LEFT JOIN node p ON p.d = f.d - 1 AND p.prefix = f.prefix[1:f.d - 1]
+"""
+
 
 def queries() -> dict:
-    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash)
+    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash, op11_prefix_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL}

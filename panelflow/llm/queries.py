@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import additive, balltree, bpe, langid, licenses, mixing, prefix_trie, simhash, token_files, toxicity, warc
+from panelflow.llm import additive, balltree, bpe, elkan, langid, licenses, mixing, prefix_trie, simhash, token_files, toxicity, warc
 from panelflow.llm.common import crc_mod, read_table
 
 
@@ -65,6 +65,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.grafted_trie(read_table(spark, sf_dir, "conversations"), stems=20, most=3)
 
 
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.clusters(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dim=64, seed="3:")
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 r AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -144,10 +148,29 @@ FROM full_ f JOIN sums ON sums.d = f.d AND sums.prefix = f.prefix LEFT JOIN node
 """
 
 
+def clusters_sql(k: int = 8, rounds: int = 10, scale: int = 1024, dim: int = 64, seed: str = "3:") -> str:
+    """Rounds of assignment and means, one after the other."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, arg_min(k, d * {k} + k) AS k, min(d) AS d FROM (
+  SELECT rid, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i}) GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+  SELECT k, list(mean ORDER BY p) AS c FROM (
+    SELECT k, p, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean FROM (SELECT a.k, unnest(v.x) AS x, unnest(range({dim})) AS p FROM a{i} a JOIN v ON v.rid = a.rid) GROUP BY k, p) GROUP BY k) m ON m.k = c{i}.k)""")
+    last = f"""SELECT vec_id, a.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.rid = a.rid JOIN c{rounds} c ON c.k = a.k"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 def queries() -> dict:
-    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash, op11_prefix_trie)
+    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash, op11_prefix_trie, op12_elkan)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op4_warc": OP4_SQL, "op6_license": licenses.scan_sql(), "op7_balltree": OP7_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_elkan": clusters_sql()}

@@ -25,10 +25,10 @@ BLOCK_ROWS, LEAST_ROWS = 4096, 64
 FOUND = "q long, query_id long, row long, vec_id long, score "
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
+def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool, null_ids: bool = False) -> DataFrame:
     """(id, x, dim) of the rows whose vector isn't null and holds no null or non-finite component.
 
-    zero: vectors of zeros only are usable. Rows without an id are not. Vectors of another length
+    zero: vectors of zeros only are usable. null_ids: so are rows without an id. Vectors of another length
     than most would have no inner product; each length is searched by itself. Components of type
     float stay so (they are exact in double precision, in half the room).
     """
@@ -37,7 +37,8 @@ def usable(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     if not zero:
         fine = fine & F.exists(x, lambda v: v != 0)
-    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.size(x).alias("dim"))
+    there = F.col(vec_col).isNotNull() & (F.lit(null_ids) | F.col(id_col).isNotNull())
+    return df.where(there).where(fine).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.size(x).alias("dim"))
 
 
 def numbered(vectors: DataFrame, folder: str) -> DataFrame:
@@ -46,13 +47,16 @@ def numbered(vectors: DataFrame, folder: str) -> DataFrame:
 
 
 def thinned(vectors: DataFrame, k: int) -> DataFrame:
-    """The candidates: of equal vectors the k + 1 smallest ids only.
+    """The candidates: of equal vectors the k + 1 smallest ids only, and of each of these k rows.
 
-    No query can have more of them among its k best (one may be its own), so nothing is lost. Spark
-    applies the limit before it shuffles, so a vector that very many rows share is no burden.
+    A query leaves out all rows of its own id, so k rows of the k smallest other ids are enough, and
+    nothing is lost. The rows of one id and vector are counted first: Spark applies that limit before
+    it shuffles, as it does the one on ids, so a vector that very many rows share is no burden.
     """
-    same = Window.partitionBy("x").orderBy("id", "row")
-    return vectors.withColumn("__copy", F.row_number().over(same)).where(F.col("__copy") <= k + 1).drop("__copy")
+    same = Window.partitionBy("x", "id").orderBy("row")
+    few = vectors.withColumn("__copy", F.row_number().over(same)).where(F.col("__copy") <= k)
+    ids = Window.partitionBy("x").orderBy("id")
+    return few.withColumn("__id", F.dense_rank().over(ids)).where(F.col("__id") <= k + 1).drop("__copy", "__id")
 
 
 def shard_of(n: int):

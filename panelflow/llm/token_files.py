@@ -79,9 +79,14 @@ class Encoder:
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, new: list[bytes]) -> None:
-        """Words with one mark behind them are put together of the word's ids and the mark's."""
+        """Words with one mark behind them are put together of the word's ids and the mark's.
+
+        Not so where the word isn't Latin letters once normalised: it may then end in a mark itself
+        ("\u0130" becomes "i" and U+0307), which the pattern takes together with the one behind it.
+        """
+        plain = lambda word: word.isalpha() and (word.isascii() or WORD(self.normal(word)))
         texts = [(p.lower() if p.isascii() and b"<|" not in p else p).decode() for p in new]
-        split = [(t[:-1], t[-1]) if t[-1] in ".,;:!?" and t[:-1].isalpha() else (t, "") for t in texts]
+        split = [(t[:-1], t[-1]) if t[-1] in ".,;:!?" and plain(t[:-1]) else (t, "") for t in texts]
         parts = list(dict.fromkeys(x for pair in split for x in pair if x))
         found = [self.ids(x) for x in parts]
         counts = np.array([len(x) for x in found], np.int64)

@@ -80,6 +80,21 @@ def test_ids_are_those_of_the_library_as_it_is_loaded(spark, spec):
     assert library.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
 
 
+def test_random_strings_get_the_ids_of_the_library(spec):
+    """Letters whose lower case ends in a mark, before marks; scripts, symbols, blanks and special tokens mixed."""
+    import random
+
+    import public_tokenizers
+
+    library, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(8)
+    own = token_files.Encoder(spec, spell_special=False)
+    atoms = [*"abcABCiIİıßẞÀéñŉǰΐΰﬁŒæ", "İ", "TARİHİ", "Ḣ", "ẖ", "é", "\u0307", "\u0301", "\u0308", *".,;:!?'-_", "'s", "1", "42", "²", "漢", "ん", "д", "ع", "🙂", " ", " ", "\t", "\n", "\u00a0", "\u200d", "<|endoftext|>", "<|"]
+    texts = ["TARİHİ.", "CUMHURİYETİ, 1923", "İ.", "aİ!b", *("".join(rng.choice(atoms) for _ in range(rng.randint(1, 12))) for _ in range(20_000))]
+    ids, counts = own.encode(texts, 2)
+    got = [x.tolist()[:-1] for x in np.split(ids, np.cumsum(counts))[:-1]]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != library.encode(t, add_special_tokens=False).ids] == []
+
+
 def test_vocabularies_that_reach_over_blanks_are_refused(no_docs, spec):
     import public_tokenizers
 

@@ -105,3 +105,18 @@ def test_few_and_odd_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert additive.nearest(empty, F.col("id") % 20 == 0).collect() == []
     assert balltree.largest(balltree.integers(empty), F.col("id") % 20 == 0).collect() == []
+
+
+def test_rows_that_repeat_one_id_hide_no_other(spark):
+    """More equal rows of one id than a query wants, and than it may leave out."""
+    v, w = [1.0, 0.0], [0.5, 0.5]
+    rows = [(0, v)] * 25 + [(1, v)] + [(2, w)] + [(3, v)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = [(0, 1, 1, 1.0)] + [(0, n, 3, 1.0) for n in range(2, 21)]
+    got = {tuple(r) for r in additive.nearest(df, F.col("id") % 20 == 0).collect()}
+    assert got == set(want)
+    got = {tuple(r) for r in balltree.largest(balltree.integers(df), F.col("id") % 20 == 0).collect()}
+    assert got == {(q, n, i, 4096) for q, n, i, _ in want}
+    few = spark.createDataFrame(rows[:27], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in balltree.largest(balltree.integers(few), F.col("id") % 20 == 0).collect()} == {(0, 1, 1, 4096), (0, 2, 2, 2048)}
+    assert {tuple(r) for r in additive.nearest(few, F.col("id") % 20 == 0).collect()} == {(0, 1, 1, 1.0), (0, 2, 2, 0.5)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import additive, balltree, bpe, elkan, langid, licenses, mixing, prefix_trie, simhash, token_files, toxicity, warc
+from panelflow.llm import additive, balltree, bpe, elkan, langid, licenses, mixing, pii, prefix_trie, simhash, token_files, toxicity, warc
 from panelflow.llm.common import crc_mod, read_table
 
 
@@ -69,6 +69,11 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.clusters(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dim=64, seed="3:")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs), threshold=0.9)
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 r AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
@@ -168,7 +173,7 @@ FROM a{rounds} a JOIN v ON v.rid = a.rid JOIN c{rounds} c ON c.k = a.k"""
 
 
 def queries() -> dict:
-    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash, op11_prefix_trie, op12_elkan)
+    found = (op1_byte_bpe, op2_toxicity, op3_language, op4_warc, op5_additive, op6_license, op7_balltree, op8_token_files, op9_mixing, op10_simhash, op11_prefix_trie, op12_elkan, op13_pii)
     return {f.__name__: f for f in found}
 
 

@@ -31,6 +31,12 @@ def scratch(spark: SparkSession) -> str:
     return files.makeQualified(at).toString()
 
 
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows of df, cut from their lineage by a table of the folder."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -32,8 +32,10 @@ def slow_entropy(s, t, lag, k, h):
     return max(0.0, psi[k] + total / len(rows))
 
 
-def test_kernel_agrees_with_the_formula(monkeypatch):
-    monkeypatch.setattr(d, "BLOCK", 37)
+@pytest.mark.parametrize("block", [37, 512])
+def test_kernel_agrees_with_the_formula(monkeypatch, block):
+    """By the index, and by all distances at once."""
+    monkeypatch.setattr(d, "BLOCK", block)
     a, b = planted(120)
     assert d.transfer_entropy(a, b, 2, 4, 2, noise=0) == pytest.approx(slow_entropy(a, b, 2, 4, 2), abs=1e-12)
 
@@ -132,3 +134,92 @@ def test_pairs(spark):
     assert [r["source"] for r in pairs.network(edges, 0.05, 1).collect()] == ["A"]
     assert {r["series"] for r in pairs.isolates(spark.createDataFrame([("A",), ("D",)], "series string"), edges).collect()} == {"D"}
     assert pairs.tidy(pairs.wide(edges)).where("te > 0").count() == 3
+
+
+def ties(n, seed=0):
+    """A series of few values: most distances are equal."""
+    return np.random.default_rng(seed).integers(0, 4, n).astype(float)
+
+
+@pytest.mark.parametrize("make", [lambda: planted(2000), lambda: (ties(1500), ties(1500, 1)), lambda: (ties(900), planted(900)[0])])
+@pytest.mark.parametrize("lag", [1, 7])
+def test_index_agrees_with_all_distances_to_the_last_tie(monkeypatch, make, lag):
+    a, b = make()
+    want = []
+    for block in (10**9, 16):
+        monkeypatch.setattr(d, "BLOCK", block)
+        want.append((d.transfer_entropy(a, b, lag, noise=0), [d.entropy_terms(a, b, lag, noise=0, piece=i, pieces=3) for i in range(3)]))
+    (one, parts), (two, few) = want
+    assert two == pytest.approx(one, abs=1e-12) and sum(n for _, n in few) == sum(n for _, n in parts) == len(a) - 3 - lag
+    assert sum(t for t, _ in few) == pytest.approx(sum(t for t, _ in parts), abs=1e-9)
+
+
+def slow_information(x, y, k):
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    e = np.sort(np.maximum(dx, dy), 1)[:, k : k + 1] - 1e-15
+    psi = digamma_table(len(x) + 2)
+    return max(0.0, psi[k] - np.mean(psi[np.maximum((dx <= e).sum(1), 1) + 1] + psi[np.maximum((dy <= e).sum(1), 1) + 1]) + psi[len(x)])
+
+
+def test_information_agrees_with_all_distances():
+    for x, y in (planted(1200), (ties(700), ties(700, 3)), (ties(300), planted(300)[1])):
+        assert d.mutual_information(x, y, 5, noise=0) == pytest.approx(slow_information(x, y, 5), abs=1e-12)
+
+
+def test_index_looks_at_a_part_of_the_points():
+    """At 16,000 points a part of the pairs, which shrinks as points are added."""
+    shares = []
+    for n in (4_000, 16_000):
+        a, b = planted(n)
+        future, own, other = d.embed(a, b, 1, 3)
+        cells = d.Cells(own)
+        some = range(0, len(cells), 16)
+        looked = sum(x.size for _, _, x, _ in cells.searched(np.column_stack([future, other]), 5, some))
+        shares.append(looked / (sum(len(cells.rows[c]) for c in some) * len(own)))
+    assert shares[1] < 0.3 and shares[1] < 0.7 * shares[0]
+
+
+def test_a_long_pair_is_dealt_to_pieces(spark, monkeypatch):
+    a, b = planted(700)
+    panel = panel_of(spark, A=a, B=b)
+    monkeypatch.setattr(d, "PIECE_POINTS", 100)
+    assert d.pieces_for(panel) == 7
+    rows = {(r["source"], r["lag"]): r["te"] for r in d.entropy_matrix(panel, [1, 2], noise=0.0).collect()}
+    assert len(rows) == 4 and rows["A", 2] == pytest.approx(d.transfer_entropy(a, b, 2, noise=0), abs=1e-12)
+    mi = {r["source"]: r["mi"] for r in d.information_matrix(panel, [1], noise=0.0).collect()}
+    assert mi["A"] == pytest.approx(slow_information(a[:-1], b[1:], 5), abs=1e-12)
+
+
+def test_draws_are_rows_equal_to_a_serial_run(spark, monkeypatch):
+    monkeypatch.setattr(d, "PIECE_DRAWS", 4)
+    a, b = planted(150)
+    panel, names = panel_of(spark, A=a, B=b), ("A", "B")
+    for method in ("shift", "bootstrap", "shuffle", "phase"):
+        raw, want = d.drawn_entropies(a, b, method, 1, 10, names=names)
+        rows = d.draws(panel, method, [1], 10).where("source = 'A'").collect()
+        assert {r["draw"]: r["te"] for r in rows} == {-1: raw, **dict(enumerate(want))}
+    later = d.draws(panel, "shuffle", [1], 5, first=6).where("source = 'A' and draw >= 0").collect()
+    assert sorted(r["draw"] for r in later) == [6, 7, 8, 9, 10]
+    got = d.significance(panel, "bootstrap", 1, 10).where("source = 'A'").first().asDict()
+    want = d.bootstrap_significance(a, b, count=10, names=names)
+    assert got.pop("draws") == 10 and all(got[k] == pytest.approx(v) for k, v in want.items())
+    lags = d.variable_lags(panel, [1, 3], surrogates=6).where("source = 'A'").first()
+    want = d.best_lag(a, b, [1, 3], surrogates=6, names=names)
+    assert all(lags[k] == pytest.approx(v) for k, v in want.items())
+    with pytest.raises(ValueError, match="method"):
+        d.significance(panel, "other")
+
+
+def test_sequential_draws_stop_where_nothing_is_to_be_found(spark, monkeypatch):
+    monkeypatch.setattr(d, "PIECE_DRAWS", 5)
+    a, b = planted(150, strength=0.9)
+    panel = panel_of(spark, A=a, B=b, C=np.random.default_rng(9).normal(size=150))
+    whole = {(r["source"], r["target"]): r for r in d.significance(panel, "shuffle", 1, 40).collect()}
+    few = {(r["source"], r["target"]): r for r in d.significance(panel, "shuffle", 1, 40, stop=4).collect()}
+    assert few["A", "B"]["draws"] == 40 and few["A", "B"]["p_value"] == whole["A", "B"]["p_value"] == 0
+    serial = {pair: d.drawn_entropies(*(dict(A=a, B=b, C=np.random.default_rng(9).normal(size=150))[x] for x in pair), "shuffle", 1, 40, names=pair) for pair in few}
+    for pair, (raw, found) in serial.items():
+        reached = np.cumsum(found >= raw)
+        used = int((reached < 4).sum()) + 1 if reached[-1] >= 4 else 40
+        assert few[pair]["draws"] == used and few[pair]["p_value"] == pytest.approx(reached[used - 1] / used)
+    assert min(r["draws"] for r in few.values()) < 40

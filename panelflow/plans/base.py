@@ -98,6 +98,30 @@ def entropy_sql(lags: list[int], source: str = "panel") -> list[str]:
     ]
 
 
+def draws_sql(lags: list[int], count: int, source: str = "panel", targets: list[str] | None = None) -> list[str]:
+    """te(source, target, lag, draw, te) of each pair (draw -1) and of its circularly shifted sources; the shifts are inline."""
+    near = lambda s: "greatest(" + ", ".join(f"abs(a.{s}{j} - b.{s}{j})" for j in range(H)) + ")"
+    key, pair = "source, target, lag, draw", lambda a, b: f"{a}.source = {b}.source AND {a}.target = {b}.target"
+    same = lambda a, b: f"{pair(a, b)} AND {a}.lag = {b}.lag AND {a}.draw = {b}.draw"
+    only = f" AND b.series IN ({', '.join(repr(t) for t in targets)})" if targets else ""
+    past = ", ".join(f"lag(turned.s, {j}) OVER w AS s{j}, lag(pr.t, {j}) OVER w AS t{j}" for j in range(H))
+    return [
+        f"pr AS MATERIALIZED (SELECT a.series AS source, b.series AS target, row_number() OVER (PARTITION BY a.series, b.series ORDER BY a.bar) - 1 AS i, a.ret AS s, b.ret AS t FROM {source} a JOIN {source} b ON a.bar = b.bar AND a.series <> b.series{only})",
+        "size AS (SELECT source, target, count(*) AS n FROM pr GROUP BY source, target)",
+        f"wanted AS (SELECT *, greatest({2 * H + 1} + lag, 10) AS least FROM size CROSS JOIN (VALUES {', '.join(f'({x})' for x in lags)}) AS l(lag) CROSS JOIN (SELECT unnest(range(-1, {count})) AS draw))",
+        "sh AS MATERIALIZED (SELECT source, target, lag, draw, n, CASE WHEN draw < 0 THEN 0 ELSE least + ('0x' || md5('0:' || source || '>' || target || ':' || draw)[:12])::BIGINT % (greatest(least + 1, n - least) - least) END AS shift FROM wanted)",
+        f"turned AS (SELECT sh.source, sh.target, lag, draw, (pr.i + shift) % n AS i, pr.s FROM sh JOIN pr ON {pair('pr', 'sh')})",
+        f"past AS (SELECT turned.source, turned.target, lag, draw, turned.i, {past} FROM turned JOIN pr ON {pair('pr', 'turned')} AND pr.i = turned.i WINDOW w AS (PARTITION BY turned.source, turned.target, lag, draw ORDER BY turned.i))",
+        f"em AS MATERIALIZED (SELECT past.*, f.t AS f FROM past JOIN pr f ON {pair('f', 'past')} AND f.i = past.i + past.lag WHERE past.i >= {H})",
+        f"d AS (SELECT a.source, a.target, a.lag, a.draw, a.i, {near('t')} AS own, abs(a.f - b.f) AS fut, {near('s')} AS oth FROM em a JOIN em b ON {same('a', 'b')})",
+        f"eps AS MATERIALIZED (SELECT {key}, i, min(greatest(own, fut, oth), {K + 1})[{K + 1}] - 1e-15 AS e FROM d GROUP BY {key}, i)",
+        f"c AS (SELECT d.source, d.target, d.lag, d.draw, d.i, greatest(count(*) FILTER (WHERE own <= e), 1) AS n_own, greatest(count(*) FILTER (WHERE greatest(own, fut) <= e), 1) AS n_fut, greatest(count(*) FILTER (WHERE greatest(own, oth) <= e), 1) AS n_oth FROM d JOIN eps ON {same('d', 'eps')} AND d.i = eps.i GROUP BY d.source, d.target, d.lag, d.draw, d.i)",
+        PSI,
+        f"te AS MATERIALIZED (SELECT c.source, c.target, lag, draw, CASE WHEN count(*) < 50 OR any_value(size.n) < 50 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) + avg(p1.v) - avg(p2.v) - avg(p3.v)) END AS te FROM c JOIN size ON {pair('c', 'size')} JOIN psi p1 ON p1.n = n_own JOIN psi p2 ON p2.n = n_fut JOIN psi p3 ON p3.n = n_oth GROUP BY c.source, c.target, lag, draw)",
+        f"effective AS (SELECT d.source, d.target, d.lag, any_value(o.te) AS te, greatest(0.0, any_value(o.te) - avg(d.te)) AS te_effective, avg((d.te >= o.te)::INT) AS p_value FROM te d JOIN te o ON o.draw < 0 AND d.draw >= 0 AND {pair('o', 'd')} AND o.lag = d.lag GROUP BY d.source, d.target, d.lag)",
+    ]
+
+
 #: edges(source, target, lag, te): the transfer entropies at lag 1, for queries about graphs.
 EDGES = ",\n".join([*entropy_sql([1]), "edges AS (SELECT source, target, lag, te FROM te)"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.operators import discovery, pairs, panel, varmodels
-from panelflow.plans.base import CORR, EDGES, PSI, SLOPE, H, K, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, returns, sql_r, with_
+from panelflow.plans.base import CORR, EDGES, PSI, SLOPE, H, K, draws_sql, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, returns, sql_r, with_
 from panelflow.plans.panels import _FEATURES, _REGIMES, market_regimes
 
 P1 = [*panel_sql(), pair_sql(1)]
@@ -172,9 +172,10 @@ def te_by_regime(spark, sf_dir):
     return out.withColumn("te", r("te"))
 
 
-@query()
+@query(with_(*panel_sql(), *draws_sql([1], 50), last=f"SELECT source, target, lag, {sql_r('te')} AS te, {sql_r('te_effective')} AS te_effective, {sql_r('p_value')} AS p_value FROM effective"))
 def te_effective(spark, sf_dir):
-    return discovery.effective_matrix(full_panel(spark, sf_dir), 1, K, H)
+    out = discovery.effective_matrix(full_panel(spark, sf_dir), 1, K, H, surrogates=50, noise=0.0)
+    return out.withColumns({"te": r("te"), "te_effective": r("te_effective"), "p_value": r("p_value")})
 
 
 @query()
@@ -182,6 +183,38 @@ def te_best_lag(spark, sf_dir):
     return discovery.variable_lags(full_panel(spark, sf_dir), None, None, K, H)
 
 
+_CHOSEN = """chosen AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY te_effective DESC, lag) AS k FROM effective),
+cut AS (SELECT source, target, n // 2 AS half FROM size),
+"""
+
+
+def _halves() -> str:
+    """spread(source, target, lag, stability): the entropies of a pair's halves at its chosen lag."""
+    near = lambda s: "greatest(" + ", ".join(f"abs(a.{s}{j} - b.{s}{j})" for j in range(H)) + ")"
+    key = "source, target, part"
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in ("source", "target", "part"))
+    past = ", ".join(f"lag({s}, {j}) OVER w AS {s}{j}" for s in "st" for j in range(H))
+    return _CHOSEN + ",\n".join(
+        [
+            "hp AS MATERIALIZED (SELECT pr.source, pr.target, (i >= half)::INT AS part, CASE WHEN i >= half THEN i - half ELSE i END AS i, s, t, chosen.lag FROM pr JOIN cut ON cut.source = pr.source AND cut.target = pr.target JOIN chosen ON chosen.source = pr.source AND chosen.target = pr.target AND k = 1 WHERE half >= 50)",
+            f"hpast AS (SELECT *, {past} FROM hp WINDOW w AS (PARTITION BY {key} ORDER BY i))",
+            f"hem AS MATERIALIZED (SELECT hpast.*, f.t AS f FROM hpast JOIN hp f ON {same('f', 'hpast')} AND f.i = hpast.i + hpast.lag WHERE hpast.i >= {H})",
+            f"hd AS (SELECT a.source, a.target, a.part, a.i, {near('t')} AS own, abs(a.f - b.f) AS fut, {near('s')} AS oth FROM hem a JOIN hem b ON {same('a', 'b')})",
+            f"heps AS MATERIALIZED (SELECT {key}, i, min(greatest(own, fut, oth), {K + 1})[{K + 1}] - 1e-15 AS e FROM hd GROUP BY {key}, i)",
+            f"hc AS (SELECT hd.source, hd.target, hd.part, hd.i, greatest(count(*) FILTER (WHERE own <= e), 1) AS n_own, greatest(count(*) FILTER (WHERE greatest(own, fut) <= e), 1) AS n_fut, greatest(count(*) FILTER (WHERE greatest(own, oth) <= e), 1) AS n_oth FROM hd JOIN heps ON {same('hd', 'heps')} AND hd.i = heps.i GROUP BY hd.source, hd.target, hd.part, hd.i)",
+            f"hte AS (SELECT {key}, CASE WHEN count(*) < 50 THEN 0.0 ELSE greatest(0.0, (SELECT v FROM psi WHERE n = {K}) + avg(p1.v) - avg(p2.v) - avg(p3.v)) END AS te FROM hc JOIN psi p1 ON p1.n = n_own JOIN psi p2 ON p2.n = n_fut JOIN psi p3 ON p3.n = n_oth GROUP BY {key})",
+            "spread AS (SELECT source, target, CASE WHEN sum(te) / 2 > 1e-10 THEN (max(te) - min(te)) / sum(te) END AS stability FROM hte GROUP BY source, target)",
+        ]
+    )
+
+
+@query(with_(*panel_sql(), *draws_sql([1, 2, 3], 15, targets=["RF", "RO"]), _halves(), last=f"SELECT c.source, c.target, lag AS best_lag, {sql_r('te_effective')} AS te_effective, {sql_r('p_value')} AS p_value, {sql_r('stability')} AS stability_cv FROM chosen c LEFT JOIN spread s ON s.source = c.source AND s.target = c.target WHERE k = 1"))
+def te_lag_of_followers(spark, sf_dir):
+    """Best lags of all leaders of some followers."""
+    out = discovery.variable_lags(full_panel(spark, sf_dir), [1, 2, 3], ["RF", "RO"], K, H, surrogates=15, noise=0.0)
+    return out.select("source", "target", "best_lag", *[r(c).alias(c) for c in ("te_effective", "p_value", "stability_cv")])
+
+
 @query()
 def te_bootstrap(spark, sf_dir):
     return discovery.significance(full_panel(spark, sf_dir), "bootstrap", 1)
@@ -194,7 +227,8 @@ def te_surrogate(spark, sf_dir):
 
 @query()
 def te_shuffled(spark, sf_dir):
-    return discovery.significance(full_panel(spark, sf_dir), "shuffle", 1)
+    """Draws end for a pair when 50 have reached its own entropy."""
+    return discovery.significance(full_panel(spark, sf_dir), "shuffle", 1, stop=50)
 
 
 @query()

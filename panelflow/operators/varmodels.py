@@ -1,7 +1,7 @@
 """Vector autoregressions: sparse (lasso) and regime-switching, and hidden Markov regimes.
 
-Fits are sequential in time, so each works on one short panel; they are spread over targets
-(lasso), or over panels and starts.
+Lasso fits are spread over targets. Regimes are fitted on blocks of bars by operators.chains, whatever
+a panel's length; SwitchingVar and GaussianHmm are the same recursions for a panel in memory.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import kmeans, lasso, lasso_ic, log_gaussian, logsumexp
+from panelflow.operators import chains
 from panelflow.operators.discovery import on_targets
 from panelflow.sources import store
 
@@ -169,37 +170,32 @@ class SwitchingVar:
         return int(self.filter[-1].argmax())
 
 
-def _panel(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.pivot(index="bar", columns="series", values="ret").sort_index().fillna(0.0)
+def _switching(returns: DataFrame, key: str, lags: int, block_bars: int | None, options: dict) -> tuple[chains.Blocks, dict]:
+    blocks = chains.lagged_blocks(returns, key, lags, store.scratch(returns.sparkSession), block_bars)
+    return blocks, chains.switching_chains(blocks, lags, **options)
 
 
-def switching_var(returns: DataFrame, key: str = "panel", **options) -> DataFrame:
-    """(key, bar, regime, prob, smoothed): filtered and smoothed probabilities of each panel's bars."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _panel(pdf)
-        model = SwitchingVar(**options).fit(wide.to_numpy(float))
-        bars = wide.index[model.lags :]
-        return pd.DataFrame({key: pdf[key].iloc[0], "bar": bars, "regime": model.filter.argmax(1), "prob": list(model.filter), "smoothed": list(model.smooth)})
-
-    kind = returns.schema[key].dataType.simpleString()
-    return returns.groupBy(key).applyInPandas(run, f"{key} {kind}, bar long, regime int, prob array<double>, smoothed array<double>")
+def switching_var(returns: DataFrame, key: str = "panel", lags: int = 2, block_bars: int | None = None, **options) -> DataFrame:
+    """(key, bar, regime, prob, smoothed): filtered and smoothed probabilities of each panel's bars.
 
+    The panels' bars stay in blocks (operators.chains); panels fitted together have as many series.
+    """
+    found = chains.probabilities(*_switching(returns, key, lags, block_bars, options))
+    regime = (F.array_position("prob", F.array_max("prob")) - 1).cast("int")
+    return found.select(key, "bar", regime.alias("regime"), "prob", "smoothed")
 
-def switching_coefficients(returns: DataFrame, key: str = "panel", **options) -> DataFrame:
-    """(key, regime, source, target, lag, coefficient): lag 0 has the constants, without a source."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _panel(pdf)
-        model, names, rows = SwitchingVar(**options).fit(wide.to_numpy(float)), list(wide.columns), []
-        for r, b in enumerate(model.coef):
+def switching_coefficients(returns: DataFrame, key: str = "panel", lags: int = 2, block_bars: int | None = None, **options) -> DataFrame:
+    """(key, regime, source, target, lag, coefficient): lag 0 has the constants, without a source. A panel's parameters are few."""
+    _, models = _switching(returns, key, lags, block_bars, options)
+    rows = []
+    for panel, names in chains.names_of(returns, key, "series").items():
+        for r, b in enumerate(models[panel].coef if panel in models else ()):
             for j, target in enumerate(names):
-                rows.append((pdf[key].iloc[0], r, None, target, 0, b[0, j]))
-                rows += [(pdf[key].iloc[0], r, source, target, lag, b[1 + (lag - 1) * len(names) + i, j]) for lag in range(1, model.lags + 1) for i, source in enumerate(names)]
-        return pd.DataFrame(rows, columns=[key, "regime", "source", "target", "lag", "coefficient"])
-
+                rows.append((panel, r, None, target, 0, float(b[0, j])))
+                rows += [(panel, r, source, target, lag, float(b[1 + (lag - 1) * len(names) + i, j])) for lag in range(1, lags + 1) for i, source in enumerate(names)]
     kind = returns.schema[key].dataType.simpleString()
-    return returns.groupBy(key).applyInPandas(run, f"{key} {kind}, regime int, source string, target string, lag int, coefficient double")
+    return returns.sparkSession.createDataFrame(rows, f"{key} {kind}, regime int, source string, target string, lag int, coefficient double")
 
 
 # -- hidden Markov regimes ------------------------------------------------------------------------
@@ -258,67 +254,60 @@ class GaussianHmm:
         return path
 
 
-def hmm_regimes(features: DataFrame, key: str = "panel", method: str = "hmm", regimes: int = 2, seed: int = 42) -> DataFrame:
+def hmm_regimes(features: DataFrame, key: str = "panel", method: str = "hmm", regimes: int = 2, seed: int = 42, block_bars: int | None = None) -> DataFrame:
     """(key, bar, regime, prob) of features (key, bar, feature, value); method "kmeans": labels without a chain."""
-    if method not in ("hmm", "kmeans"):
-        raise ValueError(f"no regime method {method}")
+    return predicted_regimes(features, None, key, method, regimes, seed, block_bars)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="bar", columns="feature", values="value").sort_index().dropna()
-        x = wide.to_numpy(float)
-        if method == "hmm":
-            model = GaussianHmm(regimes, seed=seed).fit(x)
-            labels, prob = model.labels, list(model.prob)
-        else:
-            labels = kmeans(x, regimes, seed)
-            prob = list(np.eye(regimes)[labels])
-        return pd.DataFrame({key: pdf[key].iloc[0], "bar": wide.index, "regime": labels, "prob": prob})
 
-    kind = features.schema[key].dataType.simpleString()
-    return features.groupBy(key).applyInPandas(run, f"{key} {kind}, bar long, regime int, prob array<double>")
-
-
-def predicted_regimes(features: DataFrame, new: DataFrame, key: str = "panel", method: str = "hmm", regimes: int = 2, seed: int = 42) -> DataFrame:
+def predicted_regimes(features: DataFrame, new: DataFrame | None, key: str = "panel", method: str = "hmm", regimes: int = 2, seed: int = 42, block_bars: int | None = None) -> DataFrame:
     """(key, bar, regime, prob) of new rows (key, bar, feature, value) under the model of each panel's own rows.
 
     prob: as the new rows, one after the other, show it; panels without rows to learn from give none.
+    new None: the rows learned from. Bars stay in blocks (operators.chains).
     """
     if method not in ("hmm", "kmeans"):
         raise ValueError(f"no regime method {method}")
+    folder = store.scratch(features.sparkSession)
+    blocks = later = chains.gaussian_blocks(features, key, folder, block_bars)
+    models = chains.gaussian_chains(blocks, regimes, seed=seed) if method == "hmm" else _centres(blocks, regimes, seed)
+    if new is not None:
+        known = new.join(features.select(key, "feature").distinct(), [key, "feature"], "left_semi")
+        later = chains.gaussian_blocks(known, key, folder, block_bars, "later")
+    later = chains.Blocks(later.rows.where(F.col(key).isin(list(models))), key, later.shape)
+    if method == "hmm":
+        prob = chains.probabilities(later, models).select(key, "bar", F.col("smoothed").alias("prob"))
+        return chains.best_states(later, models).join(prob, [key, "bar"]).select(key, "bar", "regime", "prob")
+
+    def nearest(piece: chains.Piece, bars: np.ndarray, z: np.ndarray) -> dict:
+        labels = ((z[:, None, 1:] - models[piece.key]) ** 2).sum(2).argmin(1)
+        return {"bar": bars, "regime": labels.astype(np.int32), "prob": np.eye(regimes)[labels].tolist()}
+
+    return later.mapped(nearest, "bar long, regime int, prob array<double>")
+
+
+def _centres(blocks: chains.Blocks, regimes: int, seed: int) -> dict:
+    """key -> the centres of k-means on chains.FIRST_BARS bars at most."""
+    out = {}
+    for panel, z in blocks.sample().items():
+        labels = kmeans(z[:, 1:], regimes, seed)
+        out[panel] = np.array([z[labels == r, 1:].mean(0) if (labels == r).any() else np.full(z.shape[1] - 1, np.inf) for r in range(regimes)])
+    return out
 
-    def wide(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.pivot(index="bar", columns="feature", values="value").sort_index().dropna()
-
-    def run(old: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
-        if not len(old) or not len(later):
-            return pd.DataFrame(columns=[key, "bar", "regime", "prob"])
-        known = wide(old)
-        rows = wide(later)[list(known.columns)]
-        x, z = known.to_numpy(float), rows.to_numpy(float)
-        if method == "hmm":
-            model = GaussianHmm(regimes, seed=seed).fit(x)
-            labels, prob = model.viterbi(z), list(model.posterior(z))
-        else:
-            own = kmeans(x, regimes, seed)
-            centres = np.array([x[own == r].mean(0) for r in range(regimes)])
-            labels = ((z[:, None] - centres) ** 2).sum(2).argmin(1)
-            prob = list(np.eye(regimes)[labels])
-        return pd.DataFrame({key: later[key].iloc[0], "bar": rows.index, "regime": labels, "prob": prob})
-
-    kind = features.schema[key].dataType.simpleString()
-    later = new.toDF(*new.columns)
-    return features.groupBy(key).cogroup(later.groupBy(key)).applyInPandas(run, f"{key} {kind}, bar long, regime int, prob array<double>")
-
-
-def switching_forecast(returns: DataFrame, steps: int = 1, key: str = "panel", **options) -> DataFrame:
-    """(key, series, step, value, regime): iterated forecasts behind each panel's last bar, and the regime it ends in."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _panel(pdf)
-        x = wide.to_numpy(float)
-        model = SwitchingVar(**options).fit(x)
-        value = model.predict(x, steps)
-        return pd.DataFrame({key: pdf[key].iloc[0], "series": np.tile(wide.columns, steps), "step": np.repeat(np.arange(1, steps + 1), x.shape[1]), "value": value.ravel(), "regime": model.current()})
 
+def switching_forecast(returns: DataFrame, steps: int = 1, key: str = "panel", lags: int = 2, block_bars: int | None = None, **options) -> DataFrame:
+    """(key, series, step, value, regime): iterated forecasts behind each panel's last bar, and the regime it ends in."""
+    blocks, models = _switching(returns, key, lags, block_bars, options)
+    chains.expected(blocks, models)
+    ends = blocks.mapped(lambda p, b, z: {"bar": b[-1:], "z": [z[-1].tolist()]}, "bar long, z array<double>")
+    rows, names = [], chains.names_of(returns, key, "series")
+    for r in ends.groupBy(key).agg(F.max_by("z", "bar").alias("z")).collect():
+        chain, n = models[r[0]], len(names[r[0]])
+        # newest first: the bar's own values, then those of its lags
+        past, p = np.concatenate([r["z"][-n:], r["z"][1 : 1 + n * (lags - 1)]]), chain.last
+        for step in range(1, steps + 1):
+            p = p @ chain.moves
+            value = sum(p[i] * (np.concatenate([[1.0], past]) @ b) for i, b in enumerate(chain.coef))
+            rows += [(r[0], s, step, float(v), int(chain.last.argmax())) for s, v in zip(names[r[0]], value, strict=True)]
+            past = np.concatenate([value, past[: n * (lags - 1)]])
     kind = returns.schema[key].dataType.simpleString()
-    return returns.groupBy(key).applyInPandas(run, f"{key} {kind}, series string, step int, value double, regime int")
+    return returns.sparkSession.createDataFrame(rows, f"{key} {kind}, series string, step int, value double, regime int")

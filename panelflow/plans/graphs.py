@@ -222,7 +222,7 @@ def te_bootstrap(spark, sf_dir):
 
 @query()
 def te_surrogate(spark, sf_dir):
-    return discovery.significance(full_panel(spark, sf_dir), "phase", 1)
+    return discovery.significance(full_panel(spark, sf_dir), "phase", 1, stop=50)
 
 
 @query()

@@ -43,9 +43,12 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 
 def lasso(x: np.ndarray, y: np.ndarray, alpha: float, coef: np.ndarray | None = None, max_iter: int = 10_000, tol: float = 1e-8) -> np.ndarray:
     """Coordinate descent on |y - xb|^2 / 2n + alpha |b|_1, by the Gram matrix."""
-    n = len(y)
-    gram, cross = x.T @ x / n, x.T @ y / n
-    b = np.zeros(x.shape[1]) if coef is None else coef.copy()
+    return lasso_gram(x.T @ x / len(y), x.T @ y / len(y), alpha, coef, max_iter, tol)
+
+
+def lasso_gram(gram: np.ndarray, cross: np.ndarray, alpha: float, coef: np.ndarray | None = None, max_iter: int = 10_000, tol: float = 1e-8) -> np.ndarray:
+    """lasso() from x'x / n and x'y / n."""
+    b = np.zeros(len(cross)) if coef is None else coef.copy()
     for _ in range(max_iter):
         most = 0.0
         for j in range(len(b)):
@@ -61,8 +64,12 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, coef: np.ndarray | None =
 
 def lasso_path(x: np.ndarray, y: np.ndarray, most: int = 500) -> list[tuple[float, np.ndarray]]:
     """(alpha, coefficients) at each knot of the lasso's path, from no coefficient on, by least-angle steps."""
-    n, p = x.shape
-    gram, cross = x.T @ x / n, x.T @ y / n
+    return path_gram(x.T @ x / len(y), x.T @ y / len(y), len(y), most)
+
+
+def path_gram(gram: np.ndarray, cross: np.ndarray, n: int, most: int = 500) -> list[tuple[float, np.ndarray]]:
+    """lasso_path() from x'x / n and x'y / n."""
+    p = len(cross)
     b, alpha = np.zeros(p), float(np.abs(cross).max(initial=0))
     path, active, left = [(alpha, b.copy())], [], -1
     while alpha > 1e-12 and len(path) < most:
@@ -99,17 +106,28 @@ def lasso_ic(x: np.ndarray, y: np.ndarray, criterion: str = "bic") -> tuple[np.n
     The noise's variance is that of the least-squares fit on all columns; where there are too few
     rows for one, the knot's own.
     """
-    n, p = x.shape
+    return lasso_ic_gram(x.T @ x, x.T @ y, float(y @ y), len(y), criterion)[:2]
+
+
+def lasso_ic_gram(square: np.ndarray, cross: np.ndarray, yy: float, n: int, criterion: str = "bic", whole: bool = True) -> tuple[np.ndarray, float, list[tuple[float, np.ndarray]]]:
+    """lasso_ic() from x'x, x'y and y'y, and the path up to the chosen knot.
+
+    whole: the columns are all there are; of some only, each knot's own noise counts.
+    """
+    p = len(cross)
     cost = np.log(n) if criterion == "bic" else 2.0
-    noise = ols(x, y)[2] / (n - p - 1) if n > p + 1 else 0.0
-    best, kept = np.inf, (np.zeros(p), 0.0)
-    for alpha, b in lasso_path(x, y):
-        rss = float(((y - x @ b) ** 2).sum())
+    noise = 0.0
+    if whole and n > p + 1 and p:
+        noise = max(yy - float(cross @ np.linalg.lstsq(square, cross, rcond=None)[0]), 0.0) / (n - p - 1)
+    best, kept, last = np.inf, (np.zeros(p), 0.0), 0
+    path = path_gram(square / n, cross / n, n)
+    for i, (alpha, b) in enumerate(path):
+        rss = max(yy - 2 * float(b @ cross) + float(b @ square @ b), 0.0)
         misfit = n * np.log(2 * np.pi * noise) + rss / noise if noise > 1e-300 else n * np.log(max(rss / n, 1e-300))
         value = misfit + cost * np.count_nonzero(np.abs(b) > 1e-15)
         if value < best:
-            best, kept = value, (b, alpha)
-    return kept
+            best, kept, last = value, (b, alpha), i
+    return *kept, path[: last + 1]
 
 
 def log_gaussian(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:

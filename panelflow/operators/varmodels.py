@@ -13,9 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.functions.numeric import kmeans, lasso, lasso_ic, log_gaussian, logsumexp
-from panelflow.operators import chains
-from panelflow.operators.discovery import on_targets
+from panelflow.functions.numeric import kmeans, log_gaussian, logsumexp
+from panelflow.operators import chains, gram
 from panelflow.sources import store
 
 
@@ -25,16 +24,10 @@ from panelflow.sources import store
 def lasso_var(returns: DataFrame, lags: int = 5, alpha: float | None = None, criterion: str = "bic") -> DataFrame:
     """(target, source, lag, coef, alpha, intercept) of every target's regression on all series' lags, as they are scaled.
 
-    alpha None: chosen along the path by the criterion. returns must have a row for each series and bar.
+    alpha None: chosen along the path by the criterion. returns must have a row for each series and
+    bar. The fits use sums of products only (operators.gram), so no task holds the panel.
     """
-
-    def fit(names: list[str], panel: np.ndarray, at: int) -> pd.DataFrame:
-        x, y = np.column_stack([panel[lags - k : len(panel) - k] for k in range(1, lags + 1)]), panel[lags:, at]
-        centre, level = x.mean(0), y.mean()
-        b, used = (lasso(x - centre, y - level, alpha), alpha) if alpha is not None else lasso_ic(x - centre, y - level, criterion)
-        return pd.DataFrame({"target": names[at], "source": names * lags, "lag": np.repeat(np.arange(1, lags + 1), len(names)), "coef": b, "alpha": used, "intercept": level - centre @ b})
-
-    return on_targets(returns, fit, "target string, source string, lag int, coef double, alpha double, intercept double")
+    return gram.sparse_regressions(gram.gram(returns, lags), lags, alpha, criterion)
 
 
 def lasso_forecast(returns: DataFrame, coefficients: DataFrame, steps: int = 1) -> DataFrame:

@@ -19,9 +19,12 @@ LEAF, NEAR, GROUP = 48, 12, 12
 
 def max_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of each row of a to each of b."""
-    out = np.abs(a[:, None, 0] - b[None, :, 0])
+    out = np.subtract.outer(a[:, 0], b[:, 0])
+    np.abs(out, out=out)
+    more = np.empty_like(out) if a.shape[1] > 1 else None
     for j in range(1, a.shape[1]):
-        np.maximum(out, np.abs(a[:, None, j] - b[None, :, j]), out=out)
+        np.subtract.outer(a[:, j], b[:, j], out=more)
+        np.maximum(out, np.abs(more, out=more), out=out)
     return out
 
 

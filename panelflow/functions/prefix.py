@@ -69,3 +69,17 @@ def previous(df: DataFrame, order: str, columns: dict[str, str], keys: tuple[str
     out = _placed(held, offsets, keys)
     values = {n: F.when(F.col("__own") == 1, F.col(f"__before.{c}")).otherwise(F.col(f"__w{n}")) for n, c in columns.items()}
     return out.withColumns(values).drop("__span", "__own", "__before", *[f"__w{n}" for n in columns])
+
+
+def rolled(df: DataFrame, order: str, rows: int, columns: dict[str, tuple[Column, int]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with aggregates over the last `rows` rows, the own included: name -> (aggregate, rows it needs, else null).
+
+    The last rows of a span go along with the next one. A span has SPAN rows, or `rows`, if that is more.
+    """
+    size = max(SPAN, rows)
+    placed = ordinals(df, order, keys, "__pos").withColumns({"__span": F.floor(F.col("__pos") / size), "__own": F.lit(True)})
+    tail = placed.where(F.col("__pos") % size > size - rows).withColumns({"__span": F.col("__span") + 1, "__own": F.lit(False)})
+    over = Window.partitionBy(*keys, "__span").orderBy("__pos").rowsBetween(1 - rows, 0)
+    n = F.count(F.lit(1)).over(over)
+    found = {name: F.when(n >= least, c.over(over)) for name, (c, least) in columns.items()}
+    return placed.union(tail).withColumns(found).where("__own").drop("__pos", "__span", "__own")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.functions.columns import ANNUAL, by, clip, compounded, full, ratio, rolling
+from panelflow.functions.columns import ANNUAL, by, clip, compounded, ratio
+from panelflow.functions.prefix import rolled, running
 
 
 def rebalances(returns: DataFrame, init: int = 252, step: int = 21) -> DataFrame:
@@ -25,7 +26,7 @@ def book_bar(bar: Column, init: int, step: int, lag: int) -> Column:
 def inverse_vol_weights(returns: DataFrame, init: int = 252, step: int = 21, rows: int = 252) -> DataFrame:
     """(rebalance_bar, series, weight): at each rebalance, from the bars strictly before it."""
     w = by("series").rowsBetween(-rows, -1)
-    sigma = returns.withColumn("sigma", F.stddev_samp("ret").over(w)).join(F.broadcast(rebalances(returns, init, step)), F.col("bar") == F.col("rebalance_bar"))
+    sigma = returns.withColumn("sigma", F.stddev_samp("ret").over(w)).join(rebalances(returns, init, step), F.col("bar") == F.col("rebalance_bar"))
     inverse = F.when(F.col("sigma") > 0, 1.0 / F.col("sigma"))
     every = Window.partitionBy("rebalance_bar")
     total = F.sum(inverse).over(every)
@@ -36,7 +37,7 @@ def momentum_trials(returns: DataFrame, lookbacks: list[int], init: int = 252, s
     """(trial, rebalance_bar, series, weight): for each look-back, the sign of the mean of that many rows
     before, equal gross weights. All look-backs share one pass over the panel.
     """
-    dates = F.broadcast(rebalances(returns, init, step))
+    dates = rebalances(returns, init, step)
     signs = {f"m{k:02d}": F.signum(F.avg("ret").over(by("series").rowsBetween(-k, -1))) for k in lookbacks}
     rows = returns.select("series", "bar", *[c.alias(n) for n, c in signs.items()]).join(dates, F.col("bar") == F.col("rebalance_bar"))
     rows = rows.unpivot(["rebalance_bar", "series"], list(signs), "trial", "s")
@@ -57,7 +58,7 @@ def callback_weights(returns: DataFrame, strategy: Callable[[pd.DataFrame], dict
     before = F.col("bar") < F.col("rebalance_bar")
     if lookback:
         before = before & (F.col("bar") >= F.col("rebalance_bar") - lookback)
-    history = returns.select("series", "bar", "ret").join(F.broadcast(dates), before)
+    history = returns.select("series", "bar", "ret").join(dates, before)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         panel = pdf.pivot(index="bar", columns="series", values="ret").sort_index()
@@ -78,10 +79,10 @@ def turnover(weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     change: the same without the first book, which counts 0.
     """
     before = F.lag("weight").over(by(*keys, "series", order="rebalance_bar"))
-    moved = F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0)))
-    first = F.min("rebalance_bar").over(Window.partitionBy(*(keys or (F.lit(1),))))
-    rows = weights.withColumns({"m": moved, "f": first})
-    return rows.groupBy(*keys, "rebalance_bar").agg(F.sum("m").alias("turnover"), F.sum(F.when(F.col("rebalance_bar") > F.col("f"), F.col("m")).otherwise(0.0)).alias("change"))
+    rows = weights.withColumn("m", F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0)))).groupBy(*keys, "rebalance_bar").agg(F.sum("m").alias("turnover"))
+    first = rows.groupBy(*keys).agg(F.min("rebalance_bar").alias("__first"))
+    rows = rows.join(first, list(keys)) if keys else rows.crossJoin(first)
+    return rows.withColumn("change", F.when(F.col("rebalance_bar") > F.col("__first"), F.col("turnover")).otherwise(0.0)).drop("__first")
 
 
 def walk_forward(returns: DataFrame, weights: DataFrame, init: int = 252, step: int = 21, tc_bps: float = 1.0, lag: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -105,10 +106,14 @@ def cost_sweep(returns: DataFrame, weights: DataFrame, costs: list[float], init:
 
 
 def equity(pnl: DataFrame, keys: tuple[str, ...] = (), value: str = "net") -> DataFrame:
-    """pnl with its equity curve, running peak and drawdown; a missing return is 0. Bars are few."""
-    w = Window.partitionBy(*(keys or (F.lit(1),))).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pnl.withColumn("equity", compounded(F.coalesce(F.col(value), F.lit(0.0)), w))
-    rows = rows.withColumn("peak", F.max("equity").over(w))
+    """pnl with its equity curve, running peak and drawdown; a missing return is 0."""
+    grown = 1 + F.coalesce(F.col(value), F.lit(0.0))
+    logs = {"__size": F.when(grown != 0, F.log(F.abs(grown))).otherwise(0.0), "__negative": F.when(grown < 0, 1).otherwise(0)}
+    rows = running(pnl, "bar", keys, logs, {"__lost": F.when(grown == 0, 1).otherwise(0)})
+    size = F.exp("__size")
+    curve = F.when(F.col("__lost") == 1, 0.0).when(F.col("__negative") % 2 == 1, -size).otherwise(size)
+    rows = rows.withColumn("equity", curve).drop(*logs, "__lost")
+    rows = running(rows, "bar", keys, maxima={"peak": F.col("equity")})
     return rows.withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1)
 
 
@@ -132,9 +137,9 @@ def metrics(pnl: DataFrame, keys: tuple[str, ...] = (), value: str = "net", chan
 
 def rolling_sharpe(pnl: DataFrame, rows: int = 63, value: str = "net") -> DataFrame:
     """(bar, sharpe): null until the window is full or where it has no spread."""
-    w = rolling(Window.partitionBy(F.lit(1)).orderBy("bar"), rows)
-    sharpe = ratio(F.avg(value).over(w), F.stddev_samp(value).over(w)) * F.sqrt(F.lit(float(ANNUAL)))
-    return pnl.select("bar", full(sharpe, w, rows).alias("sharpe"))
+    moments = {"__mean": (F.avg(value), rows), "__spread": (F.stddev_samp(value), rows)}
+    sharpe = ratio(F.col("__mean"), F.col("__spread")) * F.sqrt(F.lit(float(ANNUAL)))
+    return rolled(pnl.select("bar", value), "bar", rows, moments).select("bar", sharpe.alias("sharpe"))
 
 
 def monthly(pnl: DataFrame, value: str = "net") -> DataFrame:
@@ -170,12 +175,12 @@ def lead_weights(returns: DataFrame, edges: DataFrame, init: int = 252, step: in
     spread = F.sum(F.col("l") * F.col("l")).over(w) - sl * sl / n
     beta = F.when((n >= least) & (spread > 1e-18), (F.sum(F.col("l") * F.col("f")).over(w) - sl * sf / n) / F.nullif(spread, F.lit(0.0)))
     betas = both.select("source", "target", (F.col("bar") + 1).alias("rebalance_bar"), "now", beta.alias("beta"))
-    used = chosen.join(F.broadcast(dates), "refresh_bar").join(betas, ["source", "target", "rebalance_bar"]).where("beta is not null")
+    used = chosen.join(dates, "refresh_bar").join(betas, ["source", "target", "rebalance_bar"]).where("beta is not null")
     raw = used.groupBy("rebalance_bar", "target").agg((F.sum(F.col("te") * F.col("beta") * F.col("now")) / F.sum("te")).alias("p"))
     every = Window.partitionBy("rebalance_bar")
     scaled = raw.withColumn("w", F.col("p") / F.nullif(F.sum(F.abs("p")).over(every), F.lit(0.0))).withColumn("w", clip(F.col("w"), -cap, cap))
     scaled = scaled.withColumn("w", F.col("w") / F.nullif(F.sum(F.abs("w")).over(every), F.lit(0.0)))
-    grid = dates.select("rebalance_bar").crossJoin(F.broadcast(series.select("series").distinct()))
+    grid = dates.select("rebalance_bar").crossJoin(series.select("series").distinct())
     return grid.join(scaled.select("rebalance_bar", F.col("target").alias("series"), "w"), ["rebalance_bar", "series"], "left").select("rebalance_bar", "series", F.coalesce("w", F.lit(0.0)).alias("weight"))
 
 
@@ -184,5 +189,5 @@ def refresh_edges(returns: DataFrame, followers: list[str] | None = None, init:
     from panelflow.operators.discovery import entropy_matrix
 
     dates = rebalances(returns, init, refresh).withColumnRenamed("rebalance_bar", "refresh_bar")
-    history = returns.join(F.broadcast(dates), (F.col("bar") < F.col("refresh_bar")) & (F.col("bar") >= F.col("refresh_bar") - lookback))
+    history = returns.join(dates, (F.col("bar") < F.col("refresh_bar")) & (F.col("bar") >= F.col("refresh_bar") - lookback))
     return entropy_matrix(history, lags=[lag], targets=followers, keys=("refresh_bar",), **options).select("refresh_bar", "source", "target", "te")

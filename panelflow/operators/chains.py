@@ -397,3 +397,31 @@ def switching_chains(blocks: Blocks, lags: int, regimes: int = 2, max_iter: int
     if len(inputs) > 1:
         raise ValueError("panels fitted together have as many series")
     return fitted(blocks, next(iter(inputs.values()), 1), regimes, max_iter, 1e-6, lambda turn, total, last: turn > 5 and abs(total - last) < tol, 0.9, features, seed, compat, once_more=True)
+
+
+def regime_moments(returns: DataFrame, regimes: DataFrame, lags: int, block_bars: int | None = None) -> DataFrame:
+    """(regime, a, b, value): sums of products of the constant ("1"), the series ("0:name") and their lags ("k:name") over each regime's bars.
+
+    What switching_chains() maximises from, with labels (bar, regime) in place of probabilities.
+    """
+    key, folder = "panel", store.scratch(returns.sparkSession)
+    rows = wide(returns.withColumn(key, F.lit("all")), key, "series", "ret", 0.0)
+    labels = [r[0] for r in regimes.select("regime").distinct().orderBy("regime").collect()]
+    rows = rows.join(regimes.select("bar", "regime"), "bar", "left").withColumn("x", F.concat("x", F.array(F.col("regime").cast("double")))).select(key, "bar", "x")
+    names = names_of(returns.withColumn(key, F.lit("all")), key, "series").get("all", [])
+    seen = lagged_points(lags)
+    columns = ["1", *(f"{k}:{s}" for k in (*range(1, lags + 1), 0) for s in names)]
+
+    def shape(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        label = piece.data[lags:, -1:]
+        bars, z = seen(Piece(piece.key, piece.block, piece.bars, np.ascontiguousarray(piece.data[:, :-1]), piece.own))
+        return bars, np.column_stack([z, label]) if len(bars) else z
+
+    blocks = Blocks(packed(rows, key, folder, lags, block_bars), key, shape)
+
+    def sums(piece: Piece, bars: np.ndarray, z: np.ndarray) -> dict:
+        found = moments(z[:, :-1], z[:, -1:] == np.array(labels, float))
+        n = len(columns)
+        return {"regime": np.repeat(np.array(labels, np.int32), n * n), "a": np.tile(np.repeat(columns, n), len(labels)).tolist(), "b": np.tile(columns, n * len(labels)).tolist(), "value": found.ravel()}
+
+    return blocks.mapped(sums, "regime int, a string, b string, value double").groupBy("regime", "a", "b").agg(F.sum("value").alias("value"))

@@ -278,7 +278,9 @@ def on_pairs(returns: DataFrame, kernel: Callable[..., list[tuple]], columns: st
 
     schema = ", ".join([*(f"{k} {returns.schema[k].dataType.simpleString()}" for k in keys), "source string, target string", columns])
     group = [*keys, "i", "j", "piece"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, schema)
+    # the work is in the kernels, not in the few rows: partitions are not to be joined for their small size
+    tasks = min(blocks * blocks * pieces, 2 * at_once)
+    return left.repartition(tasks, *group).groupBy(*group).cogroup(right.repartition(tasks, *group).groupBy(*group)).applyInPandas(run, schema)
 
 
 def pieces_for(returns: DataFrame, keys: tuple[str, ...] = ()) -> int:
@@ -311,7 +313,7 @@ def on_targets(returns: DataFrame, fit: Callable[[list[str], np.ndarray, int], p
         found = [fit(list(pdf["series"]), x, i) for i in np.flatnonzero(pdf["mine"])]
         return pd.concat(found) if found else pd.DataFrame(columns=columns)
 
-    return rows.join(used, "block", "left_semi").groupBy("block").applyInPandas(run, schema)
+    return rows.join(used, "block", "left_semi").repartition(blocks, "block").groupBy("block").applyInPandas(run, schema)
 
 
 def entropy_matrix(returns: DataFrame, lags: list[int] | None = None, k: int = 5, history: int = 3, noise: float = 1e-8, pairs: DataFrame | None = None, targets: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -414,19 +416,19 @@ def significance(returns: DataFrame, method: str = "bootstrap", lag: int = 1, co
 
     stop: a pair gets no more draws once this many of them reach its own entropy (then it can't be
     significant); its p_value is the share among the draws up to the last of these, as sequential
-    Monte Carlo tests have it. Each round doubles the draws of the pairs that are left.
+    Monte Carlo tests have it. Each round trebles the draws of the pairs that are left.
     """
     if stop is None:
         rows = compared(draws(returns, method, [lag], count, pairs=pairs, **options))
         return _summary(rows, method, alpha)
-    folder, done = store.scratch(returns.sparkSession), min(count, PIECE_DRAWS)
+    folder, done = store.scratch(returns.sparkSession), min(count, max(4 * stop, PIECE_DRAWS))
     rows = store.kept(draws(returns, method, [lag], done, pairs=pairs, **options), folder, "draws0")
     while done < count:
         reached = compared(rows).groupBy("source", "target").agg(F.count_if(F.col("drawn") >= F.col("te")).alias("reached"))
         left = store.kept(reached.where(F.col("reached") < stop).select("source", "target"), folder, f"left{done}")
         if left.isEmpty():
             break
-        more = min(count, 2 * done) - done
+        more = min(count, 3 * done) - done
         rows = rows.union(store.kept(draws(returns, method, [lag], more, pairs=left, first=done, **options), folder, f"draws{done}"))
         done += more
     ordered = Window.partitionBy("source", "target").orderBy("draw")

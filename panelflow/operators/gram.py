@@ -159,7 +159,7 @@ def sparse_regressions(table: DataFrame, lags: int, alpha: float | None = None,
     while True:
         needed = wanted.select("block", F.explode("columns").alias("a")).union(wanted.select("block", F.concat("target").alias("a"))).union(wanted.select("block", F.lit(ONE).alias("a"))).distinct()
         rows = needed.join(table, "a").join(wanted.withColumnRenamed("target", "a"), ["block", "a"], "left")
-        new = store.kept(rows.groupBy("block").applyInPandas(solve, "target string, source string, lag int, coef double, alpha double, intercept double, missing array<string>"), folder, f"solved{turn}")
+        new = store.kept(rows.repartition(blocks, "block").groupBy("block").applyInPandas(solve, "target string, source string, lag int, coef double, alpha double, intercept double, missing array<string>"), folder, f"solved{turn}")
         good = new.where(F.size("missing") == 0).drop("missing")
         found = good if found is None else found.union(good)
         more = new.where(F.size("missing") > 0).select(F.concat(F.lit("0:"), "target").alias("target"), "missing").distinct()

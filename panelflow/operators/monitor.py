@@ -11,6 +11,8 @@ from email.message import EmailMessage
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.functions.prefix import previous
+
 log = logging.getLogger(__name__)
 EVENT = "bar long, event_type string, leader string, follower string, old_value double, new_value double, description string"
 
@@ -36,8 +38,7 @@ def breaks(updates: DataFrame, window: int = 60, z: float = 2.0, decay: float =
 
 def regime_changes(regimes: DataFrame) -> DataFrame:
     """Events (EVENT) of regimes (bar, regime): bars whose regime isn't the one before."""
-    last = F.lag("regime").over(Window.partitionBy(F.lit(1)).orderBy("bar"))
-    rows = regimes.withColumn("last", last).where("last <> regime")
+    rows = previous(regimes.select("bar", "regime"), "bar", {"last": "regime"}).where("last <> regime")
     return rows.select("bar", F.lit("regime_change").alias("event_type"), F.lit("").alias("leader"), F.lit("").alias("follower"), F.col("last").cast("double").alias("old_value"), F.col("regime").cast("double").alias("new_value"), F.format_string("regime %d became %d", "last", "regime").alias("description"))
 
 

@@ -51,6 +51,13 @@ def regression(returns: DataFrame, lag: int = 1, least: int = 30) -> DataFrame:
     return grouped.select("source", "target", "n", F.when(F.col("n") >= least, F.col("b")).alias("beta"))
 
 
+def regime_regression(returns: DataFrame, regimes: DataFrame, lag: int = 1, least: int = 30) -> DataFrame:
+    """(regime, source, target, n, beta): regression() on the targets' bars of each regime (bar, regime)."""
+    rows = lagged(returns, [lag]).join(regimes.select("bar", "regime"), "bar")
+    grouped = rows.groupBy("regime", "source", "target").agg(F.count(F.lit(1)).alias("n"), slope(F.col("l"), F.col("f")).alias("b"))
+    return grouped.select("regime", "source", "target", "n", F.when(F.col("n") >= least, F.col("b")).alias("beta"))
+
+
 def recent_sigma(returns: DataFrame, rows: int = 252) -> DataFrame:
     """(series, sigma): standard deviation of each series' last rows."""
     last = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("bar")))

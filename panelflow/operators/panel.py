@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import by, clip
+from panelflow.functions.prefix import ordinals
 
 #: Bars that a class's last level is carried on at most; classes that aren't named: DEFAULT_FILL.
 FILL_LIMITS = {"rates": 5, "credit": 5, "volatility": 5, "events": 5, "macro": 0}
@@ -17,8 +18,8 @@ DEFAULT_FILL = 3
 
 
 def numbered(times: DataFrame) -> DataFrame:
-    """(ts, bar) of distinct times. A calendar is short whatever the data's size: one sort."""
-    return times.select("ts").distinct().select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).cast("long").alias("bar"))
+    """(ts, bar) of distinct times."""
+    return ordinals(times.select("ts").distinct(), "ts", name="bar")
 
 
 def observed_calendar(levels: DataFrame) -> DataFrame:
@@ -34,9 +35,9 @@ def business_calendar(levels: DataFrame, all_week: tuple[str, ...] = ()) -> Data
 
 
 def grid(levels: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every series on every bar, its level where it was observed: the calendar is small and broadcast."""
+    """Every series on every bar, its level where it was observed."""
     series = levels.select("cls", "series").distinct()
-    cells = series.crossJoin(F.broadcast(calendar))
+    cells = series.crossJoin(calendar)
     return cells.join(levels.select("series", "ts", "level"), ["series", "ts"], "left").select("cls", "series", "bar", "ts", "level")
 
 
@@ -68,11 +69,11 @@ def observed_returns(levels: DataFrame, calendar: DataFrame, transforms: DataFra
     transforms: (series, transform); `diff` takes differences, anything else the log ratio. A bar
     without a level has no row; the ratio is null unless both levels are positive.
     """
-    rows = levels.where("level is not null and not isnan(level)").join(F.broadcast(calendar), "ts").select("series", "bar", "ts", "level")
+    rows = levels.where("level is not null and not isnan(level)").join(calendar, "ts").select("series", "bar", "ts", "level")
     if transforms is None:
         rows = rows.withColumn("transform", F.lit("log_return"))
     else:
-        rows = rows.join(F.broadcast(transforms), "series", "left").withColumn("transform", F.coalesce("transform", F.lit("log_return")))
+        rows = rows.join(transforms, "series", "left").withColumn("transform", F.coalesce("transform", F.lit("log_return")))
     last = F.lag("level").over(by("series"))
     log_ratio = F.when((last > 0) & (F.col("level") > 0), F.log(F.col("level") / last))
     ret = F.when(F.col("transform") == "diff", F.col("level") - last).otherwise(log_ratio)
@@ -82,7 +83,7 @@ def observed_returns(levels: DataFrame, calendar: DataFrame, transforms: DataFra
 def filled(returns: DataFrame) -> DataFrame:
     """Every series on every bar that any series has a return on; 0 where it has none."""
     bars, series = returns.select("bar", "ts").distinct(), returns.select("series").distinct()
-    cells = series.crossJoin(F.broadcast(bars))
+    cells = series.crossJoin(bars)
     return cells.join(returns.select("series", "bar", "ret"), ["series", "bar"], "left").select("series", "bar", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 

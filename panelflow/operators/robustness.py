@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import ANNUAL
-from panelflow.functions.numeric import deflated_sharpe
+from panelflow.functions.numeric import deflated_sharpe, expected_max_sharpe
+from panelflow.functions.prefix import previous, running
 
 
 def overfitting_splits(trials: DataFrame, min_bars: int = 60) -> DataFrame:
@@ -92,6 +93,16 @@ def sharpe_interval(returns: np.ndarray, count: int = 1000, level: float = 0.95,
     return float(own), float(np.quantile(drawn, (1 - level) / 2)), float(np.quantile(drawn, (1 + level) / 2))
 
 
+def expected_best(trials: DataFrame, column: str = "trials") -> DataFrame:
+    """trials with `expected`: the largest Sharpe ratio, in standard errors, that so many trials without skill would show."""
+
+    @F.pandas_udf("double")
+    def expected(n: pd.Series) -> pd.Series:
+        return n.map(expected_max_sharpe)
+
+    return trials.withColumn("expected", expected(column))
+
+
 def sharpe_intervals(pnl: DataFrame, key: str = "strategy", value: str = "net", count: int = 1000, level: float = 0.95) -> DataFrame:
     """(key, sharpe, low, high) of each strategy; a strategy's bars are few."""
 
@@ -104,7 +115,7 @@ def sharpe_intervals(pnl: DataFrame, key: str = "strategy", value: str = "net",
 
 def by_regime(pnl: DataFrame, regimes: DataFrame, value: str = "net") -> DataFrame:
     """(regime, n, mean, sharpe): annualised, of the bars in each regime."""
-    rows = pnl.join(F.broadcast(regimes.select("bar", "regime")), "bar").groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"))
+    rows = pnl.join(regimes.select("bar", "regime"), "bar").groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"))
     return rows.select("regime", "n", "mean", F.when(F.col("s") > 1e-10, F.col("mean") / F.col("s") * F.sqrt(F.lit(float(ANNUAL)))).otherwise(0.0).alias("sharpe"))
 
 
@@ -117,20 +128,20 @@ def churn(edges: DataFrame, refresh: int) -> DataFrame:
 
 def regime_summary(features: DataFrame, regimes: DataFrame) -> DataFrame:
     """(regime, mean, std, n, pct): over all features' values together; n counts bars."""
-    rows = features.join(F.broadcast(regimes.select("bar", "regime")), "bar")
+    rows = features.join(regimes.select("bar", "regime"), "bar")
     out = rows.groupBy("regime").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count_distinct("bar").alias("n"))
     return out.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
 def stress_blocks(probabilities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(start, end, bars) of the runs of bars whose probability (bar, p) is over the threshold."""
-    w = Window.partitionBy(F.lit(1)).orderBy("bar")
     rows = probabilities.withColumn("on", (F.col("p") > threshold).cast("int"))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("on") != F.coalesce(F.lag("on").over(w), F.lit(-1)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous(rows, "bar", {"before": "on"})
+    changed = F.when(F.col("on") != F.coalesce("before", F.lit(-1)), 1).otherwise(0)
+    rows = running(rows, "bar", sums={"island": changed})
     return rows.where("on = 1").groupBy("island").agg(F.min("bar").alias("start"), F.max("bar").alias("end"), F.count(F.lit(1)).alias("bars")).drop("island")
 
 
 def cumulative(returns: DataFrame) -> DataFrame:
     """(series, bar, total): running sums of returns."""
-    w = Window.partitionBy("series").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    return returns.select("series", "bar", F.sum("ret").over(w).alias("total"))
+    return running(returns.select("series", "bar", "ret"), "bar", ("series",), {"total": F.col("ret")}).drop("ret")

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from panelflow.functions.numeric import ols
 
-# Published critical values of the tests with a constant.
-ADF_LEVELS = [(0.01, -3.43035, -6.5393, -16.786), (0.05, -2.86154, -2.8903, -4.234), (0.10, -2.56677, -1.5384, -2.809)]
+# MacKinnon's response surfaces of the Dickey-Fuller statistic with a constant (1994): the
+# normal quantile of p as a polynomial in the statistic, below and above where the two meet, and the
+# statistics beyond which p is 0 or 1.
+ADF_LOW = (2.1659, 1.4412, 0.038269)
+ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_MEET, ADF_LEAST, ADF_MOST = -1.61, -18.83, 2.74
+# Published critical values of the other test about a level.
 KPSS_LEVELS = [(0.10, 0.347), (0.05, 0.463), (0.025, 0.574), (0.01, 0.739)]
 
 
+def adf_p(stat: float) -> float:
+    """The p-value of a Dickey-Fuller statistic with a constant."""
+    if stat > ADF_MOST:
+        return 1.0
+    if stat < ADF_LEAST:
+        return 0.0
+    surface = ADF_LOW if stat <= ADF_MEET else ADF_HIGH
+    return NormalDist().cdf(sum(c * stat**i for i, c in enumerate(surface)))
+
+
 def adf(x: np.ndarray) -> tuple[float, float]:
-    """(statistic, p) with a constant; the number of lags has the least AIC. p is read off the critical values."""
+    """(statistic, p) with a constant; the number of lags has the least AIC."""
     n = len(x)
     dx, most = np.diff(x), int(np.ceil(12 * (n / 100) ** 0.25))
     most = max(0, min(most, n // 2 - 2))
@@ -30,10 +47,7 @@ def adf(x: np.ndarray) -> tuple[float, float]:
     lags = min(range(most + 1), key=aic)
     coef, error, _ = ols(design(lags, lags), dx[lags:])
     stat = float(coef[1] / error[1]) if error[1] > 0 else 0.0
-    m = len(dx) - lags
-    points = [(b + c / m + d / m**2, p) for p, b, c, d in ADF_LEVELS]
-    values, ps = [-8.0, *(v for v, _ in points), -1.0, 1.0], [1e-6, *(p for _, p in points), 0.75, 0.99]
-    return stat, float(np.interp(stat, values, ps))
+    return stat, adf_p(stat)
 
 
 def kpss(x: np.ndarray) -> tuple[float, float]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelflow.operators import discovery, pairs, panel, varmodels
+from panelflow.operators import discovery, gram, pairs, panel, varmodels
 from panelflow.plans.base import CORR, EDGES, PSI, SLOPE, H, K, draws_sql, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, returns, sql_r, with_
 from panelflow.plans.panels import _FEATURES, _REGIMES, market_regimes
+from panelflow.sources import store
 
 P1 = [*panel_sql(), pair_sql(1)]
 GRAPH = [*P1, EDGES]
@@ -165,7 +166,11 @@ def te_of_followers(spark, sf_dir):
     return discovery.entropy_matrix(full_panel(spark, sf_dir), [1], K, H, noise=0.0, targets=["RF", "RO"]).withColumn("te", r("te"))
 
 
-@query(with_(*panel_sql(), _FEATURES, _REGIMES, "big AS (SELECT regime FROM regimes GROUP BY regime HAVING count(*) >= 60), parted AS (SELECT regime || ':' || series AS series, panel.bar, ret FROM panel JOIN regimes ON panel.bar = regimes.bar WHERE regime IN (SELECT regime FROM big))", *entropy_sql([1], "parted"), last=f"SELECT split_part(source, ':', 1)::INT AS regime, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, lag, {sql_r('te')} AS te FROM te"))
+#: The panel with each regime's series apart, of regimes with enough bars.
+PARTED = "big AS (SELECT regime FROM regimes GROUP BY regime HAVING count(*) >= 60), parted AS (SELECT regime || ':' || series AS series, panel.bar, ret FROM panel JOIN regimes ON panel.bar = regimes.bar WHERE regime IN (SELECT regime FROM big))"
+
+
+@query(with_(*panel_sql(), _FEATURES, _REGIMES, PARTED, *entropy_sql([1], "parted"), last=f"SELECT split_part(source, ':', 1)::INT AS regime, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, lag, {sql_r('te')} AS te FROM te"))
 def te_by_regime(spark, sf_dir):
     rows = full_panel(spark, sf_dir)
     out = discovery.regime_entropy(rows, market_regimes(rows), [1], 60, k=K, history=H, noise=0.0)
@@ -233,15 +238,38 @@ def te_shuffled(spark, sf_dir):
 
 @query()
 def lasso_var(spark, sf_dir):
-    return varmodels.lasso_var(full_panel(spark, sf_dir), lags=3)
+    return varmodels.lasso_var(full_panel(spark, sf_dir), lags=5)
 
 
 @query()
 def lasso_ahead(spark, sf_dir):
     rows = full_panel(spark, sf_dir)
-    return varmodels.lasso_forecast(rows, varmodels.lasso_var(rows, lags=3), 5)
+    return varmodels.lasso_forecast(rows, varmodels.lasso_var(rows, lags=5), 5)
 
 
 @query()
 def lasso_lead_matrix(spark, sf_dir):
-    return varmodels.lead_matrix(varmodels.lasso_var(full_panel(spark, sf_dir), lags=3))
+    return varmodels.lead_matrix(varmodels.lasso_var(full_panel(spark, sf_dir), lags=5))
+
+
+_LAGGED = """places AS (SELECT bar, row_number() OVER (ORDER BY bar) - 1 AS pos FROM (SELECT DISTINCT bar FROM panel)),
+placed AS (SELECT series, pos, ret FROM panel p JOIN places ON places.bar = p.bar),
+cells AS (SELECT t.pos AS bar, k || ':' || s.series AS name, s.ret AS v FROM places t CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS l(k) JOIN placed s ON s.pos = t.pos - k WHERE t.pos >= 5 UNION ALL SELECT pos, '1', 1.0 FROM places WHERE pos >= 5)"""
+
+
+@query(with_(*panel_sql(), _LAGGED, last=f"SELECT a.name AS a, b.name AS b, {sql_r('sum(a.v * b.v)')} AS value FROM cells a JOIN cells b ON a.bar = b.bar GROUP BY a.name, b.name"))
+def var_gram(spark, sf_dir):
+    """What the sparse autoregressions see: the sums of products of all series and their lags."""
+    return gram.gram_cells(gram.gram(full_panel(spark, sf_dir), 5)).withColumn("value", r("value"))
+
+
+_BETAS = ", ".join(f"b{k} AS (SELECT a.series AS source, b.series AS target, {k} AS lag, coalesce({SLOPE}, 0.0) AS coef FROM (SELECT series, bar, ret AS l FROM panel) a JOIN (SELECT series, bar, ret AS f FROM panel) b ON a.bar + {k} = b.bar AND a.series <> b.series GROUP BY ALL)" for k in (1, 2, 3))
+
+
+@query(with_(*panel_sql(), _BETAS, last=f"SELECT source, target, {sql_r('sum(abs(coef)) / 3')} AS lead FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3) GROUP BY source, target"))
+def lead_matrix_of_betas(spark, sf_dir):
+    """The lead matrix of a written table of coefficients: slopes at three lags."""
+    rows = full_panel(spark, sf_dir)
+    parts = [pairs.regression(rows, k, 0).select("source", "target", F.lit(k).alias("lag"), F.coalesce("beta", F.lit(0.0)).alias("coef")) for k in (1, 2, 3)]
+    kept = store.kept(parts[0].union(parts[1]).union(parts[2]), store.scratch(spark), "coefficients")
+    return varmodels.lead_matrix(kept).withColumn("lead", r("lead"))

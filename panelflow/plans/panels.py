@@ -6,19 +6,29 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.columns import by, full, ratio, rolling
-from panelflow.operators import panel, robustness
+from panelflow.operators import pairs, panel, regimes, robustness
 from panelflow.plans.base import BARS, full_panel, levels, panel_sql, query, r, returns, sql_r, with_
-from panelflow.sources import adapters, store, universe
+from panelflow.sources import store, universe
 from panelflow.sources.adapters import LEVELS_SQL
 
 W = "weekly_lineitem"
 
 
-@query("""SELECT * FROM (VALUES ('AF', 'log_return'), ('AO', 'log_return'), ('NF', 'log_return'), ('NO', 'log_return'), ('RF', 'log_return'), ('RO', 'log_return'),
-('AUTOMOBILE', 'log_return'), ('BUILDING', 'log_return'), ('FURNITURE', 'log_return'), ('HOUSEHOLD', 'log_return'), ('MACHINERY', 'log_return'),
-('disc_A', 'diff'), ('disc_N', 'diff'), ('disc_R', 'diff')) AS t(series, transform)""")
+_CATALOG = [W, "weekly_orders", "monthly_discount"]
+
+
+def catalog(spark, sf_dir):
+    """The universe of three panels' series."""
+    rows = [levels(spark, sf_dir, name).select("cls", "series", "ts", "level") for name in _CATALOG]
+    return universe.derived(rows[0].union(rows[1]).union(rows[2]), frequencies={"lineitem": "weekly", "orders": "weekly", "macro": "monthly"})
+
+
+_UNIVERSE = [LEVELS_SQL[name].replace("levels AS", f"l{i} AS", 1) for i, name in enumerate(_CATALOG)]
+
+
+@query(with_(*_UNIVERSE, last="SELECT DISTINCT series, CASE WHEN cls = 'macro' THEN 'diff' ELSE 'log_return' END AS transform FROM (SELECT cls, series FROM l0 UNION ALL SELECT cls, series FROM l1 UNION ALL SELECT cls, series FROM l2)"))
 def universe_transforms(spark, sf_dir):
-    return universe.transforms(universe.demo(spark))
+    return universe.transforms(catalog(spark, sf_dir))
 
 
 @query(with_(LEVELS_SQL[W], last=f"SELECT cls, series, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS first_ts, strftime(max(ts), '%Y-%m-%d') AS last_ts, {sql_r('avg(level)', 4)} AS mean_level FROM levels GROUP BY cls, series"))
@@ -29,32 +39,40 @@ def level_scan(spark, sf_dir):
 
 @query(with_(LEVELS_SQL[W], last=f"SELECT cls, series, ts, {sql_r('level', 7)} AS level FROM levels"))
 def cached_levels(spark, sf_dir):
-    """Levels fetched once, kept by class, and read back from the cache by a second fetch and a scan."""
+    """Levels fetched at once, kept by class, and read back from the cache by a second fetch and a scan."""
     folder = store.scratch(spark)
-    names = [r_[0] for r_ in adapters.LEVELS[W](spark, sf_dir).select("series").distinct().orderBy("series").collect()]  # the catalog's series
-    catalog = spark.createDataFrame([(n, "lineitem", None, "table", n, "log_return", "weekly") for n in names], universe.SCHEMA)
-    source = {"table": lambda s, key: adapters.LEVELS[W](s, sf_dir).where(F.col("series") == key)}
-    store.fetch(spark, catalog, folder, source)
-    store.fetch(spark, catalog, folder, {})  # nothing is left to fetch
+    rows = levels(spark, sf_dir)
+    source = store.AtOnce(lambda s, keys: rows.where(F.col("series").isin(keys)).select(F.col("series").alias("source_key"), "ts", "level"))
+    listed = universe.derived(rows)
+    store.fetch(spark, listed, folder, {"table": source})
+    store.fetch(spark, listed, folder, {})  # nothing is left to fetch
     return store.cached_scan(spark, folder).select("cls", "series", "ts", r("level", 7).alias("level"))
 
 
-@query("SELECT unnest([1, 2, 5])::INT AS lag")
+_PAIR_LAGS = "edges AS (SELECT a.series AS source, b.series AS target, lag FROM (SELECT DISTINCT series FROM panel) a JOIN (SELECT DISTINCT series FROM panel) b ON a.series <> b.series CROSS JOIN (VALUES (1), (2), (5)) AS l(lag))"
+
+
+def _kept_matrices(spark, sf_dir, path):
+    """The panel's lagged correlations, kept by lag."""
+    found = pairs.lagged_correlation(full_panel(spark, sf_dir), [1, 5, 2]).select("source", "target", "lag", "corr")
+    store.save_matrices(found, path)
+
+
+@query(with_(*panel_sql(), _PAIR_LAGS, last="SELECT DISTINCT lag::INT AS lag FROM edges"))
 def artefact_lags(spark, sf_dir):
-    """The lags whose matrices a folder holds, as saved."""
-    folder = f"{store.scratch(spark)}/te_matrix"
-    made = store.demo_matrix(spark)
-    store.save_matrices(made.withColumn("lag", F.explode(F.array(F.lit(1), F.lit(5), F.lit(2)))), folder)
+    """The lags whose matrices a folder holds, as the panel's own pairs were saved there."""
+    folder = f"{store.scratch(spark)}/matrix"
+    _kept_matrices(spark, sf_dir, folder)
     return store.matrix_lags(spark, folder)
 
 
-@query("SELECT 'absent' AS kind, 0::BIGINT AS n UNION ALL SELECT 'kept', 56::BIGINT")
+@query(with_(*panel_sql(), _PAIR_LAGS, last="SELECT 'absent' AS kind, 0::BIGINT AS n UNION ALL SELECT 'kept', count(*) FROM edges"))
 def optional_scan(spark, sf_dir):
     """An artefact that isn't there has no rows; one that is has its own."""
     folder = store.scratch(spark)
-    ddl = "source string, target string, lag int, te double"
+    ddl = "source string, target string, corr double, lag int"
     absent = store.optional(spark, f"{folder}/absent", ddl)
-    store.demo_matrix(spark).write.mode("overwrite").parquet(f"{folder}/kept")
+    _kept_matrices(spark, sf_dir, f"{folder}/kept")
     kept = store.optional(spark, f"{folder}/kept", ddl)
     count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return count(absent, "absent").union(count(kept, "kept"))
@@ -106,7 +124,7 @@ def observed_returns(spark, sf_dir):
 @query(with_(LEVELS_SQL["monthly_discount"], BARS, last=f"SELECT series, bar, {sql_r('ret')} AS ret FROM (SELECT series, bar, level - lag(level) OVER (PARTITION BY series ORDER BY bar) AS ret FROM levels JOIN bars ON levels.ts = bars.ts) WHERE ret IS NOT NULL"))
 def difference_returns(spark, sf_dir):
     rows = levels(spark, sf_dir, "monthly_discount")
-    out = panel.observed_returns(rows, panel.observed_calendar(rows), universe.transforms(universe.demo(spark)))
+    out = panel.observed_returns(rows, panel.observed_calendar(rows), universe.transforms(catalog(spark, sf_dir)))
     return out.select("series", "bar", r("ret").alias("ret"))
 
 
@@ -185,6 +203,25 @@ def regime_features(spark, sf_dir):
     return features(full_panel(spark, sf_dir)).select("series", "bar", r("zvol", 6).alias("zvol"), r("zmean", 6).alias("zmean"))
 
 
+#: Roles played by the adapter's series: a first choice that isn't there, and one that nobody plays.
+_ROLES = [("equity_vol", ["AF"], "volatility"), ("credit_stress", ["XX", "NO", "AO"], "mean"), ("curve_slope", ["XY"], "mean"), ("fear", ["RO"], "mean")]
+_NAMED = f"""cast_ AS (SELECT * FROM (VALUES ('equity_vol', 'AF', 1), ('credit_stress', 'XX', 0), ('credit_stress', 'NO', 0), ('credit_stress', 'AO', 0), ('curve_slope', 'XY', 0), ('fear', 'RO', 0)) AS t(feature, series, vol)),
+there AS (SELECT feature, series, vol, row_number() OVER (PARTITION BY feature ORDER BY series = 'NO' DESC) AS k FROM cast_ WHERE series IN (SELECT series FROM panel)),
+nf AS (SELECT feature, bar, count(*) OVER w AS n, CASE WHEN vol = 1 THEN stddev_samp(ret) OVER w * sqrt(252.0) ELSE avg(ret) OVER w END AS value FROM panel JOIN there ON there.series = panel.series AND k = 1 WINDOW w AS (PARTITION BY feature ORDER BY bar ROWS 20 PRECEDING)),
+whole AS (SELECT * FROM nf WHERE n = 21 AND bar IN (SELECT bar FROM nf WHERE n = 21 GROUP BY bar HAVING count(*) = (SELECT count(DISTINCT feature) FROM there))),
+named AS (SELECT bar, feature, CASE WHEN s > 0 THEN (value - m) / s ELSE value END AS value FROM (SELECT *, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s FROM whole WINDOW p AS (PARTITION BY feature)))"""
+
+
+def named_features(rows):
+    """(bar, feature, value): the features of the series' roles."""
+    return regimes.regime_features(rows, _ROLES)
+
+
+@query(with_(*panel_sql(), _NAMED, last=f"SELECT bar, feature, {sql_r('value', 6)} AS value FROM named"))
+def named_regime_features(spark, sf_dir):
+    return named_features(full_panel(spark, sf_dir)).withColumn("value", r("value", 6))
+
+
 _REGIMES = "mkt AS (SELECT bar, avg(zvol) AS v FROM z GROUP BY bar), regimes AS (SELECT bar, CASE WHEN v > 0.5 THEN 1 ELSE 0 END AS regime, 1 / (1 + exp(-v)) AS p FROM mkt)"
 
 

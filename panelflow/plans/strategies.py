@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import expected_max_sharpe
-from panelflow.operators import backtest, cv, monitor, neural, pairs, portfolio, robustness, signals, unitroot, varmodels
+from panelflow.operators import backtest, chains, cv, discovery, monitor, neural, pairs, portfolio, robustness, signals, unitroot, varmodels
 from panelflow.plans.base import CORR, EDGES, SLOPE, H, K, edges, entropy_sql, full_panel, pair_sql, panel_sql, query, r, sql_r, with_
-from panelflow.plans.graphs import _DECAYED, _HITS, _SIGMA, _decay
-from panelflow.plans.panels import _FEATURES, _REGIMES, features, market_regimes
+from panelflow.plans.graphs import _DECAYED, _HITS, _SIGMA, PARTED, _decay
+from panelflow.plans.panels import _FEATURES, _REGIMES, market_regimes, named_features
+from panelflow.sources import store
+from panelflow.sources.adapters import table
 
 P1 = [*panel_sql(), pair_sql(1)]
 GRAPH = [*P1, EDGES]
@@ -23,32 +25,50 @@ def latest(rows):
     return rows.join(F.broadcast(rows.agg(F.max("bar").alias("m"))), F.col("bar") == F.col("m")).select("series", "ret")
 
 
-_SIGNALS = f"""coefs AS (SELECT source, target, coalesce({SLOPE}, 0.0) AS coefficient FROM pairs GROUP BY source, target),
-signals AS (SELECT e.source AS leader, e.target AS follower, e.lag, e.te AS te_score, c.coefficient, l.ret AS leader_return, c.coefficient * l.ret AS raw_signal, 1 / (1 + exp(-10 * e.te)) AS confidence
-FROM edges e JOIN coefs c ON c.source = e.source AND c.target = e.target JOIN latest l ON l.series = e.source WHERE e.te >= 0.01 ORDER BY e.te DESC, e.source, e.target LIMIT 12)"""
+_NOW = "now_ AS (SELECT regime FROM regimes ORDER BY bar DESC LIMIT 1)"
+_BY_REGIME = [_FEATURES, _REGIMES, _NOW]
+_SIGNALS = f"""coefs AS (SELECT source, target, coalesce({SLOPE}, 0.0) AS coefficient FROM pairs JOIN regimes USING (bar) WHERE regime = (SELECT regime FROM now_) GROUP BY source, target),
+signals AS (SELECT e.source AS leader, e.target AS follower, e.lag, e.te AS te_score, coalesce(c.coefficient, 0.0) AS coefficient, l.ret AS leader_return, coalesce(c.coefficient, 0.0) * l.ret AS raw_signal, 1 / (1 + exp(-10 * e.te)) AS confidence
+FROM edges e LEFT JOIN coefs c ON c.source = e.source AND c.target = e.target JOIN latest l ON l.series = e.source WHERE e.te >= 0.01 ORDER BY e.te DESC, e.source, e.target LIMIT 12)"""
+
+
+def current_regime(rows) -> int:
+    """The regime of the last bar: one number."""
+    last = market_regimes(rows).agg(F.max_by("regime", "bar")).first()[0]
+    return 0 if last is None else int(last)
 
 
 def _signals(spark, sf_dir):
     rows = full_panel(spark, sf_dir)
-    coefficients = pairs.regression(rows, 1, 0).select(F.lit(0).alias("regime"), "source", "target", F.coalesce("beta", F.lit(0.0)).alias("coefficient"))
-    return signals.generate(edges(spark, sf_dir), coefficients, latest(rows), regime=1, threshold=0.01, top=12)
+    coefficients = pairs.regime_regression(rows, market_regimes(rows), 1, 0).select("regime", "source", "target", F.coalesce("beta", F.lit(0.0)).alias("coefficient"))
+    return signals.generate(edges(spark, sf_dir), coefficients, latest(rows), regime=current_regime(rows), threshold=0.01, top=12)
 
 
-@query(with_(*GRAPH, _LATEST, _SIGNALS, last=f"SELECT leader, follower, lag, {sql_r('te_score')} AS te_score, 1 AS regime, {sql_r('coefficient')} AS coefficient, {sql_r('leader_return')} AS leader_return, {sql_r('raw_signal')} AS raw_signal, {sql_r('confidence')} AS confidence FROM signals"))
+@query(with_(*GRAPH, _LATEST, *_BY_REGIME, _SIGNALS, last=f"SELECT leader, follower, lag, {sql_r('te_score')} AS te_score, (SELECT regime FROM now_) AS regime, {sql_r('coefficient')} AS coefficient, {sql_r('leader_return')} AS leader_return, {sql_r('raw_signal')} AS raw_signal, {sql_r('confidence')} AS confidence FROM signals"))
 def lead_signals(spark, sf_dir):
     return _signals(spark, sf_dir).withColumns({c: r(c) for c in ("te_score", "coefficient", "leader_return", "raw_signal", "confidence")})
 
 
-@query(with_(*GRAPH, _LATEST, _SIGNALS, "w AS (SELECT *, te_score / sum(te_score) OVER (PARTITION BY follower) AS w FROM signals)", last=f"SELECT follower, {sql_r('sum(w * raw_signal)')} AS expected_return, {sql_r('sum(w * confidence)')} AS confidence, arg_min(leader, (-w, leader)) AS dominant_leader, string_agg(leader, ',' ORDER BY leader) AS leaders FROM w GROUP BY follower"))
+@query(with_(*GRAPH, _LATEST, *_BY_REGIME, _SIGNALS, "w AS (SELECT *, te_score / sum(te_score) OVER (PARTITION BY follower) AS w FROM signals)", last=f"SELECT follower, {sql_r('sum(w * raw_signal)')} AS expected_return, {sql_r('sum(w * confidence)')} AS confidence, arg_min(leader, (-w, leader)) AS dominant_leader, string_agg(leader, ',' ORDER BY leader) AS leaders FROM w GROUP BY follower"))
 def model_average(spark, sf_dir):
     out = signals.averaged(_signals(spark, sf_dir))
     return out.select("follower", r("expected_return").alias("expected_return"), r("confidence").alias("confidence"), "dominant_leader", F.array_join("leaders.name", ",").alias("leaders"))
 
 
-@query(with_(*GRAPH, "top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY te DESC, source) AS k FROM edges WHERE te >= 0.01)", last=f"SELECT target AS follower, source AS leader, {sql_r('te / sum(te) OVER (PARTITION BY target)')} AS weight FROM top WHERE k <= 3"))
+@query(
+    with_(
+        *panel_sql(), *_BY_REGIME, PARTED, *entropy_sql([1], "parted"),
+        "by_regime AS (SELECT split_part(source, ':', 1)::INT AS regime, split_part(source, ':', 2) AS source, split_part(target, ':', 2) AS target, te FROM te)",
+        "chosen AS (SELECT coalesce(max(CASE WHEN regime = (SELECT regime FROM now_) THEN regime END), max(CASE WHEN regime = 0 THEN regime END)) AS r FROM by_regime)",
+        "top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY te DESC, source) AS k FROM by_regime WHERE te >= 0.01 AND regime = (SELECT r FROM chosen))",
+        last=f"SELECT target AS follower, source AS leader, {sql_r('te / sum(te) OVER (PARTITION BY target)')} AS weight FROM top WHERE k <= 3",
+    )
+)
 def regime_weights(spark, sf_dir):
-    by_regime = edges(spark, sf_dir).withColumn("regime", F.lit(0))
-    return signals.regime_weights(by_regime, 1, 0).withColumn("weight", r("weight"))
+    """Leaders by the entropies of the current regime's bars; of regime 0's where the current one has too few."""
+    rows = full_panel(spark, sf_dir)
+    by_regime = discovery.regime_entropy(rows, market_regimes(rows), [1], 60, k=K, history=H, noise=0.0)
+    return signals.regime_weights(by_regime, current_regime(rows), 0).withColumn("weight", r("weight"))
 
 
 #: Stand-in markets of the adapters' series, one of each kind; RO is of none that is known.
@@ -77,12 +97,20 @@ def timing_class(spark, sf_dir):
 _KNOWN = [(s, m) for m, names in signals.MARKETS.items() for s in names.split()]
 
 
-@query(f"SELECT a.s AS source, b.s AS target, {_TIMING} AS timing FROM (SELECT s, m AS lm FROM (VALUES {', '.join(map(str, [*_KNOWN, ('NEW', 'other')]))}) AS t(s, m)) a JOIN (SELECT s, m AS fm FROM (VALUES {', '.join(map(str, [*_KNOWN, ('NEW', 'other')]))}) AS t(s, m)) b ON a.s <> b.s")
+_TICKERS = [s for s, _ in _KNOWN] + ["NEW"]
+_LISTED = f"""listed AS (SELECT DISTINCT p_size AS size, ([{', '.join(repr(s) for s in _TICKERS)}])[p_size % {len(_TICKERS)} + 1] AS ticker FROM part),
+known AS (SELECT size, ticker, coalesce(m, 'other') AS market FROM listed LEFT JOIN (VALUES {', '.join(map(str, _KNOWN))}) AS t(s, m) ON s = ticker)"""
+
+
+@query(with_(_LISTED, last=f"SELECT source, target, ls, fs, {_TIMING} AS timing FROM (SELECT a.ticker AS source, b.ticker AS target, a.size AS ls, b.size AS fs, a.market AS lm, b.market AS fm FROM known a JOIN known b ON a.size <> b.size)"))
 def market_timing(spark, sf_dir):
-    """The rule for every two series whose market is known, and for one that isn't."""
-    names = spark.createDataFrame([(s,) for s, _ in [*_KNOWN, ("NEW", "")]], "s string")
-    rows = names.select(F.col("s").alias("source")).join(names.select(F.col("s").alias("target")), F.col("source") != F.col("target"))
-    return rows.select("source", "target", signals.timing(signals.market_of(F.col("source")), signals.market_of(F.col("target"))).alias("timing"))
+    """The rule for every two sizes of part, which stand for series of known markets and for one that isn't."""
+    ticker = F.element_at(F.array(*map(F.lit, _TICKERS)), (F.col("p_size") % len(_TICKERS) + 1).cast("int"))
+    listed = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), ticker.alias("ticker")).distinct()
+    left = listed.select(F.col("ticker").alias("source"), F.col("size").alias("ls"))
+    right = listed.select(F.col("ticker").alias("target"), F.col("size").alias("fs"))
+    rows = left.join(right, F.col("ls") != F.col("fs"))
+    return rows.select("source", "target", "ls", "fs", signals.timing(signals.market_of(F.col("source")), signals.market_of(F.col("target"))).alias("timing"))
 
 
 def _split_sql(name: str, condition: str) -> str:
@@ -162,21 +190,25 @@ def kelly(spark, sf_dir):
 
 # -- folds ----------------------------------------------------------------------------------------
 
-N_FOLD = 300
+_PLACES = "bars_ AS (SELECT bar, row_number() OVER (ORDER BY bar) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT bar FROM panel))"
 
 
 def _bounds_sql(groups: int) -> str:
-    return f"g AS (SELECT i AS grp, ({N_FOLD} * i // {groups})::BIGINT AS a, ({N_FOLD} * (i + 1) // {groups})::BIGINT AS b FROM range({groups}) t(i))"
+    return f"g AS (SELECT i AS grp, (n * i // {groups})::BIGINT AS a, (n * (i + 1) // {groups})::BIGINT AS b FROM range({groups}) t(i) CROSS JOIN (SELECT count(*) AS n FROM bars_))"
 
 
-@query(with_(_bounds_sql(5), "bars AS (SELECT range AS bar FROM range(300))", last="SELECT grp::INT AS fold, bar, CASE WHEN bar >= a AND bar < b THEN 'test' ELSE 'train' END AS role FROM g CROSS JOIN bars WHERE (bar >= a AND bar < b) OR bar < a - 2 OR bar >= b + 2 + 3"))
+@query(with_(*panel_sql(), _PLACES, _bounds_sql(5), last="SELECT grp::INT AS fold, bar, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM g CROSS JOIN bars_ WHERE (pos >= a AND pos < b) OR pos < a - 2 OR pos >= b + 2 + 3"))
 def purged_folds(spark, sf_dir):
-    return cv.purged_folds(spark, N_FOLD, 5, 2, 3)
+    return cv.fold_roles(full_panel(spark, sf_dir), 5, 1, 2, 3)
+
 
+_CHOICES = """f AS (SELECT row_number() OVER (ORDER BY x.grp, y.grp) - 1 AS fold, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM g x JOIN g y ON x.grp < y.grp),
+m AS (SELECT fold, bar, (pos >= a1 AND pos < b1) OR (pos >= a2 AND pos < b2) AS t, (pos >= a1 - 1 AND pos < b1 + 2) OR (pos >= a2 - 1 AND pos < b2 + 2) AS near FROM f CROSS JOIN bars_)"""
 
-@query(with_(_bounds_sql(6), "bars AS (SELECT range AS bar FROM range(300))", "f AS (SELECT row_number() OVER (ORDER BY x.grp, y.grp) - 1 AS fold, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM g x JOIN g y ON x.grp < y.grp)", "m AS (SELECT fold, bar, (bar >= a1 AND bar < b1) OR (bar >= a2 AND bar < b2) AS t, (bar >= a1 - 1 AND bar < b1 + 2) OR (bar >= a2 - 1 AND bar < b2 + 2) AS near FROM f CROSS JOIN bars)", last="SELECT fold::INT AS fold, bar, CASE WHEN t THEN 'test' ELSE 'train' END AS role FROM m WHERE t OR NOT near"))
+
+@query(with_(*panel_sql(), _PLACES, _bounds_sql(6), _CHOICES, last="SELECT fold::INT AS fold, bar, CASE WHEN t THEN 'test' ELSE 'train' END AS role FROM m WHERE t OR NOT near"))
 def cpcv_folds(spark, sf_dir):
-    return cv.combinatorial_folds(spark, N_FOLD, 6, 2, 1, 1)
+    return cv.fold_roles(full_panel(spark, sf_dir), 6, 2, 1, 1)
 
 
 # -- backtests ------------------------------------------------------------------------------------
@@ -311,9 +343,14 @@ def sharpe_ci(spark, sf_dir):
     return robustness.sharpe_intervals(_book(spark, sf_dir)[2].withColumn("strategy", F.lit("inverse_vol")))
 
 
-@query(f"SELECT n::INT AS trials, (round(v, 8) + 0.0) AS expected FROM (VALUES {', '.join(f'({n}, {expected_max_sharpe(n)!r}::DOUBLE)' for n in (1, 2, 10, 100))}) AS t(n, v)")
+_SIZES = ", ".join(f"({n}, {expected_max_sharpe(n)!r}::DOUBLE)" for n in range(1, 51))
+
+
+@query(f"SELECT brand, trials::INT AS trials, {sql_r('v')} AS expected FROM (SELECT p_brand AS brand, count(DISTINCT p_size) AS trials FROM part GROUP BY p_brand) JOIN (VALUES {_SIZES}) AS t(n, v) ON n = trials")
 def expected_max(spark, sf_dir):
-    return spark.createDataFrame([(n, expected_max_sharpe(n)) for n in (1, 2, 10, 100)], "trials int, expected double").withColumn("expected", r("expected"))
+    """What the best of as many trials as a brand has sizes would show by luck."""
+    trials = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count_distinct("p_size").cast("int").alias("trials"))
+    return robustness.expected_best(trials).withColumn("expected", r("expected"))
 
 
 # trials: momentum of several look-backs
@@ -440,14 +477,18 @@ def adf_kpss(spark, sf_dir):
     return unitroot.stationarity(full_panel(spark, sf_dir))
 
 
+#: Bars of a block in these queries: their panels lie in several.
+BLOCK_BARS = 64
+
+
 def _features(spark, sf_dir):
-    rows = features(full_panel(spark, sf_dir)).groupBy("bar").agg(F.avg("zvol").alias("vol"), F.avg("zmean").alias("mean"))
-    return rows.unpivot(["bar"], ["vol", "mean"], "feature", "value").withColumn("panel", F.lit("market"))
+    rows = named_features(full_panel(spark, sf_dir)).withColumn("panel", F.lit("market"))
+    return store.kept(rows, store.scratch(spark), "features")  # a row for each bar and role, read many times
 
 
 @query()
 def hmm_regimes(spark, sf_dir):
-    return varmodels.hmm_regimes(_features(spark, sf_dir))
+    return varmodels.hmm_regimes(_features(spark, sf_dir), block_bars=BLOCK_BARS)
 
 
 @query()
@@ -457,24 +498,36 @@ def hmm_new_rows(spark, sf_dir):
     last = rows.agg(F.max("bar").alias("last"))
     new = F.col("bar") > F.col("last") - 40
     both = rows.crossJoin(F.broadcast(last))
-    return varmodels.predicted_regimes(both.where(~new).drop("last"), both.where(new).drop("last"))
+    return varmodels.predicted_regimes(both.where(~new).drop("last"), both.where(new).drop("last"), block_bars=BLOCK_BARS)
 
 
 @query()
 def msvar_ahead(spark, sf_dir):
-    return varmodels.switching_forecast(full_panel(spark, sf_dir).withColumn("panel", F.lit("all")), 5, max_iter=20)
+    return varmodels.switching_forecast(full_panel(spark, sf_dir).withColumn("panel", F.lit("all")), 5, max_iter=20, block_bars=BLOCK_BARS)
 
 
 @query()
 def msvar_probs(spark, sf_dir):
     rows = full_panel(spark, sf_dir).withColumn("panel", F.lit("all"))
-    return varmodels.switching_var(rows, max_iter=20)
+    return varmodels.switching_var(rows, max_iter=20, block_bars=BLOCK_BARS)
 
 
 @query()
 def msvar_coefficients(spark, sf_dir):
     rows = full_panel(spark, sf_dir).withColumn("panel", F.lit("all"))
-    return varmodels.switching_coefficients(rows, max_iter=20)
+    return varmodels.switching_coefficients(rows, max_iter=20, block_bars=BLOCK_BARS)
+
+
+_MOMENTS_SQL = """places AS (SELECT bar, row_number() OVER (ORDER BY bar) - 1 AS pos FROM (SELECT DISTINCT bar FROM panel)),
+placed AS (SELECT series, p.bar, pos, ret FROM panel p JOIN places ON places.bar = p.bar),
+cells AS (SELECT t.bar, k || ':' || s.series AS name, s.ret AS v FROM places t CROSS JOIN (VALUES (0), (1), (2)) AS l(k) JOIN placed s ON s.pos = t.pos - k WHERE t.pos >= 2 UNION ALL SELECT bar, '1', 1.0 FROM places WHERE pos >= 2)"""
+
+
+@query(with_(*panel_sql(), _FEATURES, _REGIMES, _MOMENTS_SQL, last=f"SELECT regime, a.name AS a, b.name AS b, {sql_r('sum(a.v * b.v)')} AS value FROM cells a JOIN cells b ON a.bar = b.bar JOIN regimes ON regimes.bar = a.bar GROUP BY regime, a.name, b.name"))
+def msvar_moments(spark, sf_dir):
+    """What the maximisation sees: each regime's sums of products of the constant, the series and their lags."""
+    rows = full_panel(spark, sf_dir)
+    return chains.regime_moments(rows, market_regimes(rows), 2, BLOCK_BARS).withColumn("value", r("value"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,27 +48,44 @@ def cached_scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LEVELS).parquet(folder)
 
 
+@dataclass(frozen=True)
+class AtOnce:
+    """A source that is read once for many keys."""
+
+    fetch: Callable[[SparkSession, list[str]], DataFrame]
+
+
 def fetch(spark: SparkSession, universe: DataFrame, folder: str, sources: dict[str, Callable], keys: frozenset[str] = frozenset(), refresh: bool = False) -> DataFrame:
     """Levels of every class: the folder's where it has the class, else fetched and kept.
 
-    sources: name -> function (spark, source_key) giving (ts, level). A series that can't be
-    fetched, or whose source isn't among `keys`, is logged and left out.
+    sources: name -> function (spark, source_key) giving (ts, level), or AtOnce(function (spark,
+    source_keys) giving (source_key, ts, level)), which gets all keys of a class in one call. A series
+    that can't be fetched, or whose source isn't among `keys`, is logged and left out.
     """
     rows = universe.select("cls", "series", "source", "source_key").collect()  # a catalog row for each series
     out = spark.createDataFrame([], LEVELS)
     for cls in sorted({r["cls"] for r in rows}):
         path = f"{folder}/cls={cls}"
         if refresh or not exists(spark, path):
-            parts = []
+            parts, together = [], {}
             for r in (r for r in rows if r["cls"] == cls):
                 if r["source"] not in sources or (keys and r["source"] not in keys):
                     log.warning("%s: no source %s", r["series"], r["source"])
                     continue
+                if isinstance(sources[r["source"]], AtOnce):
+                    together.setdefault(r["source"], []).append((r["source_key"], r["series"]))
+                    continue
                 try:
                     got = sources[r["source"]](spark, r["source_key"]).select("ts", "level")
                     parts.append(got.withColumn("series", F.lit(r["series"])).select("series", "ts", "level"))
                 except Exception as error:  # one series' failure leaves the others
                     log.warning("%s: %s", r["series"], error)
+            for source, names in together.items():
+                try:
+                    named = spark.createDataFrame(names, "source_key string, series string")
+                    parts.append(sources[source].fetch(spark, [k for k, _ in names]).join(named, "source_key").select("series", "ts", "level"))
+                except Exception as error:
+                    log.warning("%s of %s: %s", source, cls, error)
             if not parts:
                 continue
             whole = parts[0]

@@ -41,6 +41,16 @@ def demo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(flags + segments + rates, SCHEMA)
 
 
+def derived(levels: DataFrame, source: str = "table", differenced: tuple[str, ...] = ("macro",), frequencies: dict[str, str] | None = None) -> DataFrame:
+    """The catalog of the series that levels (cls, series, ts, level) hold; classes named as `differenced` have rates."""
+    frequency = F.lit("daily")
+    for cls, name in (frequencies or {}).items():
+        frequency = F.when(F.col("cls") == cls, name).otherwise(frequency)
+    transform = F.when(F.col("cls").isin(*differenced), "diff").otherwise("log_return")
+    rows = levels.select("cls", "series").distinct()
+    return rows.select("series", "cls", F.lit(None).cast("string").alias("subgroup"), F.lit(source).alias("source"), F.col("series").alias("source_key"), transform.alias("transform"), frequency.alias("frequency"))
+
+
 def transforms(universe: DataFrame) -> DataFrame:
     """(series, transform): nested classes and missing names get the log return."""
     nested = F.col("cls").isin(*NESTED)

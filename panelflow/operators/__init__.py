@@ -1,12 +1,15 @@
 """The operators, by what they are about; the names most often used."""
 
 from panelflow.operators.backtest import cost_sweep, inverse_vol_weights, lead_weights, metrics, refresh_edges, walk_forward
-from panelflow.operators.cv import combinatorial_folds, purged_folds
-from panelflow.operators.discovery import best_lag, bootstrap_significance, effective_entropy, entropy_decay, entropy_matrix, information_matrix, lagged_information, mutual_information, regime_entropy, significance, surrogate_significance, transfer_entropy, variable_lags
+from panelflow.operators.cv import combinatorial_folds, fold_roles, purged_folds
+from panelflow.operators.discovery import best_lag, bootstrap_significance, draws, effective_entropy, entropy_decay, entropy_matrix, information_matrix, lagged_information, mutual_information, regime_entropy, significance, surrogate_significance, transfer_entropy, variable_lags
+from panelflow.operators.estimators import LassoVarEstimator, LassoVarModel, RegimeEstimator, RegimeFeatures, RegimeModel
+from panelflow.operators.gram import gram_cells
 from panelflow.operators.monitor import alert_text, breaks, daily_report, regime_changes
 from panelflow.operators.neural import LagAttention, RecurrentNet, attention_edges, neural_granger
 from panelflow.operators.panel import align, covered, filled, observed_returns, winsorize
 from panelflow.operators.portfolio import constrained, inverse_volatility, kelly_weights, risk_parity
+from panelflow.operators.regimes import regime_features
 from panelflow.operators.robustness import deflated, overfitting_probability, sharpe_intervals
 from panelflow.operators.signals import averaged, board, generate, regime_weights
 from panelflow.operators.unitroot import stationarity
@@ -27,12 +30,15 @@ __all__ = [
     "covered",
     "daily_report",
     "deflated",
+    "draws",
     "effective_entropy",
     "entropy_decay",
     "entropy_matrix",
     "filled",
+    "fold_roles",
     "GaussianHmm",
     "generate",
+    "gram_cells",
     "hmm_regimes",
     "information_matrix",
     "inverse_vol_weights",
@@ -42,6 +48,8 @@ __all__ = [
     "lagged_information",
     "lasso_forecast",
     "lasso_var",
+    "LassoVarEstimator",
+    "LassoVarModel",
     "lead_matrix",
     "lead_weights",
     "metrics",
@@ -55,7 +63,11 @@ __all__ = [
     "refresh_edges",
     "regime_changes",
     "regime_entropy",
+    "regime_features",
     "regime_weights",
+    "RegimeEstimator",
+    "RegimeFeatures",
+    "RegimeModel",
     "risk_parity",
     "sharpe_intervals",
     "significance",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.columns import ANNUAL
 from panelflow.functions.numeric import deflated_sharpe, expected_max_sharpe
-from panelflow.functions.prefix import previous, running
+from panelflow.functions.prefix import ordinals, previous, running
 
 
 def overfitting_splits(trials: DataFrame, min_bars: int = 60) -> DataFrame:
@@ -74,23 +76,27 @@ def deflated(stats: DataFrame, trials: int, trial_std: float = 1.0) -> DataFrame
     return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", deflated double, p_value double, benchmark double, passes boolean")
 
 
-def sharpe_interval(returns: np.ndarray, count: int = 1000, level: float = 0.95, seed: int = 0) -> tuple[float, float, float]:
-    """(sharpe, low, high): annualised, by block bootstrap on the blocks' sums alone."""
+def block_size(bars: int) -> int:
+    """Bars of a block of the bootstrap: about the square root of all."""
+    return max(5, round(bars**0.5))
+
+
+def sharpe_interval(returns: np.ndarray, count: int = 1000, level: float = 0.95, seed: int = 0, name: str = "") -> tuple[float, float, float]:
+    """(sharpe, low, high): annualised, by block bootstrap: what sharpe_intervals() spreads over tasks."""
     t = len(returns)
     if t < 30:
         return (float("nan"),) * 3
-    size = max(5, round(t**0.5))
-    starts = np.arange(0, t - size + 1)
-    c1, c2 = np.concatenate([[0], np.cumsum(returns)]), np.concatenate([[0], np.cumsum(returns**2)])
-    s1, s2 = c1[starts + size] - c1[starts], c2[starts + size] - c2[starts]
-    pick = np.random.default_rng(seed).integers(0, len(starts), (count, -(-t // size)))
-    n = pick.shape[1] * size
-    a, b = s1[pick].sum(1), s2[pick].sum(1)
-    sd = np.sqrt(np.maximum((b - a * a / n) / (n - 1), 1e-300))
-    drawn = a / n / sd * ANNUAL**0.5
-    spread = returns.std(ddof=1)
-    own = returns.mean() / spread * ANNUAL**0.5 if spread > 1e-12 else 0.0
-    return float(own), float(np.quantile(drawn, (1 - level) / 2)), float(np.quantile(drawn, (1 + level) / 2))
+    size = block_size(t)
+    blocks = np.asarray(returns, float)[: t // size * size].reshape(-1, size)
+    n, sharpes = blocks.size, []
+    for i in range(count):
+        pick = [int(hashlib.md5(f"{seed}:{name}:{i}:{j}".encode()).hexdigest()[:12], 16) % len(blocks) for j in range(len(blocks))]
+        a, b = blocks[pick].sum(), (blocks[pick] ** 2).sum()
+        sd = np.sqrt(max((b - a * a / n) / (n - 1), 0.0))
+        sharpes.append(a / n / sd * ANNUAL**0.5 if sd > 1e-12 else 0.0)
+    spread = np.std(returns, ddof=1)
+    own = np.mean(returns) / spread * ANNUAL**0.5 if spread > 1e-12 else 0.0
+    return float(own), float(np.quantile(sharpes, (1 - level) / 2)), float(np.quantile(sharpes, (1 + level) / 2))
 
 
 def expected_best(trials: DataFrame, column: str = "trials") -> DataFrame:
@@ -103,14 +109,29 @@ def expected_best(trials: DataFrame, column: str = "trials") -> DataFrame:
     return trials.withColumn("expected", expected(column))
 
 
-def sharpe_intervals(pnl: DataFrame, key: str = "strategy", value: str = "net", count: int = 1000, level: float = 0.95) -> DataFrame:
-    """(key, sharpe, low, high) of each strategy; a strategy's bars are few."""
+def sharpe_intervals(pnl: DataFrame, key: str = "strategy", value: str = "net", count: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(key, sharpe, low, high) of each strategy, annualised; nulls for fewer than 30 bars.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("bar")[value].fillna(0.0).to_numpy(float)
-        return pd.DataFrame([[pdf[key].iloc[0], *sharpe_interval(x, count, level)]], columns=[key, "sharpe", "low", "high"])
-
-    return pnl.groupBy(key).applyInPandas(run, f"{key} {pnl.schema[key].dataType.simpleString()}, sharpe double, low double, high double")
+    Blocks of neighbouring bars are drawn with replacement, as many as there are. A block is known by its
+    sums, so a draw is a join of its numbers with them; the numbers come from a hash of strategy,
+    draw and place, and draws are rows, wherever they are computed.
+    """
+    rows = ordinals(pnl.select(key, "bar", F.coalesce(value, F.lit(0.0)).alias("x")), "bar", (key,), "pos")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("t"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("spread"))
+    sizes = sizes.withColumn("size", F.greatest(F.lit(5), F.bround(F.sqrt("t")).cast("int"))).withColumn("blocks", F.floor(F.col("t") / F.col("size")))
+    sums = rows.join(sizes.select(key, "size", "blocks"), key).withColumn("block", F.floor(F.col("pos") / F.col("size"))).where("block < blocks")
+    sums = sums.groupBy(key, "block").agg(F.sum("x").alias("a"), F.sum(F.col("x") * F.col("x")).alias("b"))
+    drawn = sizes.where("t >= 30").select(key, "size", "blocks", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("draw"))
+    drawn = drawn.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("draw").cast("string"), F.col("place").cast("string"))
+    drawn = drawn.withColumn("block", F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("blocks"))
+    one = drawn.join(sums, [key, "block"]).groupBy(key, "draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), (F.first("size") * F.first("blocks")).alias("n"))
+    sd = F.sqrt(F.greatest((F.col("b") - F.col("a") * F.col("a") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    annual = F.sqrt(F.lit(float(ANNUAL)))
+    sharpe = F.when(sd > 1e-12, F.col("a") / F.col("n") / F.nullif(sd, F.lit(0.0)) * annual).otherwise(0.0)
+    ends = [F.percentile(sharpe, F.lit(q)).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))]
+    own = F.when(F.col("t") < 30, None).when(F.col("spread") > 1e-12, F.col("mean") / F.col("spread") * annual).otherwise(0.0)
+    return sizes.select(key, own.alias("sharpe")).join(one.groupBy(key).agg(*ends), key, "left")
 
 
 def by_regime(pnl: DataFrame, regimes: DataFrame, value: str = "net") -> DataFrame:

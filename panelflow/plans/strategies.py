@@ -338,9 +338,18 @@ def deflated_sharpe(spark, sf_dir):
     return rows.select("n", *[r(c, 6).alias(c) for c in ("sharpe", "deflated", "p_value", "benchmark")], "passes")
 
 
-@query()
+_INTERVAL = f"""placed_ AS (SELECT net AS x, row_number() OVER (ORDER BY bar) - 1 AS pos FROM wf),
+size_ AS (SELECT t, size, t // size AS blocks, mean, spread FROM (SELECT count(*) AS t, greatest(5, round_even(sqrt(count(*)), 0)::BIGINT) AS size, avg(x) AS mean, stddev_samp(x) AS spread FROM placed_)),
+sums_ AS (SELECT pos // size AS block, sum(x) AS a, sum(x * x) AS b FROM placed_ CROSS JOIN size_ WHERE pos // size < blocks GROUP BY ALL),
+picks AS (SELECT draw, size * blocks AS n, ('0x' || md5('0:inverse_vol:' || draw || ':' || place)[:12])::BIGINT % blocks AS block FROM size_ CROSS JOIN (SELECT unnest(range(1000)) AS draw) JOIN (SELECT unnest(range(100000)) AS place) ON place < blocks),
+drawn_ AS (SELECT draw, any_value(n) AS n, sum(a) AS a, sum(b) AS b FROM picks JOIN sums_ USING (block) GROUP BY draw),
+sharpes AS (SELECT CASE WHEN sd > 1e-12 THEN a / n / sd * sqrt(252.0) ELSE 0.0 END AS sharpe FROM (SELECT *, sqrt(greatest((b - a * a / n) / (n - 1), 0.0)) AS sd FROM drawn_))"""
+
+
+@query(with_(*_RUN, _INTERVAL, last=f"SELECT 'inverse_vol' AS strategy, {sql_r('mean / spread * sqrt(252.0)', 6)} AS sharpe, {sql_r('(SELECT quantile_cont(sharpe, 0.025) FROM sharpes)', 6)} AS low, {sql_r('(SELECT quantile_cont(sharpe, 0.975) FROM sharpes)', 6)} AS high FROM size_"))
 def sharpe_ci(spark, sf_dir):
-    return robustness.sharpe_intervals(_book(spark, sf_dir)[2].withColumn("strategy", F.lit("inverse_vol")))
+    out = robustness.sharpe_intervals(_book(spark, sf_dir)[2].withColumn("strategy", F.lit("inverse_vol")))
+    return out.select("strategy", *[r(c, 6).alias(c) for c in ("sharpe", "low", "high")])
 
 
 _SIZES = ", ".join(f"({n}, {expected_max_sharpe(n)!r}::DOUBLE)" for n in range(1, 51))

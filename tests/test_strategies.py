@@ -129,6 +129,17 @@ def test_sharpe_intervals():
     assert h2 - l2 > high - low and np.isnan(robustness.sharpe_interval(r[:20])[0])
 
 
+def test_sharpe_intervals_of_several_strategies(spark):
+    """Equal to the plain draws; too few bars give nulls, and a flat strategy 0."""
+    rng = np.random.default_rng(1)
+    held = {"a": rng.normal(0.001, 0.01, 300), "b": rng.normal(0, 0.02, 77), "c": np.zeros(50), "d": rng.normal(size=12)}
+    rows = [(k, 5 * i, float(v)) for k, x in held.items() for i, v in enumerate(x)]
+    got = {r["strategy"]: (r["sharpe"], r["low"], r["high"]) for r in robustness.sharpe_intervals(spark.createDataFrame(rows, "strategy string, bar long, net double"), count=60).collect()}
+    assert got["d"] == (None, None, None) and got["c"] == (0, 0, 0)
+    for k in "ab":
+        assert got[k] == pytest.approx(robustness.sharpe_interval(held[k], 60, name=k))
+
+
 def test_portfolios(spark, returns):
     cov = np.cov(np.random.default_rng(42).normal(size=(100, 3)).T) * [[1], [1], [1]]
     w = portfolio.equal_risk(cov)

@@ -53,24 +53,35 @@ def momentum_weights(returns: DataFrame, init: int = 252, step: int = 21, rows:
 def callback_weights(returns: DataFrame, strategy: Callable[[pd.DataFrame], dict[str, float] | pd.Series], init: int = 252, step: int = 21, lookback: int = 0) -> DataFrame:
     """Weights of an opaque strategy: it gets a wide panel of the bars before each rebalance (the last
     `lookback` of them, if given). A strategy that fails, or gives neither dict nor Series, holds nothing.
+
+    Rebalances are dealt to blocks of neighbours, and each block gets the bars that its rebalances need
+    once; they are cut for each rebalance in the task.
     """
-    dates = rebalances(returns, init, step)
-    before = F.col("bar") < F.col("rebalance_bar")
+    last = returns.agg(F.max("bar")).first()[0]
+    n = 0 if last is None or last < init else (last - init) // step + 1
+    per = max(1, -(-n // (2 * returns.sparkSession.sparkContext.defaultParallelism)))
+    blocks = [(b, init + b * per * step, init + (min((b + 1) * per, n) - 1) * step) for b in range(-(-n // per))]
+    spans = returns.sparkSession.createDataFrame(blocks, "block int, first long, last long")  # two for each core at most
+    needed = F.col("bar") < F.col("last")
     if lookback:
-        before = before & (F.col("bar") >= F.col("rebalance_bar") - lookback)
-    history = returns.select("series", "bar", "ret").join(dates, before)
+        needed = needed & (F.col("bar") >= F.col("first") - lookback)
+    history = returns.select("series", "bar", "ret").join(F.broadcast(spans), needed)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        panel = pdf.pivot(index="bar", columns="series", values="ret").sort_index()
-        try:
-            found = strategy(panel)
-            found = dict(found) if isinstance(found, dict | pd.Series) else {}
-        except Exception:  # the contract: a failing strategy is out of the market
-            found = {}
-        weights = [float(found.get(c, 0.0)) for c in panel.columns]
-        return pd.DataFrame({"rebalance_bar": pdf["rebalance_bar"].iloc[0], "series": list(panel.columns), "weight": weights})
-
-    return history.groupBy("rebalance_bar").applyInPandas(run, "rebalance_bar long, series string, weight double")
+        whole, out = pdf.pivot(index="bar", columns="series", values="ret").sort_index(), []
+        for at in range(int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]) + 1, step):
+            panel = whole.loc[(at - lookback if lookback else whole.index[0]) : at - 1].dropna(axis=1, how="all")
+            if not len(panel):
+                continue
+            try:
+                found = strategy(panel)
+                found = dict(found) if isinstance(found, dict | pd.Series) else {}
+            except Exception:  # the contract: a failing strategy is out of the market
+                found = {}
+            out += [(at, c, float(found.get(c, 0.0))) for c in panel.columns]
+        return pd.DataFrame(out, columns=["rebalance_bar", "series", "weight"])
+
+    return history.groupBy("block").applyInPandas(run, "rebalance_bar long, series string, weight double")
 
 
 def turnover(weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from panelflow.llm.common import SLICE_BYTES
+from panelflow.llm.common import SLICE_BYTES, tidied
 
 #: Words, and their bytes, that a task keeps in its dictionary; when more are met, it starts afresh.
 KEEP_WORDS, KEEP_BYTES = 400_000, 32 << 20
@@ -275,7 +275,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids, decoded], names=[id_col, "ids", "decoded"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +298,7 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.bytes_of(flat, counts), pa.binary())], names=[id_col, "decoded"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return df.select(id_col, ids_col).mapInArrow(tidied(run), schema)
 
 
 def public_ranks(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelflow.llm.bpe import slices
-from panelflow.llm.common import bounded_sample
+from panelflow.llm.common import bounded_sample, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What WORD takes besides letters.
@@ -270,7 +270,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -286,4 +286,4 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
                 lang = tagger.texts(texts)[0] if tagger else ["und"] * len(texts)
                 yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import joined, shared_dir, tasks_for, written
+from panelflow.llm.common import joined, shared_dir, tasks_for, tidied, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=names)
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("fp", *keep))])
-    return df.select(id_col, text_col, *[c.alias(k) for k, c in keep.items()]).mapInArrow(run, schema)
+    return df.select(id_col, text_col, *[c.alias(k) for k, c in keep.items()]).mapInArrow(tidied(run), schema)
 
 
 def _popcounts(x: np.ndarray, parts: int = 4) -> np.ndarray:

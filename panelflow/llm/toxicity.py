@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelflow.llm.common import bounded_sample, shared_dir, written
+from panelflow.llm.common import bounded_sample, shared_dir, tidied, written
 
 TOKEN = re.compile(r"[^\W_](?:[*@$#!]?[^\W_])*")
 WINDOW = 6
@@ -383,7 +383,7 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def keep_clean(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -400,4 +400,4 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.7, text_col: st
                 batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from panelflow.llm.common import SLICE_BYTES, tidied
 KEEP_WORDS, KEEP_BYTES = 400_000, 32 << 20
 #: Bytes of a word that is cut and contracted in rounds of ranks.
 LONG = 200
-#: Ids that the decoding query joins to one value, and that it takes at a time, about.
+#: Ids that the decoding query joins to one value (their numbers take 16 bits), and that it takes at a time, about.
 RUN_IDS, DECODE_IDS = 1 << 14, 1 << 17
 #: Words contracted by one recursive query.
 QUERY_WORDS = 60_000
@@ -91,7 +92,7 @@ SELECT w, ids FROM state ORDER BY w
 
 DECODE = """
 SELECT k, array_to_string(list(spelled ORDER BY p), '') AS spelled
-FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM sequences) AS t
+FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1)::USMALLINT AS p FROM sequences) AS t
 JOIN vocabulary USING (id)
 GROUP BY k ORDER BY k
 """
@@ -156,12 +157,12 @@ class Coder:
         cuts = np.flatnonzero(np.cumsum(across)[1:-1] == 0) + 1
         return [word[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)], strict=True)]
 
-    def rounds(self, words: list[bytes], query: str) -> list[list[int]]:
-        """Ids of words that aren't tokens themselves."""
-        out: list[list[int]] = []
+    def rounds(self, words: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that aren't tokens themselves, one word after the other, and each word's count."""
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), QUERY_WORDS):
             part = words[at : at + QUERY_WORDS]
-            size = np.array([len(w) for w in part])
+            size = np.fromiter(map(len, part), np.int64, len(part))
             start = np.repeat(np.cumsum(size) - size, size)
             positions = pa.table(
                 {
@@ -171,23 +172,32 @@ class Coder:
                 }
             )
             self.db.register("positions", positions)
-            out += self.db.sql(query).to_arrow_table().column("ids").to_pylist()
-        return out
-
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and each word's count."""
-        out: list[list[int]] = [[self.rank[w]] if w in self.rank else [] for w in words]
-        short = [i for i, ids in enumerate(out) if not ids and len(words[i]) < LONG]
-        for i, ids in zip(short, self.rounds([words[i] for i in short], CONTRACT), strict=True):
-            out[i] = ids
-        cut = {i: self.parts(words[i]) for i, ids in enumerate(out) if not ids}
+            ids = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+            flat.append(ids.flatten().to_numpy())
+            counts.append(ids.value_lengths().to_numpy())
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where in them each word's begin and how many they are."""
+        whole = np.fromiter((self.rank.get(w, -1) for w in words), np.int32, len(words))
+        starts, counts = np.arange(len(words)), np.ones(len(words), np.int64)
+        several = np.flatnonzero(whole < 0).tolist()
+        short = [i for i in several if len(words[i]) < LONG]
+        ids, n = self.rounds([words[i] for i in short], CONTRACT)
+        starts[short], counts[short] = len(whole) + np.cumsum(n) - n, n
+        flat, end = [whole, ids], len(whole) + len(ids)
+        cut = {i: self.parts(words[i]) for i in several if len(words[i]) >= LONG}
         if cut:
-            several = sorted({x for xs in cut.values() for x in xs if x not in self.rank})
-            found = dict(zip(several, self.rounds(several, CONTRACT_LONG), strict=True))
+            pieces = sorted({x for xs in cut.values() for x in xs})
+            found = {x: np.array([self.rank[x]], np.int32) for x in pieces if x in self.rank}
+            pieces = [x for x in pieces if x not in found]
+            ids, n = self.rounds(pieces, CONTRACT_LONG)
+            found |= zip(pieces, np.split(ids, np.cumsum(n)[:-1]), strict=False)
             for i, xs in cut.items():
-                out[i] = [y for x in xs for y in (found.get(x) or (self.rank[x],))]
-        counts = np.array([len(x) for x in out], np.int64)
-        return np.fromiter((y for x in out for y in x), np.int32, counts.sum()), counts
+                joined = np.concatenate([found[x] for x in xs])
+                starts[i], counts[i], end = end, len(joined), end + len(joined)
+                flat.append(joined)
+        return np.concatenate(flat), starts, counts
 
     def bytes_of(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each id sequence; long ones are aggregated in runs, and the runs joined."""
@@ -211,10 +221,10 @@ class Coder:
         if not new:
             return
         spelled = [w.encode() for w in new]
-        flat, counts = self.contract(spelled)
+        flat, starts, counts = self.contract(spelled)
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
         self.bytes += sum(map(len, spelled))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.counts = np.concatenate([self.counts, counts])
         self.flat = np.concatenate([self.flat, flat])
 
@@ -224,11 +234,12 @@ class Coder:
         if len(self.code) > KEEP_WORDS or self.bytes > KEEP_BYTES:
             self.clear()
         self.learn(set().union(*words))
-        code = np.fromiter((c for ws in words for c in map(self.code.__getitem__, ws)), np.int32)
+        each = [len(ws) for ws in words]
+        code = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int32, sum(each))
         n = self.counts[code]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[code] - ends[:-1], n) + np.arange(ends[-1])]
-        words_end = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
+        words_end = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
         offsets = ends[words_end]
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(self.bytes_of(ids, np.diff(offsets)), pa.binary())
 

@@ -104,8 +104,6 @@ LICENSES = {
     "Apache-2.0-tag": "SPDX-License-Identifier: Apache-2.0",
 }
 
-#: A line that begins with a copyright claim, "all rights reserved" or a licence's title.
-COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9(©]*(copyright ?(\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved|the mit license|mit license|isc license|bsd [23]-clause license)[^\n]*"
 #: What stands between words: all but letters and digits of any script.
 OTHER = r"[^\p{L}\p{N}]+"
 
@@ -161,8 +159,30 @@ def scan(df: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "d
 
 
 def canonical_sql(text: str) -> str:
-    """DuckDB's form of canonical() where each claim has its line to itself: it drops the claim's whole line."""
-    out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10))}', chr(10), 'g'), '{OTHER}', '  ', 'g')"
+    """DuckDB's form of canonical(). Its patterns can't look around, so places are marked first, by characters that no text keeps."""
+    first = 0xE000
+    mark, grant, short, end, stop, word, title, over = (chr(first + i) for i in range(8))
+    marks = f"{mark}-{word}"
+    titles = r"(mit license|isc license|bsd [23]-clause license)"
+    named = rf"{titles}{word}( ?\([^)\n]*\))?( ?https?:[^ \n]*)?"
+    abbreviations = SHORT.removeprefix("(?<!").removesuffix(")")
+    steps = [
+        (f"[{mark}-{over}]", chr(first + 16)),
+        (rf"{abbreviations}\.", rf"\1{short}."),
+        (r"([a-z0-9)>]{3})\.([ \t])", rf"\1{end}.\2"),
+        (rf"{titles}\b", rf"\1{word}"),
+        (f"({GRANT.replace('(the )?', '')})", rf"{grant}\1"),
+        (f"the {grant}(mit|isc|bsd)", rf"{grant}the {grant}\1"),
+        (f"({_MARK})", rf"{mark}\1"),
+        (f"([ .,;:]+){grant}", rf"{stop}\1{grant}"),
+        (rf"({named})([^a-z0-9(©\n]*(\n|$|{mark}|{grant}))", rf"{title}\1{over}\5"),
+        (rf"(^|\n)[^\na-z0-9(©]*(([{marks}]*{_MARK}[^\n{end}{stop}]*|[{marks}]*all rights reserved|[{marks}]*(the[{marks}]* [{marks}]*)?{title}[^{over}]*{over})[ \t.,;:{marks}]*)+", "\n"),
+        (f"[{mark}-{over}]", ""),
+        (OTHER, "  "),
+    ]
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     out = f"regexp_replace('  ' || {out} || '  ', '   +', '  ', 'g')"
     for spelling, standard in SPELLINGS:
         out = f"replace({out}, ' {spelling} ', ' {standard.replace(' ', '  ')} ')"
@@ -170,9 +190,12 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql(licenses: dict[str, str] | None = None) -> str:
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted((licenses or LICENSES).items()))
+    """All known texts as values, each as it stands and on one line."""
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted((licenses or packed()).items()))
+    line = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')"
     return f"""
-WITH known(license, text) AS (VALUES {values}), digests AS (SELECT license, sha256({canonical_sql('text')}) AS known_digest FROM known)
+WITH listed(license, text) AS (VALUES {values}), forms AS (SELECT license, text FROM listed UNION SELECT license, {line} FROM listed),
+known AS (SELECT known_digest, string_agg(DISTINCT license, ' | ' ORDER BY license) AS license FROM (SELECT license, sha256({canonical_sql('text')}) AS known_digest FROM forms) GROUP BY known_digest)
 SELECT d.doc_id, d.digest, k.license
-FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS digest FROM documents) AS d LEFT JOIN digests k ON d.digest = k.known_digest
+FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS digest FROM documents) AS d LEFT JOIN known k ON d.digest = k.known_digest
 """

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from panelflow.llm import licenses
@@ -27,12 +29,34 @@ def test_known_digests_differ(spark):
     assert len({r["known_digest"] for r in rows}) == len(rows)
 
 
+HEADS = [
+    "",
+    "MIT License Copyright (c) 2020 Jane Doe ",
+    "The MIT License (MIT) https://opensource.org/licenses/MIT\n\n  * Copyright 2020 J. Doe, Acme Inc. and others. All Rights Reserved.\n",
+    "(c) 2019-2024 Best Ltd. of the north.  ",
+    "BSD 3-Clause License the ISC License\n© 2020 Jane <j@d.example>\n",
+    "// Copyright (c) 2020 Jane. (c) 2021 Joe. ",
+    "The MIT License is short. ",
+    "Permit license of 2020 (c) Jane\n",
+]
+
+
 def test_sql_agrees(spark, odd_docs):
+    """Over odd rows, each known text behind each kind of claim, and mixtures of the claims' pieces."""
+    pieces = ["copyright", "(c)", "©", " 2020", "jane", " ", " ", ". ", ", ", "\n", "\t", "inc", "best", "zinc.", "all rights reserved", "the ", "mit license", "isc license", " (mit)", " https://a.b/c", "permission is granted", "this software", "you may", "bsd 3-clause license", "use of this", "per", "\ue000", "\ue002"]
+    choose = random.Random(3).choice
+    mixed = ["".join(choose(pieces) for _ in range(choose((4, 9, 20)))) for _ in range(20_000)]
+    planted = [head + form for head in HEADS for text in licenses.LICENSES.values() for form in (text, text.upper(), " ".join(text.split()), text + " And more.")]
+    planted += [form for text in licenses.packed().values() for form in (text, " ".join(text.split()))]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(planted + mixed, 1000)), "doc_id long, text string"))
     db = duckdb.connect()
-    rows = odd_docs.select("doc_id", "text").toArrow()
-    db.register("documents", rows)
-    want = sorted(map(str, db.sql(licenses.scan_sql()).fetchall()))
-    assert sorted(str((r["doc_id"], r["digest"], r["license"])) for r in licenses.scan(odd_docs.select("doc_id", "text")).collect()) == want
+    db.register("documents", docs.toArrow())
+    want = db.sql(licenses.scan_sql()).fetchall()
+    got = [(r["doc_id"], r["digest"], r["license"]) for r in licenses.scan(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    found = {r[0]: r[2] for r in got}
+    assert all(found[1000 + len(planted) - 1 - i] for i in range(2 * len(licenses.packed())))
+    assert len({found[1000 + i] for i in range(len(HEADS) * len(licenses.LICENSES) * 4)} - {None}) == len(licenses.LICENSES)
 
 
 def test_claims_on_the_line_of_their_licence(spark):

@@ -91,6 +91,30 @@ def test_beam_search_beats_greedy():
     assert error(8) < error(1) < (x**2).sum()
 
 
+def recall(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in additive.nearest(df, F.col("id") % 20 == 0).collect()}
+    truth = {(i, j) for i, _, j, _ in brute(np.arange(len(x)), x.astype(float), 20)}
+    return len(got & truth) / len(truth)
+
+
+def test_long_vectors_get_long_codes():
+    """Rows that the fit hasn't seen come out near whatever their length."""
+    x = np.random.default_rng(4).normal(size=(5000, 256))
+    books = additive.fit_blocks(x[:4000])
+    near = books.decode(books.encode(x[4000:]))
+    assert ((x[4000:] - near) ** 2).sum() < 0.2 * (x[4000:] ** 2).sum()
+
+
+def test_additive_recall_in_dense_groups(spark):
+    """Half of the rows lie scattered, the others in groups whose rows differ by less than their codes do."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 64))
+    x = np.concatenate([centres[rng.integers(8, size=4000)] + 0.001 * rng.normal(size=(4000, 64)), rng.normal(size=(4000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x[rng.permutation(len(x))].astype(np.float32)) >= 0.9
+
+
 def test_few_and_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (3, [-1.0, 0.0]), (40, [1.0, 2.0, 3.0]), (5, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

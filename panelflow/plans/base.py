@@ -39,12 +39,21 @@ def with_(*parts: str, last: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + last
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """Small rows, cached in no more partitions than there are cores, however many partitions shuffles have.
+
+    A query reads its panel in many stages. Each has a task for each cached partition, and every task
+    sends its figures to the driver, so with a shuffle's partitions these would grow with that setting.
+    """
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).cache()
+
+
 def levels(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
     """A panel's levels, kept once computed: the tables are scanned once, however often a query needs
     the panel, which is small whatever the tables' size (a row for each series and time). Spark knows
     equal plans again, so a session holds one copy of a folder's panel, however many queries run.
     """
-    return LEVELS[name](spark, sf_dir).cache()
+    return held(LEVELS[name](spark, sf_dir))
 
 
 def returns(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
@@ -53,7 +62,7 @@ def returns(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") ->
 
 
 def full_panel(spark: SparkSession, sf_dir: str, name: str = "weekly_lineitem") -> DataFrame:
-    return panel.filled(returns(spark, sf_dir, name)).cache()
+    return held(panel.filled(returns(spark, sf_dir, name)))
 
 
 BARS = "bars AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar FROM (SELECT DISTINCT ts FROM levels))"

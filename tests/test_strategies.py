@@ -219,3 +219,18 @@ def test_tail_correlation_pairs_places_from_the_end(spark):
     assert got["A", "B"] == (70, pytest.approx(np.corrcoef(a[-71:-1], b)[0, 1]))
     assert got["B", "A"] == (69, pytest.approx(np.corrcoef(b[:-1], a[-69:])[0, 1]))
     assert got["A", "C"] == (1, 0.0)
+
+
+def test_panels_are_cached_in_few_partitions(spark):
+    """Whatever the number of shuffle partitions, a stage over the panel has a task for each core at most."""
+    from panelflow.plans import base
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.catalog.clearCache()
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        for rows in (base.levels(spark, "/root/testdata/sf0.001"), base.full_panel(spark, "/root/testdata/sf0.001")):
+            assert rows.count() and rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.catalog.clearCache()
